@@ -1,12 +1,12 @@
 """SimHash near-duplicates by a segment-popcount embedding.
 
-A fingerprint's 64 bits form 32 segments of two bits. The vector of segment popcounts is
-an embedding whose Manhattan distance never exceeds the Hamming distance. Two halves of 16
-segments each are put on a grid of unit cells: when two fingerprints differ in at most four
-bits, their vectors in one of the halves are at most two apart, so some cell is within one
-step of both. Every fingerprint is entered in its own cell and the cells one step away;
-fingerprints that meet in a cell are candidates, the whole embedding's distance is the lower
-bound that drops most of them, and the differing bits are counted for the rest.
+A fingerprint is cut into segments of two bits, and the vector of segment popcounts is an embedding
+whose Manhattan distance never exceeds the Hamming distance. For the grid, each half of 32 bits is
+embedded twice, with segments that begin at even and at odd bits, so that its cell tells fingerprints apart
+nearly as well as its bits do. Two fingerprints that differ in at most four bits differ in at most two in one of
+the halves, so some half is one bit away from both. Every fingerprint is entered in the cell of each
+half and in those of the halves one bit away; fingerprints that meet in a cell are candidates, the whole
+embedding's distance is the lower bound that drops most of them, and the differing bits are counted for the rest.
 """
 
 from __future__ import annotations
@@ -62,18 +62,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _cells(nodes: DataFrame) -> DataFrame:
-    """(cell, fp): both halves' popcount vectors and those one step away, as packed 2-bit lanes."""
+    """(cell, fp): for both halves, the cells of the half and of those one bit away."""
     halves = F.array(
         F.struct(F.lit(0).alias("half"), F.expr("shiftrightunsigned(fp, 32)").alias("x")),
         F.struct(F.lit(1).alias("half"), F.expr("fp & 4294967295L").alias("x")),
     )
-    packed = nodes.select("fp", F.explode(halves).alias("h")).select("fp", F.expr("h.x - (shiftright(h.x, 1) & 1431655765L)").alias("v"), F.expr("h.half * 4294967296L").alias("base"))
-    around = F.expr(
-        """concat(array(v),
-                  transform(filter(sequence(0, 15), k -> (shiftright(v, 2 * k) & 3L) < 2), k -> v + shiftleft(1L, 2 * k)),
-                  transform(filter(sequence(0, 15), k -> (shiftright(v, 2 * k) & 3L) > 0), k -> v - shiftleft(1L, 2 * k)))"""
-    )
-    return packed.select("fp", "base", F.explode(around).alias("c")).select((F.col("base") + F.col("c")).alias("cell"), "fp")
+    split = nodes.select("fp", F.explode(halves).alias("h")).select("fp", "h.half", "h.x")
+    near = split.select("fp", "half", F.explode(F.expr("concat(array(x), transform(sequence(0, 31), k -> x ^ shiftleft(1L, k)))")).alias("x"))
+    turned = near.withColumn("y", F.expr("shiftright(x, 1) | shiftleft(x & 1L, 31)"))
+    counts = lambda c: F.expr(f"{c} - (shiftright({c}, 1) & 1431655765L)")  # noqa: E731  popcounts of 16 segments
+    return turned.select(F.xxhash64("half", counts("x"), counts("y")).alias("cell"), "fp")
 
 
 def _lanes(fp: np.ndarray) -> np.ndarray:
