@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from gatedframe.llm.tokens import encoder
 from gatedframe.llm.words import pieces, utf8
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: Number of the row in its task, so that rows which share an id are told apart.
+NTH = ", nth long"
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,24 +49,25 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): each document's ids and the end id, cut every ``length`` ids."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, nth[, ids]): each document's ids and the end id, cut every ``length`` ids."""
     end = np.array([end_id], "<u4").tobytes()
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "nth", *["ids"] * with_ids]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, step = encoder(tokenizer_path).encode, 4 * length
+        encode, step, nth = encoder(tokenizer_path).encode, 4 * length, TaskContext.get().partitionId() << 40
         for batch in pieces(batches):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), encode(utf8(batch.column(1)))):
                 ids += end
+                nth += 1
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
-                    rows.append((doc, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, *[np.frombuffer(part, "<u4").astype(np.int32)] * with_ids))
+                    rows.append((doc, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, nth, *[np.frombuffer(part, "<u4").astype(np.int32)] * with_ids))
             cols = list(zip(*rows)) or [()] * len(names)
-            types = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
+            types = [pa.int64()] * 6 + [pa.list_(pa.int32())] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECE + ", ids array<int>" * with_ids)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECE + NTH + ", ids array<int>" * with_ids)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, group_docs: int = 4096, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,15 +86,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 2048, end
     groups = max(1, -(-cut.where("start = 0").count() // group_docs))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "doc_id", "nth", "start"], ascending=[False, True, True, True], kind="stable")
         sizes = pdf["length"].to_numpy()
         full = int((sizes == length).sum())
         bins, offsets = first_fit_decreasing(sizes[full:], length)
         pdf["sequence_id"] = (int(pdf["grp"].iloc[0]) << 32) + np.concatenate([np.arange(full), full + bins])
         pdf["offset"] = np.concatenate([np.zeros(full, np.int64), offsets])
-        return pdf.drop(columns="grp")
+        return pdf.drop(columns=["grp", "nth"])
 
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_tokens"), F.lit(groups)))
+    dealt = cut.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_tokens", "nth"), F.lit(groups)))
     return dealt.groupBy("grp").applyInPandas(pack, PIECE + ", sequence_id long, offset long")
 
 
