@@ -25,6 +25,21 @@ PLAIN = regex.compile(r"[\x21-\x7e\xa1-įı-ɏ]*")
 MEMO_WORDS, MEMO_BYTES = 400_000, 64
 
 
+class _Memo(dict):
+    """Results of a function of words, forgotten when there are many."""
+
+    def __init__(self, function):
+        self.function = function
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.function(word)
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers, as the file's own library gives them.
 
@@ -67,7 +82,7 @@ class Encoder:
             self.special = [t["content"] for t in spec.get("added_tokens") or []]
             self.split = regex.compile(WORD_PATTERN).findall
             self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-            self.words: dict[bytes, bytes] = {}
+            self.words = _Memo(self._encode_word)
             self.parts: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
@@ -80,30 +95,17 @@ class Encoder:
                 self.parts[part] = found
         return found
 
-    def _word(self, word: bytes) -> bytes:
-        if (found := self.words.get(word)) is None:
-            if len(self.words) >= MEMO_WORDS:
-                self.words.clear()
-            text = word.decode()
-            if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-                found = b"".join(map(self._part, self.split(text.lower())))
-            else:
-                found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            if len(word) <= MEMO_BYTES:
-                self.words[word] = found
-        return found
+    def _encode_word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            return b"".join(map(self._part, self.split(text.lower())))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of UTF-8 texts."""
         if self.drops_space:
-            out = []
-            for text in texts:
-                words = text.split()
-                ids = list(map(self.words.get, words))
-                if None in ids:
-                    ids = [self._word(w) if i is None else i for i, w in zip(ids, words)]
-                out.append(b"".join(ids))
-            return out
+            look_up = self.words.__getitem__
+            return [b"".join(map(look_up, text.split())) for text in texts]
         decoded = [t.decode() for t in texts]
         if self.sentencepiece is not None:
             return [np.array(ids, "<u4").tobytes() for ids in self.sentencepiece.encode(decoded, num_threads=1)]
