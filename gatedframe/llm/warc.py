@@ -28,16 +28,17 @@ MARK = "WARC/1."
 RECORD = "record_id string, kind string, concurrent_to array<string>, refers_to string, target_uri string, declared_digest string, page_id long, payload binary, payload_bytes long, payload_digest string"
 
 
-def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
+def plan_records(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
     """(row, page_id, url, html, digest, first_row): first_row is the row whose payload a revisit repeats, else null.
 
     Of rows with equal payloads of ``min_revisit`` bytes or more, that with the smallest page_id is the response (a null id comes
-    last, and of equal ids the first row). Only digests are grouped; payloads stay where they were read until the join.
+    last, and of equal ids the first row). Rows are written to ``scratch`` with their numbers, since numbers given anew could differ.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(
+    numbered = pages.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest")
     )
+    rows = scratch.table(numbered, "rows")
     order = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id"), F.col("row"))
     firsts = rows.where(F.octet_length("html") >= min_revisit).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
     joined = rows.join(firsts.select("digest", F.col("first.row").alias("first_row")), "digest", "left")
@@ -171,7 +172,8 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     have captures of their own. An empty table gives an empty result and other columns are not read.
     """
     scratch = Scratch(pages.sparkSession, "warc")
-    write_archives(plan_records(pages, id_col, url_col, html_col), scratch.path("archives"))
+    write_archives(plan_records(pages, scratch, id_col, url_col, html_col), scratch.path("archives"))
+    scratch.drop("rows")
     captures = assemble(read_records(pages.sparkSession, scratch.path("archives")))
     flat = scratch.table(
         captures.select("record_id", F.col("metadata.page_id").alias("page_id"), F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("target"),
