@@ -20,6 +20,8 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 #: Words in a block, and slots in an output shard.
 BLOCK, SHARD_SLOTS = 64, 8192
+#: Slots that one task maps, about.
+TASK_SLOTS = 50_000
 #: Documents of a source whose offsets one task adds up, about.
 SLICE_DOCS = 8192
 ROUNDS = 20
@@ -85,12 +87,13 @@ def permuted(x: Column, size: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, turn)
 
 
-def _block_times(sources: DataFrame, counts: DataFrame, repeats: int) -> DataFrame:
-    """(rank, block, times) of the blocks that slots map to."""
+def _block_times(sources: DataFrame, counts: DataFrame, repeats: int, slots: int) -> DataFrame:
+    """(rank, block, times) of the blocks that slots map to. Cells of few bytes unfold to many slots, so they are dealt by number of slots."""
     before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0")
-    slots = first.join(sources.where("blocks > 0").select("rank", "blocks"), "rank").select("rank", "blocks", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
-    used = slots.where(F.col("slot") < repeats * F.col("blocks"))
+    first = first.repartition(-(-slots // TASK_SLOTS), "rank", "shard")
+    unfolded = first.join(sources.where("blocks > 0").select("rank", "blocks"), "rank").select("rank", "blocks", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
+    used = unfolded.where(F.col("slot") < repeats * F.col("blocks"))
     block = permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.col("rank"), F.floor(F.col("slot") / F.col("blocks")))
     return used.select("rank", block.alias("block")).groupBy("rank", "block").agg(F.count("*").alias("times"))
 
@@ -110,8 +113,8 @@ def _plan(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, source_
     sources = source_targets(sizes).withColumn("blocks", blocks).withColumn("slices", F.ceil(F.col("docs") / SLICE_DOCS))
     sources = sources.withColumn("uses", F.when(F.col("blocks") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
     sources = scratch.table(sources.withColumn("share", F.coalesce(F.try_divide("uses", F.sum("uses").over(Window.partitionBy())), F.lit(0.0))), "sources")
-    slots = round(sources.agg(F.sum("uses")).first()[0] or 0)
-    times = _block_times(sources, draw_counts(sources, max(1, slots)), REPEATS)
+    slots = max(1, round(sources.agg(F.sum("uses")).first()[0] or 0))
+    times = _block_times(sources, draw_counts(sources, slots), REPEATS, slots)
 
     placed = slim.join(sources.select(F.col("source").alias("_source"), "source_size", "target", "rank", "slices"), F.col("source").eqNullSafe(F.col("_source")))
     placed = placed.withColumn("slice", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "mark"), "slices"))
