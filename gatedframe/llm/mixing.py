@@ -20,8 +20,10 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 #: Words in a block, and slots in an output shard.
 BLOCK, SHARD_SLOTS = 64, 8192
-#: Slots that one task maps, about.
-TASK_SLOTS = 50_000
+#: Output shards of a source that are unfolded from one row and numbered in one task.
+CHUNK_SHARDS = 4096
+#: Slots that one task maps, about, and the most tasks; with more slots each task maps more.
+TASK_SLOTS, MOST_TASKS = 50_000, 20_000
 #: Documents of a source whose offsets one task adds up, about.
 SLICE_DOCS = 8192
 ROUNDS = 20
@@ -63,7 +65,9 @@ def draw_counts(sources: DataFrame, slots: int, shard_slots: int = SHARD_SLOTS)
     """
     shards = -(-slots // shard_slots)
     filled = F.least(F.lit(shard_slots), F.lit(slots) - F.col("shard") * shard_slots)
-    cells = sources.select("rank", "share", F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard")).withColumn("mean", filled * F.col("share"))
+    chunks = sources.select("rank", "share", F.explode(F.expr(f"sequence(0L, {(shards - 1) // CHUNK_SHARDS}L)")).alias("chunk")).repartition("rank", "chunk")
+    within = F.expr(f"sequence(chunk * {CHUNK_SHARDS}, least((chunk + 1) * {CHUNK_SHARDS}, {shards}L) - 1)")
+    cells = chunks.select("rank", "share", F.explode(within).alias("shard")).withColumn("mean", filled * F.col("share"))
     cells = cells.withColumn("whole", F.floor("mean")).withColumn("part", F.col("mean") - F.col("whole"))
     running = F.sum("part").over(Window.partitionBy("shard").orderBy("rank"))
     rows = cells.withColumn("up_to", running).groupBy("shard").agg(
@@ -88,10 +92,17 @@ def permuted(x: Column, size: Column, *key: Column) -> Column:
 
 
 def _block_times(sources: DataFrame, counts: DataFrame, repeats: int, slots: int) -> DataFrame:
-    """(rank, block, times) of the blocks that slots map to. Cells of few bytes unfold to many slots, so they are dealt by number of slots."""
-    before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0")
-    first = first.repartition(-(-slots // TASK_SLOTS), "rank", "shard")
+    """(rank, block, times) of the blocks that slots map to. Cells of few bytes unfold to many slots, so they are dealt by number of slots.
+
+    Slots are numbered chunk by chunk: each chunk of shards on its own, after the sum of the chunks before it.
+    """
+    chunked = counts.withColumn("chunk", F.floor(F.col("shard") / CHUNK_SHARDS))
+    earlier = Window.partitionBy("rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    bases = chunked.groupBy("rank", "chunk").agg(F.sum("n").alias("n")).select("rank", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    before = Window.partitionBy("rank", "chunk").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = chunked.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0")
+    first = ahead.join(bases, ["rank", "chunk"]).select("rank", "shard", "n", (F.col("base") + F.col("ahead")).alias("first"))
+    first = first.repartition(min(MOST_TASKS, -(-slots // TASK_SLOTS)), "rank", "shard")
     unfolded = first.join(sources.where("blocks > 0").select("rank", "blocks"), "rank").select("rank", "blocks", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
     used = unfolded.where(F.col("slot") < repeats * F.col("blocks"))
     block = permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.col("rank"), F.floor(F.col("slot") / F.col("blocks")))

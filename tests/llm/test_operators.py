@@ -84,6 +84,15 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.mix_plan(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
 
 
+def test_mixing_numbers_chunks_of_shards_without_a_gap(docs, monkeypatch):
+    whole = mixing.draw_counts
+    monkeypatch.setattr(mixing, "draw_counts", lambda sources, slots: whole(sources, slots, 16))
+    plan = lambda: sorted(collected(mixing.mix_plan(docs, block=4)), key=str)
+    at_once = plan()
+    monkeypatch.setattr(mixing, "CHUNK_SHARDS", 3)
+    assert plan() == at_once
+
+
 def test_token_counts(spark, docs, rows, empty, tmp_path):
     from tokenizers import Tokenizer
 
