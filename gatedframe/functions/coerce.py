@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,30 +34,45 @@ def as_boolean(raw: Column) -> Column:
     return F.when(word.isin(TRUE), F.lit(True)).when(word.isin(FALSE), F.lit(False))
 
 
-def as_number(raw: Column) -> Column:
-    """Currency signs and thousands separators are dropped, parentheses negate, and percent signs are refused."""
-    text = js_trim(raw)
-    negated = text.rlike(r"^\([^\n\r]*\)\z")
-    body = F.when(negated, js_trim(F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
+def _unsigned(body: Column) -> Column:
     sign = F.when(F.regexp_extract(body, SYMBOL, 0).contains("-"), F.lit("-")).otherwise(F.lit(""))
     bare = F.when(body.rlike(SYMBOL), F.concat(sign, F.regexp_replace(body, SYMBOL, ""))).otherwise(body)
-    bare = F.replace(bare, F.lit(","), F.lit(""))
-    value = F.when(bare.rlike(f"^{NUMERIC}\\z"), bare.try_cast("double"))
-    finite = F.when(F.abs(value) < float("inf"), value)
-    return F.when(negated, -finite).otherwise(finite)
+    return F.replace(bare, F.lit(","), F.lit(""))
+
+
+def as_number(raw: Column) -> Column:
+    """Currency signs and thousands separators are dropped, parentheses negate, and percent signs are refused."""
+
+    def read(text: Column) -> Column:
+        negated = text.rlike(r"^\([^\n\r]*\)\z")
+        body = F.when(negated, js_trim(F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
+        value = _let(_let(body, _unsigned), lambda bare: F.when(bare.rlike(f"^{NUMERIC}\\z"), bare.try_cast("double")))
+        return _let(value, lambda v: F.when(F.abs(v) < float("inf"), F.when(negated, -v).otherwise(v)))
+
+    return _let(js_trim(raw), read)
 
 
 def as_date(raw: Column) -> Column:
     """ISO dates and times; day 29 to 31 of a shorter month runs on into the next, and fractions are cut to milliseconds."""
-    text = js_trim(raw)
-    part = lambda n: F.regexp_extract(text, f"^{ISO}\\z", n)
-    number = lambda n: F.coalesce(part(n).try_cast("int"), F.lit(0))
-    first = F.make_date(part(1).try_cast("int"), part(2).try_cast("int"), F.lit(1))
-    millis = F.rpad(F.substring(part(7), 2, 3), 3, "0").try_cast("int")
-    of_day = number(4) * 3_600_000 + number(5) * 60_000 + number(6) * 1000 + F.coalesce(millis, F.lit(0))
-    offset = (number(10) * 60 + number(11)) * 60_000 * F.when(part(9) == "-", F.lit(-1)).otherwise(F.lit(1))
-    days = F.unix_date(F.date_add(first, part(3).try_cast("int") - 1)).cast("long")
-    return F.when(text.rlike(f"^{ISO}\\z"), F.timestamp_millis(days * 86_400_000 + of_day - offset))
+    groups = "|".join(f"${n}" for n in range(1, 12))
+    split = lambda text: F.when(text.rlike(f"^{ISO}\\z"), F.split(F.regexp_replace(text, f"^{ISO}\\z", groups), r"\|"))
+
+    def read(parts: Column) -> Column:
+        part = lambda n: F.get(parts, F.lit(n - 1))
+        number = lambda n: F.coalesce(part(n).try_cast("int"), F.lit(0))
+        first = F.make_date(part(1).try_cast("int"), part(2).try_cast("int"), F.lit(1))
+        millis = F.rpad(F.substring(part(7), 2, 3), 3, "0").try_cast("int")
+        of_day = number(4) * 3_600_000 + number(5) * 60_000 + number(6) * 1000 + F.coalesce(millis, F.lit(0))
+        offset = (number(10) * 60 + number(11)) * 60_000 * F.when(part(9) == "-", F.lit(-1)).otherwise(F.lit(1))
+        days = F.unix_date(F.date_add(first, part(3).try_cast("int") - 1)).cast("long")
+        return F.timestamp_millis(days * 86_400_000 + of_day - offset)
+
+    return _let(_let(js_trim(raw), split), read)
 
 
 def coerce(raw: Column, kind: str) -> Column:
