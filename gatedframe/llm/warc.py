@@ -174,7 +174,10 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     scratch = Scratch(pages.sparkSession, "warc")
     write_archives(plan_records(pages, scratch, id_col, url_col, html_col), scratch.path("archives"))
     scratch.drop("rows")
-    captures = assemble(read_records(pages.sparkSession, scratch.path("archives")))
+    # assembly reads the records several times; without payloads they are small, and archives are parsed once
+    records = scratch.table(read_records(pages.sparkSession, scratch.path("archives")).drop("payload"), "records")
+    scratch.drop("archives")
+    captures = assemble(records)
     flat = scratch.table(
         captures.select("record_id", F.col("metadata.page_id").alias("page_id"), F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("target"),
                         F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest")), "captures",
