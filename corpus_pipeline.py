@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatedframe.llm import mixing, packing, quality, queries, simhash
+from gatedframe.llm import mixing, neardup, packing, quality, queries
 from gatedframe.llm.storage import Scratch
 
 
@@ -17,8 +17,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return simhash.keep_one_per_component(docs)
+    """Of each group linked by a five-word Jaccard similarity of 0.8 or more the document with the smallest id stays."""
+    return neardup.keep_one_per_component(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
