@@ -1,7 +1,7 @@
 """Mixing sources to target weights, with DataFrame functions alone.
 
-The words of each source, its documents in a hashed order, are packed into blocks of fixed length. For
-every output shard the number of slots of each source is drawn, the slots of a source are numbered through
+The words of each source, its documents in a hashed order, are packed into blocks of fixed length. The slots that
+a source gets in all are shared out over the output shards, the slots of a source are numbered through
 all shards, and each number is mapped to a block by a pseudorandom permutation of the source's blocks, a new one
 each time the source has been used up. A join by block index gives how often each document's words are taken.
 """
@@ -51,33 +51,42 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
     return leveled.withColumn("target", target.cast("double")).drop("most", "ratio", "level")
 
 
-def _unit(*parts: Column) -> Column:
-    """A pseudorandom number from 0 to below 1."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), *parts), 11) / F.lit(float(1 << 53))
+def _rounded(sources: DataFrame, column: str, out: str) -> DataFrame:
+    """``out``: ``column`` as a whole number less than one away, such that any first ranks together have their rounded sum."""
+    order = Window.orderBy("rank")
+    up_to = lambda frame: F.floor(F.coalesce(F.sum(column).over(frame), F.lit(0.0)) + 0.5)
+    through, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    return sources.withColumn(out, up_to(through) - up_to(before))
 
 
 def draw_counts(sources: DataFrame, slots: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """(rank, shard, n): how many slots of each output shard each source gets; ``sources`` has (rank, share).
 
-    The whole part of a source's expected number is given outright, and the slots that remain in the shard are
-    drawn from a multinomial over the fractions. So each count has its expected value, and totals stray
-    from the targets by far less than with slots drawn one by one.
+    Each source's total is its expected number, rounded so that the totals of all sources fill ``slots``. The whole part of its
+    expected number in a shard is given outright. What remains of its total is dealt over the slots that remain in all shards by
+    one permutation of these, so a source's total never depends on what is drawn.
     """
     shards = -(-slots // shard_slots)
-    filled = F.least(F.lit(shard_slots), F.lit(slots) - F.col("shard") * shard_slots)
-    chunks = sources.select("rank", "share", F.explode(F.expr(f"sequence(0L, {(shards - 1) // CHUNK_SHARDS}L)")).alias("chunk")).repartition("rank", "chunk")
-    within = F.expr(f"sequence(chunk * {CHUNK_SHARDS}, least((chunk + 1) * {CHUNK_SHARDS}, {shards}L) - 1)")
-    cells = chunks.select("rank", "share", F.explode(within).alias("shard")).withColumn("mean", filled * F.col("share"))
-    cells = cells.withColumn("whole", F.floor("mean")).withColumn("part", F.col("mean") - F.col("whole"))
-    running = F.sum("part").over(Window.partitionBy("shard").orderBy("rank"))
-    rows = cells.withColumn("up_to", running).groupBy("shard").agg(
-        (F.any_value(filled) - F.sum("whole")).alias("open"), F.array_sort(F.collect_list(F.struct("rank", "up_to"))).alias("parts")
-    )
-    turns = rows.where("open > 0").select("shard", "parts", F.explode(F.expr("sequence(1L, cast(open as bigint))")).alias("turn"))
-    aim = turns.withColumn("u", _unit(F.lit("draw"), F.col("shard"), F.col("turn")) * F.element_at("parts", -1)["up_to"])
-    nth = F.least(F.size(F.filter("parts", lambda p: p["up_to"] <= F.col("u"))), F.size("parts") - 1)
-    drawn = aim.select("shard", F.get("parts", nth)["rank"].alias("rank"), F.lit(1).cast("long").alias("n"))
-    return cells.select("shard", "rank", F.col("whole").cast("long").alias("n")).union(drawn).groupBy("rank", "shard").agg(F.sum("n").alias("n"))
+    last = slots - (shards - 1) * shard_slots
+    totals = _rounded(sources.select("rank", (F.col("share") * slots).alias("mean")), "mean", "total")
+    part = lambda filled: F.expr(f"total * {filled}L div {slots}L")
+    totals = totals.select("rank", "total", part(shard_slots).alias("whole"), part(last).alias("whole_last"))
+    rest = totals.withColumn("rest", F.col("total") - F.col("whole") * (shards - 1) - F.col("whole_last"))
+    everything = Window.partitionBy()
+    ahead = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    rest = rest.withColumn("ahead", F.coalesce(F.sum("rest").over(ahead), F.lit(0))).withColumn("all", F.sum("rest").over(everything))
+    rest = rest.withColumn("open", F.lit(shard_slots) - F.sum("whole").over(everything))
+    turns = rest.where("rest > 0").withColumn("chunk", F.explode(F.expr(f"sequence(0L, (rest - 1) div {CHUNK_SHARDS})"))).repartition("rank", "chunk")
+    within = F.expr(f"sequence(ahead + chunk * {CHUNK_SHARDS}, ahead + least((chunk + 1) * {CHUNK_SHARDS}, rest) - 1)")
+    place = permuted(F.col("turn"), F.col("all"), F.lit("draw"))
+    shard = F.when(F.col("open") > 0, F.least(F.expr("place div open"), F.lit(shards - 1))).otherwise(shards - 1)
+    drawn = turns.select("rank", "all", "open", F.explode(within).alias("turn")).withColumn("place", place)
+    drawn = drawn.select("rank", shard.cast("long").alias("shard"), F.lit(1).cast("long").alias("n"))
+    chunks = totals.withColumn("chunk", F.explode(F.expr(f"sequence(0L, {(shards - 1) // CHUNK_SHARDS}L)"))).repartition("rank", "chunk")
+    shards_of = F.expr(f"sequence(chunk * {CHUNK_SHARDS}, least((chunk + 1) * {CHUNK_SHARDS}, {shards}L) - 1)")
+    given = chunks.select("rank", "whole", "whole_last", F.explode(shards_of).alias("shard"))
+    given = given.select("rank", "shard", F.when(F.col("shard") < shards - 1, F.col("whole")).otherwise(F.col("whole_last")).alias("n"))
+    return given.union(drawn).groupBy("rank", "shard").agg(F.sum("n").alias("n"))
 
 
 def permuted(x: Column, size: Column, *key: Column) -> Column:
@@ -123,8 +132,9 @@ def _plan(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, source_
     blocks = F.ceil(F.col("source_size") / block)
     sources = source_targets(sizes).withColumn("blocks", blocks).withColumn("slices", F.ceil(F.col("docs") / SLICE_DOCS))
     sources = sources.withColumn("uses", F.when(F.col("blocks") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
-    sources = scratch.table(sources.withColumn("share", F.coalesce(F.try_divide("uses", F.sum("uses").over(Window.partitionBy())), F.lit(0.0))), "sources")
-    slots = max(1, round(sources.agg(F.sum("uses")).first()[0] or 0))
+    sources = _rounded(sources, "uses", "total")  # at a source's limit uses is whole and stays
+    sources = scratch.table(sources.withColumn("share", F.coalesce(F.try_divide("total", F.sum("total").over(Window.partitionBy())), F.lit(0.0))), "sources")
+    slots = max(1, sources.agg(F.sum("total")).first()[0] or 0)
     times = _block_times(sources, draw_counts(sources, slots), REPEATS, slots)
 
     placed = slim.join(sources.select(F.col("source").alias("_source"), "source_size", "target", "rank", "slices"), F.col("source").eqNullSafe(F.col("_source")))

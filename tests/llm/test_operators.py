@@ -93,6 +93,27 @@ def test_mixing_numbers_chunks_of_shards_without_a_gap(docs, monkeypatch):
     assert plan() == at_once
 
 
+def test_mixing_gives_small_sources_their_target_over_hundreds_of_shards(spark, monkeypatch):
+    whole, shards = mixing.draw_counts, []
+    monkeypatch.setattr(mixing, "draw_counts", lambda sources, slots: shards.append(-(-slots // 16)) or whole(sources, slots, 16))
+    words = {"a": 4, "b": 40, "c": 16_001, "d": 37}
+    made = [(k, s, "w " * n) for k, (s, n) in enumerate(words.items())]
+    for r in mixing.mix_plan(spark.createDataFrame(made, "doc_id long, source string, text string"), block=4).collect():
+        assert abs(r.taken - r.target) <= 4 and r.taken <= 3 * r.size
+    assert shards[0] > 200
+    counts = whole(spark.createDataFrame([(0, 0.001), (1, 0.0), (2, 0.3), (3, 0.699)], "rank int, share double"), 3001, 16).collect()
+    filled, totals = Counter(), Counter()
+    for r in counts:
+        filled[r.shard] += r.n
+        totals[r["rank"]] += r.n
+        mean = [0.001, 0, 0.3, 0.699][r["rank"]] * (16 if r.shard < 187 else 9)
+        assert r.n >= math.floor(mean)
+    assert all(filled[s] == (16 if s < 187 else 9) for s in range(188))
+    assert [totals[k] for k in range(4)] == [3, 0, 900, 2098]
+    halves = whole(spark.createDataFrame([(0, 0.5), (1, 0.5)], "rank int, share double"), 25, 16).collect()  # nothing is left over but in the last shard
+    assert sorted((r.shard, r.n) for r in halves) == [(0, 8), (0, 8), (1, 4), (1, 5)]
+
+
 def test_token_counts(spark, docs, rows, empty, tmp_path):
     from tokenizers import Tokenizer
 
