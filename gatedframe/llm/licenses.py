@@ -10,6 +10,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import regex
@@ -46,12 +47,21 @@ TEMPLATES = {
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ],
+    "BSD-2-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ],
+    "LGPL-3.0": ["licensed under the GNU Lesser General Public License, version 3"],
+    "LGPL-2.1": ["licensed under the GNU Lesser General Public License, version 2.1"],
+    "AGPL-3.0": ["licensed under the GNU Affero General Public License, version 3"],
+    "MPL-2.0": ["Licensed under the Mozilla Public License, Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution NonCommercial 4.0 International License"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License"],
-    "CC-BY-SA-4.0": ["licensed under a Creative Commons Attribution ShareAlike 4.0 International License"],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution ShareAlike 4.0 International License"],
 }
-#: A find holds one of these by definition; texts without any are not aligned. Each template has one of them.
-KEYS = (b"licens", b"permission", b"redistribut", b"copyright")
+#: Words that set licenses apart: a find matches each of these that its template has, ...
+MARKS = frozenset(b"mit apache gnu lesser affero mozilla cc nc sa nd creative commons noncommercial sharealike noderivatives endorse promote 1 2 3 4 0".split())
+#: ... and has none of these among its first to last mark that the template hasn't.
+OTHERS = MARKS - frozenset(b"cc creative commons endorse promote".split()) | frozenset(b"commercial alike derivatives".split())
 
 WORD = regex.compile(rb"[a-z0-9]+")
 
@@ -96,47 +106,99 @@ def align(template: list[bytes], text: list[bytes]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
-def _prepared() -> list[tuple[str, list[bytes], dict[bytes, list[int]]]]:
+@dataclass(frozen=True)
+class _Template:
+    name: str
+    words: list[bytes]
+    marks: frozenset[bytes]
+    #: Places of words of which every find matches one.
+    keys: dict[bytes, list[int]]
+    #: Texts with fewer of the template's distinct words aren't aligned; a find has more.
+    distinct: int
+    vocabulary: frozenset[bytes]
+
+
+def _prepared(coverage: float = COVERAGE) -> list[_Template]:
+    made = [(name, WORD.findall(text.lower().encode())) for name, texts in TEMPLATES.items() for text in texts]
+    common = Counter(w for _, words in made for w in set(words))
     out = []
-    for name, texts in TEMPLATES.items():
-        for text in texts:
-            words = WORD.findall(text.lower().encode())
-            keyed: dict[bytes, list[int]] = {}
-            for k, w in enumerate(words):
-                if any(key in w for key in KEYS):
-                    keyed.setdefault(w, []).append(k)
-            out.append((name, words, keyed))
+    for name, words in made:
+        missed = max(k for k in range(len(words) + 1) if k == 0 or (len(words) - k) / len(words) >= coverage)
+        times = Counter(words)
+        marks = frozenset(w for w in times if w in MARKS or (w == b"by" and b"cc" in times))
+        if marks:
+            chosen = {min(marks, key=lambda w: (len(w) < 2, common[w], w))}
+        else:  # more places than a find can miss, those of the rarer words first
+            chosen, n = set(), 0
+            for w in sorted(times, key=lambda w: (common[w], -len(w), w)):
+                if n > missed:
+                    break
+                chosen.add(w)
+                n += times[w]
+        keys = {w: [k for k, x in enumerate(words) if x == w] for w in chosen}
+        out.append(_Template(name, words, marks, keys, len(times) - missed if marks else len(times) // 2, frozenset(times)))
     return out
 
 
-def scan(text: bytes, prepared: list[tuple[str, list[bytes], dict[bytes, list[int]]]]) -> tuple[int, list[tuple[float, int, str, int, int]]]:
+def _laid(template: list[bytes], words: list[bytes], at: int, place: int, spare: int) -> list[tuple[int, int]]:
+    """Alignment in which word ``place`` of the template meets word ``at``, with ``spare`` words more to either side."""
+    lo, hi = max(0, at - place - spare), at + len(template) - place + spare
+    left = align(template[:place], words[lo:at])
+    right = align(template[place + 1 :], words[at + 1 : hi])
+    return [*((a, lo + b) for a, b in left), (place, at), *((place + 1 + a, at + 1 + b) for a, b in right)]
+
+
+def scan(text: bytes, prepared: list[_Template], coverage: float = COVERAGE) -> tuple[int, list[tuple[float, int, str, int, int]]]:
     """(words, best find of each license: coverage, matched words, name, first and behind last word).
 
     A template is laid beside the text so that a key word of the template meets the same word of the text, with a
-    quarter of its length to spare at either end.
+    quarter of its length to spare at either end. A find of another license whose
+    marks (without any, most of whose matched words) are all matched by a find of more words is none.
     """
-    low = text.translate(ASCII_LOWER)
-    if not any(k in low for k in KEYS):
-        return -1, []
-    words = WORD.findall(low)
-    where: dict[bytes, list[int]] = {}
-    for k, w in enumerate(words):
-        if any(key in w for key in KEYS):
-            where.setdefault(w, []).append(k)
-    best: dict[str, tuple[float, int, int, int]] = {}
-    for name, template, keyed in prepared:
-        spare, tried = len(template) // 4 + 1, set()
-        for word, places in keyed.items():
-            for at in where.get(word, ()):
-                for place in places:
-                    tried.add(at - place)
-        for begin in sorted(tried):
-            lo, hi = max(0, begin - spare), begin + len(template) + spare
-            pairs = align(template, words[lo:hi])
-            found = (len(pairs) / len(template), len(pairs))
-            if pairs and found > best.get(name, (0.0, 0))[:2]:
-                best[name] = (*found, lo + pairs[0][1], lo + pairs[-1][1] + 1)
-    return len(words), [(c, n, name, a, b) for name, (c, n, a, b) in best.items()]
+    words = WORD.findall(text.translate(ASCII_LOWER))
+    present, where = frozenset(words), {}
+    hopeful = [t for t in prepared if len(t.vocabulary & present) >= t.distinct and t.marks <= present]
+    wanted = {w for t in hopeful for w in t.keys}
+    if wanted:
+        for k, w in enumerate(words):
+            if w in wanted:
+                where.setdefault(w, []).append(k)
+    partial: dict[str, tuple[float, int, str, int, int]] = {}
+    finds: dict[tuple[str, tuple[int, ...]], tuple[int, int, int, float, frozenset[int]]] = {}
+    for t in hopeful:
+        n, done = len(t.words), set()
+        for word, places in t.keys.items():
+            for at, place in ((a, p) for a in where.get(word, ()) for p in places):
+                if at - place in done:
+                    continue
+                for spare in (n // 4 + 1,):
+                    pairs = _laid(t.words, words, at, place, spare)
+                    marked = [b for a, b in pairs if t.words[a] in t.marks]
+                    if not t.marks <= {words[b] for b in marked}:
+                        continue
+                    if marked and not OTHERS.isdisjoint(set(words[marked[0] : marked[-1] + 1]) - t.marks):
+                        continue
+                    cover, first, last = len(pairs) / n, pairs[0][1], pairs[-1][1] + 1
+                    if cover >= coverage:
+                        spots = tuple(b for _, b in pairs)
+                        finds.setdefault((t.name, spots), (len(pairs), first, last, cover, frozenset(marked)))
+                        if cover == 1:
+                            done.add(at - place)
+                            break
+                    elif (cover, len(pairs)) > partial.get(t.name, (0.0, 0))[:2]:
+                        partial[t.name] = (cover, len(pairs), t.name, first, last)
+    best: dict[str, tuple[float, int, str, int, int]] = {}
+    owner: dict[int, set[str]] = {}
+    for (name, spots), (n, first, last, cover, marked) in sorted(finds.items(), key=lambda f: (-f[1][0], -f[1][3], f[0])):
+        held = marked or spots
+        by = Counter(o for k in held for o in owner.get(k, ()) if o != name)
+        if any(c == len(held) if marked else c >= 0.8 * len(held) for c in by.values()):
+            continue
+        for k in spots:
+            owner.setdefault(k, set()).add(name)
+        if (cover, n) > best.get(name, (0.0, 0))[:2]:
+            best[name] = (cover, n, name, first, last)
+    return len(words), list(best.values()) or list(partial.values())
 
 
 def license_scan(docs: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,16 +206,16 @@ def license_scan(docs: DataFrame, coverage: float = COVERAGE, id_col: str = "doc
 
     ``licenses`` holds the names found with at least ``coverage``, sorted; ``license`` is that of the highest coverage, then of most
     matched words, then the first by name, with where it lies among the text's words (letters a-z and digits). Without a find
-    they are null and ``coverage`` is the best that was reached. A null text counts as empty. Repeated rows each get a
+    they are null and ``coverage`` is the best that was reached by a template whose marks are all matched (of one without marks, if half of its words are there). A null text counts as empty. Repeated rows each get a
     row, an empty table gives none, and other columns are not read.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prepared = _prepared()
+        prepared = _prepared(coverage)
         for batch in pieces(batches):
             rows = []
             for text in utf8(batch.column(1)):
-                _, finds = scan(text, prepared)
+                _, finds = scan(text, prepared, coverage)
                 finds.sort(key=lambda f: (-f[0], -f[1], f[2]))
                 good = [f for f in finds if f[0] >= coverage]
                 top = good[0] if good else (finds[0][0] if finds else 0.0, None, None, None, None)

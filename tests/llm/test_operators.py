@@ -268,6 +268,29 @@ def test_alignment_and_scan(spark, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Licensed under the BSD License", []),
+        ("Licensed under the Apache License, Version 2.0", ["Apache-2.0"]),
+        ("licensed under the GNU General Public License, version 3", ["GPL-3.0"]),
+        ("licensed under the GNU General Public License, version 2", ["GPL-2.0"]),
+        ("licensed under the GNU Lesser General Public License, version 3", ["LGPL-3.0"]),
+        ("Licensed under CC BY-NC 4.0", ["CC-BY-NC-4.0"]),
+        ("Licensed under CC BY-SA 4.0", ["CC-BY-SA-4.0"]),
+        ("Licensed under CC BY 4.0", ["CC-BY-4.0"]),
+        ("Licensed under CC BY 3.0", []),
+        ("licensed under the MIT License or under the Apache License, Version 2.0", ["Apache-2.0", "MIT"]),
+        (licenses.TEMPLATES["BSD-3-Clause"][0], ["BSD-3-Clause"]),
+        (licenses.TEMPLATES["BSD-2-Clause"][0], ["BSD-2-Clause"]),
+        (licenses.TEMPLATES["GPL-2.0"][1], ["GPL-2.0"]),
+    ],
+)
+def test_a_notice_names_its_own_license_alone(text, want):
+    for t in (text, "Some words before. " + text + ". And words behind it."):
+        assert sorted(f[2] for f in licenses.scan(t.encode(), licenses._prepared())[1] if f[0] >= licenses.COVERAGE) == want
+
+
 def brute_quality(t):
     t = t or ""
     w, seen, again = re.findall(WORD, t), set(), 0
