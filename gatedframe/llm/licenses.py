@@ -151,8 +151,8 @@ def _laid(template: list[bytes], words: list[bytes], at: int, place: int, spare:
 def scan(text: bytes, prepared: list[_Template], coverage: float = COVERAGE) -> tuple[int, list[tuple[float, int, str, int, int]]]:
     """(words, best find of each license: coverage, matched words, name, first and behind last word).
 
-    A template is laid beside the text so that a key word of the template meets the same word of the text, with a
-    quarter of its length to spare at either end. A find of another license whose
+    A template is laid beside the text so that a key word of the template meets the same word of the text, once with a
+    quarter of its length to spare at either end and once with all of it, for insertions. A find of another license whose
     marks (without any, most of whose matched words) are all matched by a find of more words is none.
     """
     words = WORD.findall(text.translate(ASCII_LOWER))
@@ -171,7 +171,7 @@ def scan(text: bytes, prepared: list[_Template], coverage: float = COVERAGE) ->
             for at, place in ((a, p) for a in where.get(word, ()) for p in places):
                 if at - place in done:
                     continue
-                for spare in (n // 4 + 1,):
+                for spare in (n // 4 + 1, n):
                     pairs = _laid(t.words, words, at, place, spare)
                     marked = [b for a, b in pairs if t.words[a] in t.marks]
                     if not t.marks <= {words[b] for b in marked}:

@@ -291,6 +291,19 @@ def test_a_notice_names_its_own_license_alone(text, want):
         assert sorted(f[2] for f in licenses.scan(t.encode(), licenses._prepared())[1] if f[0] >= licenses.COVERAGE) == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Available under CC BY 4.0", ["CC-BY-4.0"]),
+        ("This text is under CC BY-NC 4.0", ["CC-BY-NC-4.0"]),
+        ("Released under the MIT Licence", ["MIT"]),
+        ("Released under the terms of the well known MIT License", ["MIT"]),
+    ],
+)
+def test_notices_without_a_word_of_licensing_or_with_an_insertion_are_found(text, want):
+    assert [f[2] for f in licenses.scan(text.encode(), licenses._prepared())[1] if f[0] >= licenses.COVERAGE] == want
+
+
 def brute_quality(t):
     t = t or ""
     w, seen, again = re.findall(WORD, t), set(), 0
