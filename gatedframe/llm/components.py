@@ -8,36 +8,36 @@ from pyspark.sql import functions as F
 from gatedframe.llm.storage import Scratch
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """(u, v, m) with m the smallest of u and its neighbours.
+def _star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(u, v, m) with m the smallest of u and its neighbours; ``edges`` is a written table.
 
-    The minimum is combined on the map side before it is shuffled. It is joined back rather than
-    taken by a window, so that the edges of a node with very many neighbours can be dealt to
-    several tasks (adaptive skew join).
+    The minimum is combined on the map side before it is shuffled, and written before it is joined back: with a plain
+    table on both sides the edges of a node with very many neighbours can be dealt to several tasks (adaptive skew join).
     """
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = scratch.table(edges.groupBy("u").agg(F.min("v").alias("m")), name)
     return edges.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``edges`` has bigint columns (u, v). Returns (node, root): root is the smallest node that
     can be reached. Nodes without an edge to another are left out.
 
-    Each round writes its edges to the shared folder and deletes the round before. The
-    driver sees one count and one checksum a round, never links.
+    Each round writes its edges to the shared folder and deletes the round before. Rounds go on until the edges stay
+    as they are (about the square of the logarithm of the longest path). The driver sees one count and one checksum a round, never links.
     """
     both = lambda e: e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     current = scratch.table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges-0")
-    seen = None
-    for n in range(1, max_rounds + 1):
-        large = _star(both(current)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _star(large)
+    seen, n = None, 0
+    while True:
+        n += 1
+        large = _star(both(current), scratch, f"least-large-{n}").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = scratch.table(large, f"large-{n}")
+        small = _star(large, scratch, f"least-small-{n}")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         following = scratch.table(small, f"edges-{n}")
-        scratch.drop(f"edges-{n - 1}")
+        scratch.drop(f"edges-{n - 1}", f"large-{n}", f"least-large-{n}", f"least-small-{n}")
         mark = tuple(following.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         current = following
         if mark == seen:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = mark
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -8,10 +8,12 @@ value the low eight bits are stored, and likeness is corrected for bits that agr
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatedframe.llm.storage import Scratch
 from gatedframe.llm.words import word_array
 
 SHINGLE = 5
@@ -72,38 +74,46 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), (a.isNull() & b.isNull()).cast("double")).otherwise(corrected)
 
 
-def _slice(bounds: list[int]) -> Column:
-    """Number of bounds at or below ``_key``, by a binary search."""
+def _slice(bounds: list[tuple[int, int]]) -> Column:
+    """Number of bounds at or below (``_key``, ``_tie``), by a binary search."""
     if not bounds:
         return F.lit(0)
-    table = F.array(*map(F.lit, bounds))
+    keys, ties = (F.array(*map(F.lit, column)) for column in zip(*bounds))
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
-    return F.aggregate(steps, F.lit(0), lambda found, step: F.when(F.get(table, found + step - 1) <= F.col("_key"), found + step).otherwise(found))
+    reached = lambda at: (F.get(keys, at) < F.col("_key")) | ((F.get(keys, at) == F.col("_key")) & (F.get(ties, at) <= F.col("_tie")))
+    return F.aggregate(steps, F.lit(0), lambda found, step: F.when(reached(found + step - 1), found + step).otherwise(found))
+
+
+def _bounds(keyed: DataFrame, slices: int) -> list[tuple[int, int]]:
+    """Lower ends of all slices but the first. A key that fills several slices (one id repeated, or none) is cut by the tie, which is spread evenly."""
+    if slices <= 1:
+        return []
+    shares = [k / slices for k in range(1, slices)]
+    times = Counter(keyed.agg(F.percentile_approx("_key", shares, max(10_000, 20 * slices))).first()[0])
+    return sorted((key, LEAST + j * ((1 << 64) // n)) for key, n in times.items() for j in range(n))
 
 
 def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """``docs`` with next_<column>: the values of the next row by descending id, and of the first after the last.
 
-    Null ids stand last, and rows of equal id are ordered by a hash of ``columns``. Rows are dealt to ranges of ids; the first row of
-    each range is also sent to the range before, so that neighbours meet without ordering the table in one task.
+    Null ids stand last, and rows of equal id in an order of their own that is drawn from their places in the input. Rows are dealt to ranges of id and place; the
+    first row of each range is also sent to the range before, so that neighbours meet without ordering the table, or the rows of one id, in one task.
+    Rows are written with their places first, since places given anew could differ.
     """
-    keyed = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)))
-    slices = min(MOST_SLICES, -(-docs.count() // SLICE_ROWS))
-    bounds: list[int] = []
-    if slices > 1:
-        shares = [k / slices for k in range(1, slices)]
-        bounds = sorted(set(keyed.agg(F.percentile_approx("_key", shares, max(10_000, 20 * slices))).first()[0]))  # one bound per slice
-    keyed = keyed.withColumn("_slice", _slice(bounds))
-    tops = keyed.groupBy("_slice").agg(F.max("_key").alias("_top"))
+    keyed = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST))).withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))
+    keyed = Scratch(docs.sparkSession, "fingerprints").table(keyed, "keyed")
+    keyed = keyed.withColumn("_slice", _slice(_bounds(keyed, min(MOST_SLICES, -(-keyed.count() // SLICE_ROWS)))))
+    # of each slice the first row in descending order; as many rows as slices
+    tops = keyed.groupBy("_slice").agg(F.max(F.struct("_key", "_tie")).alias("_top"))
     before = F.coalesce(F.lead("_slice").over(Window.orderBy("_slice")), F.min("_slice").over(Window.partitionBy()))
-    tops = tops.select("_top", before.alias("_to"))
+    tops = tops.select(F.col("_top._key").alias("_top"), F.col("_top._tie").alias("_top_tie"), before.alias("_to"))
     # tops has MOST_SLICES rows at most
-    met = keyed.join(F.broadcast(tops), F.col("_key") == F.col("_top"), "left")
+    met = keyed.join(F.broadcast(tops), (F.col("_key") == F.col("_top")) & (F.col("_tie") == F.col("_top_tie")), "left")
     host, guest = F.struct(F.col("_slice").alias("s"), F.lit(0).alias("g")), F.struct(F.col("_to").alias("s"), F.lit(1).alias("g"))
     sent = F.explode(F.when(F.col("_to").isNull(), F.array(host)).otherwise(F.array(host, guest)))
-    both = met.withColumn("_sent", sent).withColumn("_slice", F.col("_sent.s")).withColumn("_guest", F.col("_sent.g")).drop("_sent", "_top", "_to")
-    order = Window.partitionBy("_slice").orderBy("_guest", F.desc("_key"), F.xxhash64(*columns))
-    return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where("_guest = 0").drop("_guest", "_slice", "_key")
+    both = met.withColumn("_sent", sent).withColumn("_slice", F.col("_sent.s")).withColumn("_guest", F.col("_sent.g")).drop("_sent", "_top", "_top_tie", "_to")
+    order = Window.partitionBy("_slice").orderBy("_guest", F.desc("_key"), F.desc("_tie"))
+    return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where("_guest = 0").drop("_guest", "_slice", "_key", "_tie")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,9 +1,9 @@
 """Mixing sources to target weights, with DataFrame functions alone.
 
-The words of each source, its documents in a hashed order, are packed into blocks of fixed length. The slots that
-a source gets in all are shared out over the output shards, the slots of a source are numbered through
-all shards, and each number is mapped to a block by a pseudorandom permutation of the source's blocks, a new one
-each time the source has been used up. A join by block index gives how often each document's words are taken.
+The words of each source, its documents in a hashed order, are packed into blocks of fixed length. How many slots of
+each output shard a source gets is drawn from the multinomial distribution given the source's total (all slots of the mix are dealt to the shards by one
+pseudorandom permutation and counted). The slots of a source are numbered through all shards, and each number is mapped to a block by a
+permutation of the source's blocks, a new one each time the source has been used up. A join by block index gives how often each document's words are taken.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 #: Words in a block, and slots in an output shard.
 BLOCK, SHARD_SLOTS = 64, 8192
-#: Output shards of a source that are unfolded from one row and numbered in one task.
-CHUNK_SHARDS = 4096
+#: Output shards of a source that are numbered in one task, and slots that are unfolded from one row.
+CHUNK_SHARDS, CHUNK_TURNS = 4096, 4096
 #: Slots that one task maps, about, and the most tasks; with more slots each task maps more.
 TASK_SLOTS, MOST_TASKS = 50_000, 20_000
 #: Documents of a source whose offsets one task adds up, about.
@@ -59,34 +59,24 @@ def _rounded(sources: DataFrame, column: str, out: str) -> DataFrame:
     return sources.withColumn(out, up_to(through) - up_to(before))
 
 
+def _tasks(slots: int) -> int:
+    return max(1, min(MOST_TASKS, -(-slots // TASK_SLOTS)))
+
+
 def draw_counts(sources: DataFrame, slots: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """(rank, shard, n): how many slots of each output shard each source gets; ``sources`` has (rank, share).
+    """(rank, shard, n): how many slots of each output shard each source gets, where that is any; ``sources`` has (rank, total).
 
-    Each source's total is its expected number, rounded so that the totals of all sources fill ``slots``. The whole part of its
-    expected number in a shard is given outright. What remains of its total is dealt over the slots that remain in all shards by
-    one permutation of these, so a source's total never depends on what is drawn.
+    The totals of all sources fill ``slots``. One permutation of all slots deals them to the shards, so that the counts
+    of a shard are a multinomial draw given the totals, every shard is filled, and a source's total never depends on what is drawn. There are no more
+    rows than slots, however many sources and shards there are.
     """
-    shards = -(-slots // shard_slots)
-    last = slots - (shards - 1) * shard_slots
-    totals = _rounded(sources.select("rank", (F.col("share") * slots).alias("mean")), "mean", "total")
-    part = lambda filled: F.expr(f"total * {filled}L div {slots}L")
-    totals = totals.select("rank", "total", part(shard_slots).alias("whole"), part(last).alias("whole_last"))
-    rest = totals.withColumn("rest", F.col("total") - F.col("whole") * (shards - 1) - F.col("whole_last"))
-    everything = Window.partitionBy()
     ahead = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    rest = rest.withColumn("ahead", F.coalesce(F.sum("rest").over(ahead), F.lit(0))).withColumn("all", F.sum("rest").over(everything))
-    rest = rest.withColumn("open", F.lit(shard_slots) - F.sum("whole").over(everything))
-    turns = rest.where("rest > 0").withColumn("chunk", F.explode(F.expr(f"sequence(0L, (rest - 1) div {CHUNK_SHARDS})"))).repartition("rank", "chunk")
-    within = F.expr(f"sequence(ahead + chunk * {CHUNK_SHARDS}, ahead + least((chunk + 1) * {CHUNK_SHARDS}, rest) - 1)")
-    place = permuted(F.col("turn"), F.col("all"), F.lit("draw"))
-    shard = F.when(F.col("open") > 0, F.least(F.expr("place div open"), F.lit(shards - 1))).otherwise(shards - 1)
-    drawn = turns.select("rank", "all", "open", F.explode(within).alias("turn")).withColumn("place", place)
-    drawn = drawn.select("rank", shard.cast("long").alias("shard"), F.lit(1).cast("long").alias("n"))
-    chunks = totals.withColumn("chunk", F.explode(F.expr(f"sequence(0L, {(shards - 1) // CHUNK_SHARDS}L)"))).repartition("rank", "chunk")
-    shards_of = F.expr(f"sequence(chunk * {CHUNK_SHARDS}, least((chunk + 1) * {CHUNK_SHARDS}, {shards}L) - 1)")
-    given = chunks.select("rank", "whole", "whole_last", F.explode(shards_of).alias("shard"))
-    given = given.select("rank", "shard", F.when(F.col("shard") < shards - 1, F.col("whole")).otherwise(F.col("whole_last")).alias("n"))
-    return given.union(drawn).groupBy("rank", "shard").agg(F.sum("n").alias("n"))
+    turns = sources.select("rank", "total", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("ahead")).where("total > 0")
+    turns = turns.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (total - 1) div {CHUNK_TURNS})"))).repartition(_tasks(slots), "rank", "chunk")
+    within = F.expr(f"sequence(ahead + chunk * {CHUNK_TURNS}, ahead + least((chunk + 1) * {CHUNK_TURNS}, total) - 1)")
+    place = permuted(F.col("turn"), F.lit(slots).cast("long"), F.lit("draw"))
+    dealt = turns.select("rank", F.explode(within).alias("turn")).select("rank", place.alias("place"))
+    return dealt.groupBy("rank", F.expr(f"place div {shard_slots}").alias("shard")).agg(F.count("*").alias("n"))
 
 
 def permuted(x: Column, size: Column, *key: Column) -> Column:
@@ -100,7 +90,7 @@ def permuted(x: Column, size: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, turn)
 
 
-def _block_times(sources: DataFrame, counts: DataFrame, repeats: int, slots: int) -> DataFrame:
+def _block_times(sources: DataFrame, counts: DataFrame, slots: int) -> DataFrame:
     """(rank, block, times) of the blocks that slots map to. Cells of few bytes unfold to many slots, so they are dealt by number of slots.
 
     Slots are numbered chunk by chunk: each chunk of shards on its own, after the sum of the chunks before it.
@@ -111,11 +101,16 @@ def _block_times(sources: DataFrame, counts: DataFrame, repeats: int, slots: int
     before = Window.partitionBy("rank", "chunk").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     ahead = chunked.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0")
     first = ahead.join(bases, ["rank", "chunk"]).select("rank", "shard", "n", (F.col("base") + F.col("ahead")).alias("first"))
-    first = first.repartition(min(MOST_TASKS, -(-slots // TASK_SLOTS)), "rank", "shard")
+    first = first.repartition(_tasks(slots), "rank", "shard")
     unfolded = first.join(sources.where("blocks > 0").select("rank", "blocks"), "rank").select("rank", "blocks", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
-    used = unfolded.where(F.col("slot") < repeats * F.col("blocks"))
-    block = permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.col("rank"), F.floor(F.col("slot") / F.col("blocks")))
-    return used.select("rank", block.alias("block")).groupBy("rank", "block").agg(F.count("*").alias("times"))
+    block = permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.col("rank"), F.expr("slot div blocks"))
+    return unfolded.select("rank", block.alias("block")).groupBy("rank", "block").agg(F.count("*").alias("times"))
+
+
+def _mark(docs: DataFrame) -> Column:
+    """128 bits of hash of a row, by which rows alike in every column are one; maps can't be hashed and are passed over."""
+    kept = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    return F.struct(F.xxhash64(*kept).alias("a"), F.xxhash64(F.lit(SEED), *kept).alias("b"))
 
 
 def _plan(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, source_col: str, block: int) -> DataFrame:
@@ -124,18 +119,18 @@ def _plan(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, source_
     Columns: doc_id, size, source_size, target, mark (hash of the row), own (rank, slice, nth), lo, hi (words of the document
     in the block), times. A document without words has one row with null lo, hi and times.
     """
-    kept = [c for c, kind in docs.dtypes if not kind.startswith("map")]
     slim = scratch.table(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(*kept).alias("mark")), "sizes"
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _mark(docs).alias("mark")), "sizes"
     )
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     blocks = F.ceil(F.col("source_size") / block)
     sources = source_targets(sizes).withColumn("blocks", blocks).withColumn("slices", F.ceil(F.col("docs") / SLICE_DOCS))
     sources = sources.withColumn("uses", F.when(F.col("blocks") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
-    sources = _rounded(sources, "uses", "total")  # at a source's limit uses is whole and stays
-    sources = scratch.table(sources.withColumn("share", F.coalesce(F.try_divide("total", F.sum("total").over(Window.partitionBy())), F.lit(0.0))), "sources")
-    slots = max(1, sources.agg(F.sum("total")).first()[0] or 0)
-    times = _block_times(sources, draw_counts(sources, slots), REPEATS, slots)
+    # a source at its limit uses REPEATS times its blocks, which rounding can't exceed but by the last bit of a double
+    sources = _rounded(sources, "uses", "total").withColumn("total", F.least("total", REPEATS * F.col("blocks")).cast("long"))
+    sources = scratch.table(sources, "sources")
+    slots = sources.agg(F.sum("total")).first()[0] or 0
+    times = _block_times(sources, scratch.table(draw_counts(sources, slots), "counts"), slots)
 
     placed = slim.join(sources.select(F.col("source").alias("_source"), "source_size", "target", "rank", "slices"), F.col("source").eqNullSafe(F.col("_source")))
     placed = placed.withColumn("slice", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "mark"), "slices"))
@@ -170,13 +165,13 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The mix itself, with the columns of ``docs``: one row per document of which words are taken.
 
     Its text holds the taken words with the white space behind them; words taken again follow on a new line, in
-    the order of the document. A column ``n_chars`` is counted anew.
+    the order of the document. A column ``n_chars`` is counted anew. Documents without words (null, empty or blank texts) go, null sources form one
+    source, each of some repeated rows is taken on its own, and an empty table gives an empty result.
     """
     plan = _plan(docs, Scratch(docs.sparkSession, "mixing"), id_col, text_col, source_col, block)
     parts = F.array_sort(F.collect_list(F.struct("lo", "hi", "times"))).alias("_parts")
     taken = plan.where("times > 0").groupBy("own", "mark").agg(parts).select(F.col("mark").alias("_mark"), "_parts")
-    kept = [c for c, kind in docs.dtypes if not kind.startswith("map")]
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(*kept).alias("_mark"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), _mark(docs).alias("_mark"), F.col(text_col).alias("_text"))
     once = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_mark").orderBy("_mark"))).where("_nth = 1").drop("_nth")
     words = F.split(F.regexp_replace("_text", r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     cut = once.join(taken, "_mark").withColumn("_words", words)

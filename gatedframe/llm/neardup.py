@@ -1,8 +1,10 @@
-"""Near-duplicates by word shingles: MinHash bands find candidates, and exact Jaccard similarity decides.
+"""Near-duplicates of a five-word Jaccard similarity of 0.8 or more: SimHash and MinHash find candidates, exact similarity decides.
 
-A document is the set of its five-word shingles, as 64-bit hashes. Each of 32 bands joins five smallest hashes, so
-documents of similarity 0.8 share a band but for 0.672^32, 3 pairs in a million. Documents with the same set are one
-node. The members of a band's bucket are compared set by set where their task holds them; buckets with the same members are compared once.
+A document is the set of its five-word shingles, as 64-bit hashes; documents with the same set are one node. The SimHash
+operator links nodes whose fingerprints (of the same hashes) differ in at most four bits, which finds near exact
+copies and few others: at similarity 0.8 some ten bits differ. So each of 32 bands besides joins five smallest hashes, and
+documents of similarity 0.8 share a band but for 0.672^32, 3 pairs in a million. A component of fingerprints and a value of a band are
+buckets alike; the members of a bucket are compared set by set where their task holds them, and buckets with the same members once.
 """
 
 from __future__ import annotations
@@ -12,9 +14,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatedframe.llm import simhash, survivors
 from gatedframe.llm.components import connected_components
 from gatedframe.llm.storage import Scratch
 from gatedframe.llm.words import ASCII_LOWER, pieces, utf8
@@ -60,6 +63,14 @@ def _node(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), 42)
 
 
+def _fingerprint(found: np.ndarray) -> int:
+    """SimHash of shingle hashes, unsigned; zero for none."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(found), PART):
+        total += np.unpackbits(found[at : at + PART].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(found)).tobytes(), "big")
+
+
 def _least(found: np.ndarray) -> np.ndarray:
     least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
     for at in range(0, len(found), PART):
@@ -77,9 +88,10 @@ def _marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         nodes = np.array([_node(s) for s in sets], np.uint64)
         least = np.stack([_least(s) for s in sets]).reshape(len(sets), BANDS, ROWS)
+        marks = np.array([_fingerprint(s) for s in sets], np.uint64)
         bands = _mixed((_mixed(least) * _PLACES[:ROWS]).sum(axis=2, dtype=np.uint64) + _SALTS)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes.view(np.int64)), lists], ["key", "node", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes.view(np.int64)), pa.array(marks.view(np.int64)), lists], ["key", "node", "fp", "bands"])
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,37 +152,40 @@ def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield edges()
 
 
-def components(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, component) for the rows of ``docs`` (key bigint, text): the smallest key that links of similarity 0.8 or more reach."""
-    marks = scratch.table(docs.mapInArrow(_marks, "key long, node long, bands array<long>"), "marks")
-    nodes = scratch.table(marks.groupBy("node").agg(F.min("key").alias("least"), F.any_value("bands").alias("bands")), "nodes")
-    bucket = Window.partitionBy("bucket")
-    met = nodes.select("node", F.explode("bands").alias("bucket"))
-    met = met.withColumn("n", F.count("*").over(bucket)).withColumn("members", F.bit_xor(F.xxhash64("node")).over(bucket)).where("n > 1")
-    met = scratch.table(met, "met")
-    first = met.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket")
-    chunks = met.join(first, "bucket", "left_semi").withColumn("k", F.ceil(F.col("n") / CHUNK).cast("long")).withColumn("c", F.expr("pmod(xxhash64(node), k)"))
+def least_of_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of ``docs`` (key, text): the least key of each component of links of similarity 0.8 or more, as column ``key``."""
+    kind = docs.schema["key"].dataType.simpleString()
+    marks = docs.mapInArrow(_marks, f"key {kind}, node long, fp long, bands array<long>")
+    nodes = marks.groupBy("node").agg(F.min("key").alias("least"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
+    nodes = scratch.table(nodes, "nodes")
+    alike = connected_components(simhash.link_edges(nodes.select("fp").distinct(), scratch=scratch), scratch)
+    alike = scratch.table(alike, "alike")
+    by_mark = nodes.select("node", "fp").join(alike, F.col("fp") == alike.node, "left").select(nodes.node, F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("bucket"))
+    entered = nodes.select("node", F.explode("bands").alias("bucket")).union(by_mark)
+    # counted on the map side first, so that no task gathers the members of a common bucket
+    met = scratch.table(entered.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1"), "buckets")
+    first = scratch.table(met.groupBy("n", "members").agg(F.min("bucket").alias("bucket")), "first")
+    chunks = entered.join(first, "bucket").select("bucket", "node", F.ceil(F.col("n") / CHUNK).cast("long").alias("k")).withColumn("c", F.expr("pmod(xxhash64(node), k)"))
+    chunks = scratch.table(chunks, "chunks")
     dealt = chunks.select("bucket", "c", "node", F.explode(F.expr("sequence(0L, k - 1)")).alias("o")).select("bucket", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node")
-    wanted = scratch.table(nodes.select("node", "least").join(met.select("node").distinct(), "node", "left_semi").select(F.col("least").alias("key")).distinct(), "wanted")
+    wanted = scratch.table(nodes.select("node", "least").join(chunks.select("node").distinct(), "node", "left_semi").select(F.col("least").alias("key")).distinct(), "wanted")
     sets = docs.join(wanted, "key", "left_semi").select("text").mapInArrow(_sets, "node long, shingles binary")
     sets = scratch.table(sets.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "sets")
     groups = dealt.join(sets, "node").select("bucket", "i", "j", "node", "shingles")
     edges = groups.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_links, "u long, v long")
     roots = connected_components(edges, scratch)
-    placed = nodes.join(roots, nodes.node == roots.node, "left").select(nodes.node, "least", F.coalesce("root", nodes.node).alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component"))
-    return marks.select("key", "node").join(placed.join(named, "root").select("node", "component"), "node").select("key", "component")
+    placed = nodes.join(roots, nodes.node == roots.node, "left").select("least", F.coalesce("root", nodes.node).alias("root"))
+    named = scratch.table(placed.groupBy("root").agg(F.min("least").alias("key")).select("key"), "named")
+    scratch.drop("nodes", "alike", "met", "buckets", "first", "chunks", "wanted", "sets")
+    return named
 
 
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of each component with the smallest id, with all columns of ``docs``.
+    """One row of each component, with all columns of ``docs``: that with the smallest id.
 
-    A row without an id stands behind all that have one (ids are below 2^62) and is told apart by its text's
-    hash. Of rows that repeat the id (or lack one and share the text), the one with the smallest text hash stays.
+    A row without an id stands behind all that have one. Of rows that repeat the smallest id of their component the one with the smallest text hash
+    stays, then that with the smallest hash of all columns; rows alike in every column count once. Rows of other components that share the
+    id are none of its business. Texts without words are alike. Columns of any name come back as they were, and an empty table stays one.
     """
-    stand_in = F.expr(f"shiftleft(1L, 62) + (xxhash64(`{text_col}`) & (shiftleft(1L, 62) - 1))")
-    keyed = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), stand_in))
-    found = components(keyed.select(F.col("_key").alias("key"), F.col(text_col).alias("text")), Scratch(docs.sparkSession, "neardup"))
-    kept = found.where("key = component").select(F.col("key").alias("_key")).distinct()
-    order = Window.partitionBy("_key").orderBy(F.xxhash64(text_col))
-    return keyed.join(kept, "_key", "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*docs.columns)
+    keys = least_of_components(survivors.keyed(docs, id_col, text_col).select("key", "text"), Scratch(docs.sparkSession, "neardup"))
+    return survivors.kept(docs, keys, id_col, text_col)

@@ -4,9 +4,10 @@ A fingerprint is cut into segments of two bits, and the vector of segment popcou
 whose Manhattan distance never exceeds the Hamming distance. For the grid, each half of 32 bits is
 embedded twice, with segments that begin at even and at odd bits, so that its cell tells fingerprints apart
 nearly as well as its bits do. Two fingerprints that differ in at most four bits differ in at most two in one of
-the halves, so some half is one bit away from both. Every fingerprint is entered in the cell of each
-half and in those of the halves one bit away; fingerprints that meet in a cell are candidates, the whole
-embedding's distance is the lower bound that drops most of them, and the differing bits are counted for the rest.
+the halves, so some half is one bit away from both. The grid's cells have the width of one count. The range join enters every
+fingerprint in its own cell of each half and in the cells a Manhattan distance of one away in both embeddings that a half one bit away can
+have; fingerprints that meet in a cell are candidates, the whole embedding's distance is the lower bound that drops most
+of them, and the differing bits are counted for the rest.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatedframe.llm import survivors
 from gatedframe.llm.components import connected_components
 from gatedframe.llm.storage import Scratch
 from gatedframe.llm.words import ASCII_LOWER, pieces, utf8
@@ -28,6 +30,9 @@ HASH_SEED = 42
 MAX_BITS = 4
 #: Members of a cell that are compared in one task; a larger cell is cut into chunks, and every two chunks meet.
 CHUNK = 2048
+#: Fingerprints whose cells one task makes, about.
+TASK_NODES = 30_000
+#: Cells of up to so many members are compared lag by lag over all cells at once; larger ones one by one.
 SMALL = 16
 LANES = np.uint64(0x5555555555555555)
 
@@ -49,16 +54,16 @@ def fingerprint(text: bytes, width: int = 4) -> bytes:
     return np.packbits(2 * total > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row as a signed bigint. A null text has none of the
+def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
+    """(key, fp) of ``docs`` (key, text): the fingerprint of each row as a signed bigint. A null text has none of the
     words and so fingerprint zero."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             found = b"".join(fingerprint(t, width) for t in utf8(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.frombuffer(found, ">i8").astype(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(found, ">i8").astype(np.int64))], ["key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select("key", "text").mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, fp long")
 
 
 def _cells(nodes: DataFrame) -> DataFrame:
@@ -104,12 +109,13 @@ def _dense(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     while len(left) > 1:
         front, rest, root = left[:1], left[1:], left[0]
         while len(front) and len(rest):
-            hit = np.zeros(len(rest), bool)
-            for at in range(0, len(front), 256):
-                open_ = np.flatnonzero(~hit)
+            hit, lanes = np.zeros(len(rest), bool), _lanes(rest)
+            for at in range(0, len(front), 64):
+                open_, met = np.flatnonzero(~hit), front[at : at + 64]
                 if not len(open_):
                     break
-                hit[open_] = _linked(rest[open_][:, None], front[None, at : at + 256], bits).any(axis=1)
+                row, column = np.nonzero(_apart(lanes[open_][:, None], _lanes(met)[None, :]) <= bits)
+                hit[open_[row[_linked(rest[open_[row]], met[column], bits)]]] = True
             front, rest = rest[hit], rest[~hit]
             roots.append(np.full(len(front), root, np.uint64))
             members.append(front)
@@ -168,22 +174,35 @@ def _links(bits: int):
     return run
 
 
-def link_edges(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def link_edges(nodes: DataFrame, max_bits: int = MAX_BITS, scratch: Scratch | None = None) -> DataFrame:
     """Edges (u, v) between distinct fingerprints ``nodes.fp`` whose components are those of all
     pairs with at most ``max_bits`` differing bits.
 
-    Cells with one member end in the stage that counts them. A cell with over ``CHUNK`` members is
-    cut into chunks that meet two by two in tasks of their own, so no task holds more than two chunks;
-    a task returns stars of what it found linked, never all pairs of a dense cell.
+    Members of cells are counted first (combined on the map side), and the cells met twice or more are joined back as a plain table,
+    so no task gathers the members of a cell. A cell with over ``CHUNK`` members is cut into chunks that meet two by two in tasks of
+    their own, so no group holds more than two chunks; a task returns stars of what it found linked, never all pairs of a dense cell.
     """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"max_bits is 0 to {MAX_BITS}")
-    met = _cells(nodes).withColumn("n", F.count("*").over(Window.partitionBy("cell"))).where("n > 1")
-    chunks = met.withColumn("k", F.ceil(F.col("n") / CHUNK).cast("long")).withColumn("c", F.expr("pmod(xxhash64(fp), k)"))
+    scratch = scratch or Scratch(nodes.sparkSession, "links")
+    cells = _cells(nodes.repartition(max(1, -(-nodes.count() // TASK_NODES)), "fp"))
+    met = scratch.table(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "met")
+    chunks = cells.join(met, "cell").withColumn("k", F.ceil(F.col("n") / CHUNK).cast("long")).withColumn("c", F.expr("pmod(xxhash64(fp), k)"))
     dealt = chunks.select("cell", "c", "fp", F.explode(F.expr("sequence(0L, k - 1)")).alias("o")).select("cell", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp")
     return dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_links(max_bits), "u long, v long")
 
 
+def _classes(keyed: DataFrame, scratch: Scratch, width: int, max_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``keyed`` (key, text): (key, fp), (fp, root), and (root, least) with the least key of the component."""
+    marks = scratch.table(fingerprints(keyed, width), "fingerprints")
+    nodes = scratch.table(marks.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
+    roots = connected_components(link_edges(nodes, max_bits, scratch), scratch)
+    placed = scratch.table(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "placed")
+    named = scratch.table(placed.groupBy("root").agg(F.min("least").alias("least")), "named")
+    scratch.drop("nodes", "met")
+    return marks, placed.select("fp", "root"), named
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
@@ -194,23 +213,20 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gives an empty result. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    marks = scratch.table(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = scratch.table(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = connected_components(link_edges(nodes, max_bits), scratch)
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(named, "root").select("fp", "component_id")
-    return marks.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    keyed = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
+    marks, placed, named = _classes(keyed, scratch, width, max_bits)
+    classes = scratch.table(placed.join(named, "root").select("fp", F.col("least").alias("component_id")), "classes")
+    scratch.drop("placed", "named")
+    return marks.join(classes, "fp").select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
-    """The row of each component with the smallest id, with all columns of ``docs``.
+    """One row of each component, with all columns of ``docs``: that with the smallest id.
 
-    A row without an id stands behind all that have one (ids are below 2^62) and is told apart by its text's
-    hash. Of rows that repeat the id (or lack one and share the text), the one with the smallest text hash stays.
+    A row without an id stands behind all that have one. Of rows that repeat the smallest id of their component the one with the smallest text hash
+    stays, then that with the smallest hash of all columns; rows alike in every column count once. Rows of other components that share the
+    id are none of its business. Columns of any name come back as they were.
     """
-    stand_in = F.expr(f"shiftleft(1L, 62) + (xxhash64(`{text_col}`) & (shiftleft(1L, 62) - 1))")
-    keyed = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), stand_in))
-    named = simhash_components(keyed, "_key", text_col, width, max_bits).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    order = Window.partitionBy("_key").orderBy(F.xxhash64(text_col))
-    return keyed.join(named, "_key", "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "simhash")
+    named = _classes(survivors.keyed(docs, id_col, text_col).select("key", "text"), scratch, width, max_bits)[2]
+    return survivors.kept(docs, named.select(F.col("least").alias("key")), id_col, text_col)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,35 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+#: Folders of the ``Scratch`` objects made since the innermost ``released`` block began.
+_open: list[list[str]] = [[]]
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the folders of all operators called within the block.
+
+    The operators return lazy tables that read their intermediate ones, so results have to be written or
+    collected before the block ends.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for root in _open.pop():
+            delete(spark, root)
+
+
 class Scratch:
     """Tables of one operator call, written as Parquet below one folder of the shared one.
 
@@ -35,6 +66,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+        _open[-1].append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -43,7 +75,6 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            delete(self.spark, self.path(name))

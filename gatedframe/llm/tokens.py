@@ -9,10 +9,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatedframe.llm.storage import Scratch
+from gatedframe.llm.storage import Scratch, exists, shared_dir
 from gatedframe.llm.words import GAP, pieces, utf8
 
 #: The pre-tokenisation pattern of lower-casing word-level BPE files, and the normalisers before it.
@@ -23,6 +23,8 @@ WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\
 PLAIN = regex.compile(r"[\x21-\x7e\xa1-įı-ɏ]*")
 #: Words remembered by a worker, and the longest word remembered, in bytes.
 MEMO_WORDS, MEMO_BYTES = 400_000, 64
+#: Digests (32 bytes) that are broadcast at most.
+FEW_MISSES = 100_000
 
 
 class _Memo(dict):
@@ -133,9 +135,15 @@ def tokenizer_digest(path: str) -> str:
     return content.hexdigest()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+def _encoded(texts: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(key, n_tokens) of ``texts`` (key, text)."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer_path).encode
+        for batch in pieces(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(ids) // 4 for ids in encode(utf8(batch.column(1)))], pa.int64())], ["key", "n_tokens"])
+
+    return texts.select("key", "text").mapInArrow(count, "key binary, n_tokens long")
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,31 +151,38 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
 
     The cache is a Parquet folder partitioned by tokenizer digest, with one count per content digest. Content is
     normalised before it is digested: where the tokenizer drops white space, each run of it becomes one space, which
-    leaves the count as it is. Only distinct texts without a stored count are encoded, and their counts appended;
-    without ``cache_path`` the cache lives in the shared folder for this call alone.
+    leaves the count as it is. Only distinct texts without a stored count are encoded, and their counts appended. The cache outlives
+    the call: without ``cache_path`` it is the folder ``token-counts`` of the shared one, and a later call over the same texts encodes
+    none. Counts that two calls append at once are equal and count once.
+
+    Digests are compared first. Where at most ``FEW_MISSES`` have no count they are broadcast, and no other text leaves its task;
+    with more, one text of each digest (chosen within tasks first) is shuffled.
 
     A null text counts as empty. Rows that repeat an id or a text each get a row. An empty table gives an
     empty result and other columns are not read.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "token-counts")
     version = tokenizer_digest(tokenizer_path)
-    cache = cache_path or Scratch(spark, "token-counts").path("cache")
-    schema = "key binary, n_tokens long, tokenizer string"
+    cache = cache_path or f"{shared_dir(spark)}/token-counts"
     text = F.coalesce(F.col(text_col), F.lit(""))
     content = F.regexp_replace(text, GAP, " ") if encoder(tokenizer_path).drops_space else text
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(content, 256)).alias("key"), text.alias("text"))
+    rows = scratch.table(keyed.drop("text"), "rows")
+    keys = scratch.table(rows.select("key").distinct(), "keys")
 
     def stored() -> DataFrame:
-        return spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == version).groupBy("key").agg(F.max("n_tokens").alias("n_tokens"))
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
-        for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(ids) // 4 for ids in encode(utf8(batch.column(1)))], pa.int64())], ["key", "n_tokens"])
-
-    misses = keyed.select("key", "text")
-    if _exists(spark, cache):
-        misses = misses.join(stored(), "key", "left_anti")
-    fresh = misses.dropDuplicates(["key"]).mapInArrow(count, "key binary, n_tokens long")
-    fresh.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
-    return keyed.drop("text").join(stored(), "key").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+        if not exists(spark, cache):
+            return spark.createDataFrame([], "key binary, n_tokens long")
+        return spark.read.schema("key binary, n_tokens long, tokenizer string").parquet(cache).where(F.col("tokenizer") == version).select("key", "n_tokens")
+
+    misses = scratch.table(keys.join(stored(), "key", "left_anti"), "misses")
+    n = misses.count()
+    if n:
+        texts = keyed.select("key", "text")
+        texts = texts.join(F.broadcast(misses), "key", "left_semi").dropDuplicates(["key"]) if n <= FEW_MISSES else texts.dropDuplicates(["key"]).join(misses, "key", "left_semi")
+        _encoded(texts, tokenizer_path).withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
+    # written, so that the rows of one very common text can be dealt to several tasks
+    counts = scratch.table(stored().join(keys, "key", "left_semi").groupBy("key").agg(F.max("n_tokens").alias("n_tokens")), "counts")
+    scratch.drop("keys", "misses")
+    return rows.join(counts, "key").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -41,7 +41,9 @@ def plan_records(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", ur
     rows = scratch.table(numbered, "rows")
     order = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id"), F.col("row"))
     firsts = rows.where(F.octet_length("html") >= min_revisit).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    joined = rows.join(firsts.select("digest", F.col("first.row").alias("first_row")), "digest", "left")
+    # written, so that the rows of one very common payload can be dealt to several tasks
+    firsts = scratch.table(firsts.select("digest", F.col("first.row").alias("first_row")), "firsts")
+    joined = rows.join(firsts, "digest", "left")
     return joined.withColumn("first_row", F.when(F.col("first_row") != F.col("row"), F.col("first_row")))
 
 
@@ -91,56 +93,84 @@ def _headers(head: bytes) -> dict[str, list[str]]:
     return found
 
 
-def parse_record(text: bytes) -> tuple[dict, int]:
-    """The record that ``text`` (without the mark) begins with, and how many bytes of its block are missing."""
+def record_length(text: bytes) -> int | None:
+    """How long the record that ``text`` (without the mark) begins with is, without the blank lines behind it; None while its header isn't whole."""
+    end = text.find(b"\r\n\r\n")
+    if end < 0:
+        return None
+    length = (_headers(text[:end]).get("content-length") or ["0"])[0]
+    return end + 4 + (int(length) if length.isdecimal() else 0)
+
+
+def parse_record(text: bytes) -> dict:
+    """The record that ``text`` (without the mark) begins with. Of a block cut off by the end of its archive there is what is left."""
     head, _, rest = text.partition(b"\r\n\r\n")
     headers = _headers(head)
     one = lambda name: (headers.get(name) or [None])[0]
-    length = int(one("content-length") or 0)
-    block = rest[:length]
+    block = text[len(head) + 4 : record_length(text)]
     kind, mime = one("warc-type"), one("content-type") or ""
     payload = block.partition(b"\r\n\r\n")[2] if mime.startswith("application/http") else block
     page = None
     if kind == "metadata":
         ids = _headers(b"\r\n" + block).get("page-id")
         page = int(ids[0]) if ids else None
-    record = {
+    return {
         "record_id": one("warc-record-id"), "kind": kind, "concurrent_to": headers.get("warc-concurrent-to", []), "refers_to": one("warc-refers-to"), "target_uri": one("warc-target-uri"),
         "declared_digest": one("warc-payload-digest"), "page_id": page, "payload": payload, "payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest(),
     }
-    return record, length - len(rest)
+
+
+class _Joiner:
+    """Puts the pieces between marks together to records, as a header or a block can hold the mark itself."""
+
+    def __init__(self) -> None:
+        self.held: list[bytes] = []
+        self.size, self.needed, self.file = 0, None, None
+
+    def add(self, file: str, piece: bytes) -> Iterator[dict]:
+        if file != self.file:
+            yield from self.end()
+            self.file = file
+        if not self.held and not piece:
+            return
+        self.size += len(piece) + len(MARK) * bool(self.held)
+        self.held.append(piece)
+        if self.needed is None:
+            self.needed = record_length(MARK.encode().join(self.held))
+        if self.needed is not None and self.size >= self.needed:
+            yield from self.end()
+
+    def end(self) -> Iterator[dict]:
+        """The record so far; nothing where not even its header is whole."""
+        if self.needed is not None:
+            yield parse_record(MARK.encode().join(self.held))
+        self.held, self.size, self.needed = [], 0, None
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives in a folder; columns as in ``RECORD``.
 
-    An archive is read by one task from its start, as gzip demands. Where a block itself holds the mark, the pieces are
-    put together again until the block has its declared length.
+    An archive is read by one task from its start, as gzip demands. Where a header or a block itself holds the mark, the pieces are
+    put together again until the header has ended and the block has its declared length.
     """
-    lines = spark.read.option("lineSep", MARK).text(path).select(F.col("value").cast("binary").alias("value"))
+    lines = spark.read.option("lineSep", MARK).text(path).select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("value"))
     schema = pa.schema([(n, {"string": pa.string(), "array<string>": pa.list_(pa.string()), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (c.split() for c in RECORD.split(", "))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        missing = 0
+        joiner = _Joiner()
         for batch in batches:
             rows, size = [], 0
-            for piece in batch.column(0).to_pylist():
-                if missing > 0 and held:
-                    held.append(piece)
-                    missing -= len(piece) + len(MARK)
-                elif piece:
-                    held, missing = [piece], parse_record(piece)[1]
-                if held and missing <= 0:
-                    record, _ = parse_record(MARK.encode().join(held))
+            for file, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for record in joiner.add(file, piece):
                     rows.append(record)
                     size += len(record["payload"])
-                    held = []
                 if size > 1 << 24:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                     rows, size = [], 0
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
+        if rows := list(joiner.end()):
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     return lines.mapInArrow(run, RECORD)
 
@@ -173,7 +203,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     scratch = Scratch(pages.sparkSession, "warc")
     write_archives(plan_records(pages, scratch, id_col, url_col, html_col), scratch.path("archives"))
-    scratch.drop("rows")
+    scratch.drop("rows", "firsts")
     # assembly reads the records several times; without payloads they are small, and archives are parsed once
     records = scratch.table(read_records(pages.sparkSession, scratch.path("archives")).drop("payload"), "records")
     scratch.drop("archives")
@@ -182,7 +212,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         captures.select("record_id", F.col("metadata.page_id").alias("page_id"), F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("target"),
                         F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest")), "captures",
     )
+    scratch.drop("records")
     first = flat.where("record_type = 'response'").select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
-    wanted = flat.where("target is not null").select("target").distinct()
-    joined = flat.join(first.join(wanted, "target", "left_semi"), "target", "left")
+    joined = flat.join(first, "target", "left")
     return joined.select("page_id", F.coalesce("b", "payload_bytes").alias("payload_bytes"), F.coalesce("d", "payload_digest").alias("payload_digest"), "record_type", "refers_to")

@@ -63,8 +63,8 @@ def test_source_targets_fill_up(spark):
 
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 100):
-        df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3)).alias("p"))
-        assert sorted(r.p for r in df.collect()) == list(range(n))
+        got = [r.p for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3)).alias("p")).collect()]
+        assert sorted(got) == list(range(n)) and (n < 100 or sum(a + 1 == b for a, b in zip(got, got[1:])) < 10)
 
 
 def test_mixing(spark, docs, rows, empty):
@@ -101,17 +101,23 @@ def test_mixing_gives_small_sources_their_target_over_hundreds_of_shards(spark,
     for r in mixing.mix_plan(spark.createDataFrame(made, "doc_id long, source string, text string"), block=4).collect():
         assert abs(r.taken - r.target) <= 4 and r.taken <= 3 * r.size
     assert shards[0] > 200
-    counts = whole(spark.createDataFrame([(0, 0.001), (1, 0.0), (2, 0.3), (3, 0.699)], "rank int, share double"), 3001, 16).collect()
-    filled, totals = Counter(), Counter()
+
+
+def test_mixing_draws_counts_from_the_multinomial_given_totals(spark):
+    totals = {0: 3, 1: 0, 2: 900, 3: 2098}
+    slots = sum(totals.values())
+    sources = spark.createDataFrame(list(totals.items()), "rank int, total long")
+    counts = mixing.draw_counts(sources, slots, 16).collect()
+    filled, got = Counter(), Counter()
     for r in counts:
         filled[r.shard] += r.n
-        totals[r["rank"]] += r.n
-        mean = [0.001, 0, 0.3, 0.699][r["rank"]] * (16 if r.shard < 187 else 9)
-        assert r.n >= math.floor(mean)
-    assert all(filled[s] == (16 if s < 187 else 9) for s in range(188))
-    assert [totals[k] for k in range(4)] == [3, 0, 900, 2098]
-    halves = whole(spark.createDataFrame([(0, 0.5), (1, 0.5)], "rank int, share double"), 25, 16).collect()  # nothing is left over but in the last shard
-    assert sorted((r.shard, r.n) for r in halves) == [(0, 8), (0, 8), (1, 4), (1, 5)]
+        got[r["rank"]] += r.n
+    assert all(filled[s] == (16 if s < 187 else 9) for s in range(188)) and dict(got) == {k: n for k, n in totals.items() if n}
+    drawn = np.array([sum(r.n for r in counts if r["rank"] == 2 and r.shard == s) for s in range(187)])
+    share = 900 / slots  # as many as a multinomial draw varies
+    assert 0.7 < drawn.var() / (16 * share * (1 - share)) < 1.4 and drawn.min() < 4 and drawn.max() > 6
+    many = spark.range(5000).selectExpr("cast(id as int) AS rank", "1L AS total")  # no sources times shards
+    assert mixing.draw_counts(many, 5000, 16).count() <= 5000
 
 
 def test_token_counts(spark, docs, rows, empty, tmp_path):
@@ -128,6 +134,23 @@ def test_token_counts(spark, docs, rows, empty, tmp_path):
     assert tokens.token_counts(empty, queries.tokenizer()).count() == 0
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_token_counts_encode_misses_alone(spark, docs, monkeypatch, tmp_path, few):
+    monkeypatch.setattr(tokens, "FEW_MISSES", few)
+    encoded, whole = [], tokens._encoded
+    monkeypatch.setattr(tokens, "_encoded", lambda texts, path: encoded.append(texts.count()) or whole(texts, path))
+    cache, half = str(tmp_path / "cache"), docs.where("doc_id % 2 = 0")
+    distinct = lambda df: df.select(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")).distinct().count()
+    tokens.token_counts(half, queries.tokenizer(), cache)
+    want = sorted(collected(tokens.token_counts(docs, queries.tokenizer())), key=str)
+    encoded[1:] = []
+    for _ in range(2):
+        assert sorted(collected(tokens.token_counts(docs, queries.tokenizer(), cache)), key=str) == want
+    assert encoded == [distinct(half), distinct(docs) - distinct(half)]
+    hot = spark.range(600).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'one very common text', concat('text ', id)) AS text")
+    assert tokens.token_counts(hot, queries.tokenizer(), cache).where("doc_id % 2 = 0").select("n_tokens").distinct().count() == 1
+
+
 def test_fingerprints(docs, rows, empty):
     got = {}
     for r in fingerprints.fingerprint_documents(docs).collect():
@@ -155,6 +178,50 @@ def test_fingerprint_neighbours_across_slices(docs, monkeypatch):
     assert sorted(collected(fingerprints.fingerprint_documents(docs)), key=str) == want
 
 
+def test_fingerprint_neighbours_where_one_id_fills_half_of_the_table(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "SLICE_ROWS", 10)
+    made = spark.range(400).selectExpr("IF(id < 130, null, IF(id < 260, 7, id)) AS doc_id", "concat('t', id) AS text").repartition(4)
+    keyed = made.withColumn("_key", F.coalesce("doc_id", F.lit(fingerprints.LEAST))).withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))
+    slices = keyed.groupBy(fingerprints._slice(fingerprints._bounds(keyed, 40)).alias("s")).count().collect()
+    assert len(slices) > 30 and max(r["count"] for r in slices) < 40
+    got = {r.text: (r.doc_id, r.next_text, r.next_doc_id) for r in fingerprints.with_next(made, "doc_id", ["text", "doc_id"]).collect()}
+    at, seen = "t399", []
+    for _ in range(400):  # one ring through all rows, by descending id
+        seen.append(got[at][0])
+        at = got[at][1]
+    assert at == "t399" and seen == sorted((i for i in seen if i is not None), reverse=True) + [None] * 130
+
+
+def brute_signature(hashes):
+    """One-permutation MinHash of shingle hashes by the definition."""
+    least = {}
+    for h in hashes:
+        b = (h >> 57) + 64
+        least[b] = min(h, least.get(b, h))
+    rng = random.Random(17)
+    tables = [[rng.randrange(128) for _ in range(128)] for _ in range(fingerprints.PROBES)]
+    borrowed = [next((least[t[b]] for t in tables if t[b] in least), None) for b in range(128)]
+    return least, [least.get(b, borrowed[b]) for b in range(128)]
+
+
+def test_signature_is_that_of_the_definition(spark):
+    rng = random.Random(21)
+    made = [(k, " ".join(f"w{rng.randrange(9000)}" for _ in range(n))) for k, n in enumerate([1, 4, 5, 6, 30, 120, 400, 3000])]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r.doc_id: r.sig for r in fingerprints.with_signature(df, "text", "sig").collect()}
+    hashed = lambda words: [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()]
+    for k, text in made:
+        codes = hashed(text.split())
+        cut = [codes[i : i + 5] for i in range(max(1, len(codes) - 4))]
+        if len(codes) >= 5:
+            shingles = [r[0] for r in spark.createDataFrame(cut, "a long, b long, c long, d long, e long").select(F.xxhash64("a", "b", "c", "d", "e")).collect()]
+        else:
+            shingles = [r[0] for r in spark.createDataFrame([(codes,)], "a array<long>").select(F.xxhash64("a")).collect()]
+        least, filled = brute_signature(shingles)
+        for b in range(128):
+            assert got[k][b] == (filled[b] & 255) - 128 if filled[b] is not None else got[k][b] in {(h & 255) - 128 for h in least.values()}
+
+
 def test_sharding(spark, docs, rows, empty, tmp_path):
     got = sharding.shard_documents(docs, 4).collect()
     assert sorted((r["size"], r.text_crc32) for r in got) == sorted((len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for _, t, *_ in rows)
@@ -168,6 +235,38 @@ def test_sharding(spark, docs, rows, empty, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"), 4)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
     assert sharding.shard_documents(empty, 4).count() == 0
+    clash = docs.withColumns({"Shard": F.lit(7), "size": F.lit("s"), "r": F.lit(None).cast("int"), "_id": F.lit(1)})
+    sharding.write_shards(clash, str(tmp_path / "clash"), 4)
+    back = spark.read.parquet(str(tmp_path / "clash"))
+    assert back.columns == [*clash.columns, "shard_"] and sorted(map(str, back.drop("shard_").collect())) == sorted(map(str, clash.collect()))
+    sharding.write_shards(empty, str(tmp_path / "empty"), 4)
+
+
+@pytest.mark.parametrize("numbered", [100_000, 150])
+def test_slots_keep_equal_texts_together(spark, monkeypatch, numbered):
+    monkeypatch.setattr(sharding, "NUMBERED", numbered)
+    made = spark.range(3000).selectExpr("id AS doc_id", "IF(id < 1200, 'the same', concat('text ', id div 3)) AS text").repartition(5)
+    got = sharding.shard_documents(made, 7).collect()
+    where = {}
+    for r in got:
+        where.setdefault((r.shard, r.text_crc32), []).append(r.slot)
+    for s in range(7):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert all(max(slots) - min(slots) + 1 == len(slots) for slots in where.values())  # without a gap
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r["size"]
+    assert max(sizes.values()) < 1.05 * min(sizes.values())
+
+
+def test_splitters_are_those_of_a_sort(spark):
+    rng = random.Random(4)
+    made = [(rng.choice([5, 5, 5, rng.randrange(-(1 << 63), 1 << 63)]), rng.randrange(-(1 << 63), 1 << 63), rng.randrange(1, 300)) for _ in range(2000)]
+    keys = spark.createDataFrame(made, "h long, r long, size long")
+    total, splitters = sum(m[2] for m in made), sharding.find_splitters(keys, 9, 0.005)
+    for j, (h, r) in enumerate(splitters, 1):
+        below = sum(size for a, b, size in made if (a, b) < (h, r))
+        assert abs(below - total * j / 9) <= max(0.005 * total / 9, 300)
 
 
 def test_warc(spark, tmp_path):
@@ -186,6 +285,35 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_mark_at_every_place(spark):
+    mark = "WARC/1."
+    inside = [mark, f"{mark}1", f"{mark}0\r\n", f"{mark}1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", f"x{mark * 5}", f"\r\n\r\n{mark}"]
+    pages = [(k, f"http://h/{u}/{k}", p + ("z" * 200) * (k % 2)) for k, (u, p) in enumerate((u, p) for u in ["", *inside] for p in ["", *inside])]
+    pages += [(1000 + i, u, p) for i, u, p in pages[:20]]
+    got = {r.page_id: r for r in warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    assert len(got) == len(pages)
+    first = {}
+    for i, _, p in pages:
+        first[p] = min(i, first.get(p, i))
+    for i, _, p in pages:
+        revisit = len(p.encode()) >= 100 and first[p] != i
+        assert tuple(got[i]) == (i, len(p.encode()), hashlib.sha256(p.encode()).hexdigest(), "revisit" if revisit else "response", first[p] if revisit else None)
+
+
+def test_warc_reads_cut_and_foreign_archives(spark, tmp_path):
+    record = lambda k, body: f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <{k}>\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n"
+    for name, content in (("a", record("1", "one") + record("2", "WARC/1.0\r\nin it")), ("b", record("3", "three")[:-7]), ("c", "WARC/1.0\r\nWARC-Ty"), ("d", record("4", "")), ("e", "")):
+        (tmp_path / name).write_bytes(content.encode())
+    got = {r.record_id: bytes(r.payload) for r in warc.read_records(spark, str(tmp_path)).collect()}
+    assert got == {"<1>": b"one", "<2>": b"WARC/1.0\r\nin it", "<3>": b"th", "<4>": b""}
+
+
+def test_warc_one_payload_holds_half_of_the_pages(spark):
+    pages = [(k, "http://a/", "same " * 40 if k % 2 else f"page {k} " * 20) for k in range(400)]
+    got = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)).collect()
+    assert sorted(r.page_id for r in got if r.record_type == "revisit") == list(range(3, 400, 2)) and {r.refers_to for r in got} == {None, 1}
+
+
 def test_first_fit_decreasing():
     rng = random.Random(6)
     sizes = np.array([rng.randrange(1, 100) for _ in range(300)])

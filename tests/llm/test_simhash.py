@@ -2,9 +2,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
-from gatedframe.llm import simhash
+from gatedframe.llm import neardup, simhash
 
 
 def brute_fingerprint(text, width=4):
@@ -111,6 +112,48 @@ def test_rows_nulls_ties_and_extra_columns(spark):
     assert simhash.keep_one_per_component(only_null).count() == 2
 
 
+LETTERS = ["the quick brown fox jumps over a lazy dog", "pack my box with five dozen liquor jugs", "sphinx of black quartz judge my vow today", "how vexingly quick daft zebras jump again"]
+
+
+def brute_kept(rows, linked):
+    """Rows kept of (id, text, ...): per component of ``linked`` texts the one with the least (id null, id); rows of equal id and text are one."""
+    groups = []
+    for r in rows:
+        met = [g for g in groups if any(linked(r[1], x[1]) for x in g)]
+        groups = [g for g in groups if g not in met] + [[r, *(x for g in met for x in g)]]
+    return sorted((min((r[0] is None, r[0] or 0) for r in g), len(g)) for g in groups)
+
+
+@pytest.mark.parametrize("operator", ["simhash", "neardup"])
+def test_one_row_of_each_component_where_ids_repeat(spark, operator):
+    keep = {"simhash": simhash, "neardup": neardup}[operator].keep_one_per_component
+    a, b, c, d = LETTERS
+    rows = [(1, b), (2, a), (2, b), (3, c), (3, d), (None, a), (None, "only here and nowhere else at all"), (None, None), (4, ""), (4, " \t"), (3, c), (5, c)]
+    rng = random.Random(9)
+    made = [(i, t, 777 + k, "nth", k % 2, "row") for k, (i, t) in enumerate(rows)]
+    rng.shuffle(made)
+    docs = spark.createDataFrame(made, "doc_id long, text string, _key long, nth string, last int, row string").repartition(3)
+    kept = keep(docs)
+    assert kept.columns == docs.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert set(got) <= set(made) and len(set(got)) == len(got)
+    texts = sorted(((r[0] is None, r[0] or 0), " ".join((r[1] or "").split())) for r in got)
+    assert texts == sorted([((False, 1), b), ((False, 2), a), ((False, 3), c), ((False, 3), d), ((False, 4), ""), ((True, 0), "only here and nowhere else at all")])
+    assert sorted(k for k, _ in brute_kept(made, lambda x, y: (x or "").split() == (y or "").split())) == [k for k, _ in texts]
+    alike = spark.createDataFrame([(7, a)] * 50 + [(None, b)] * 50, "doc_id long, text string")
+    assert sorted(r.text for r in keep(alike).collect()) == sorted([a, b])
+    assert keep(docs.limit(0)).count() == 0
+
+
+def test_a_cell_that_holds_half_of_the_fingerprints(spark, monkeypatch):
+    rng = random.Random(12)
+    seed = rng.getrandbits(64)
+    near = {seed ^ (1 << a) ^ (1 << b) for a in range(0, 32) for b in range(32, 64, 3)}
+    fps = sorted(near | {rng.getrandbits(64) for _ in range(len(near))})
+    monkeypatch.setattr(simhash, "CHUNK", 64)
+    assert same_classes(brute_components(fps), components_of(spark, fps))
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], DOCS)
     assert simhash.simhash_components(empty).count() == 0
