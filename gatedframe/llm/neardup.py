@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gatedframe.llm import simhash, survivors
 from gatedframe.llm.components import connected_components
-from gatedframe.llm.storage import Scratch
+from gatedframe.llm.storage import Scratch, broadcast_if_few
 from gatedframe.llm.words import ASCII_LOWER, pieces, utf8
 
 WIDTH = 5
@@ -27,7 +27,7 @@ WIDTH = 5
 NUM, DEN = 4, 5
 BANDS, ROWS = 32, 5
 #: Members of a bucket that meet in one task; a larger bucket is cut into chunks, and every two chunks meet.
-CHUNK = 512
+CHUNK = 256
 #: Entries of a task's dictionary before it is emptied, and shingles whose smallest hashes are taken at once.
 FLUSH, PART = 250_000, 4096
 _RNG = np.random.default_rng(23)
@@ -165,11 +165,11 @@ def least_of_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # counted on the map side first, so that no task gathers the members of a common bucket
     met = scratch.table(entered.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1"), "buckets")
     first = scratch.table(met.groupBy("n", "members").agg(F.min("bucket").alias("bucket")), "first")
-    chunks = entered.join(first, "bucket").select("bucket", "node", F.ceil(F.col("n") / CHUNK).cast("long").alias("k")).withColumn("c", F.expr("pmod(xxhash64(node), k)"))
+    chunks = entered.join(broadcast_if_few(first), "bucket").select("bucket", "node", F.ceil(F.col("n") / CHUNK).cast("long").alias("k")).withColumn("c", F.expr("pmod(xxhash64(node), k)"))
     chunks = scratch.table(chunks, "chunks")
     dealt = chunks.select("bucket", "c", "node", F.explode(F.expr("sequence(0L, k - 1)")).alias("o")).select("bucket", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node")
     wanted = scratch.table(nodes.select("node", "least").join(chunks.select("node").distinct(), "node", "left_semi").select(F.col("least").alias("key")).distinct(), "wanted")
-    sets = docs.join(wanted, "key", "left_semi").select("text").mapInArrow(_sets, "node long, shingles binary")
+    sets = docs.join(broadcast_if_few(wanted), "key", "left_semi").select("text").mapInArrow(_sets, "node long, shingles binary")
     sets = scratch.table(sets.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "sets")
     groups = dealt.join(sets, "node").select("bucket", "i", "j", "node", "shingles")
     edges = groups.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_links, "u long, v long")

@@ -135,20 +135,23 @@ def fit(texts: list[bytes], good: np.ndarray, steps: int = 120, penalty: float =
     good = np.asarray(good, np.float64)
     if len(texts) < 10 or good.min() == good.max():
         return ACCEPT_ALL
-    words, slots, values, sizes = _Words(), [], [], []
-    for text in texts:
-        families = _features(text, words.numbers(text.split()), words)
-        counted = [np.unique(f, return_counts=True) for f in families]
-        slots += [c[0] for c in counted]
-        values += [c[1] * (SCALE / max(1, len(f))) for c, f in zip(counted, families)]
-        sizes.append(sum(len(c[0]) for c in counted))
-    slot, value = np.concatenate(slots), np.concatenate(values)
-    row = np.repeat(np.arange(len(texts)), sizes)
     held = np.arange(len(texts)) % 5 == 4
     if good[held].min() == good[held].max() or good[~held].min() == good[~held].max():
         held[:] = False
-    used = ~held[row]
-    x_slot, x_value, x_row = slot[used], value[used], row[used]
+    words = _Words()
+
+    def matrix(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slot, value, row) of the features of some texts."""
+        slots, values, sizes = [], [], []
+        for k in rows.tolist():
+            families = _features(texts[k], words.numbers(texts[k].split()), words)
+            counted = [np.unique(f, return_counts=True) for f in families]
+            slots.append(np.concatenate([c[0] for c in counted]).astype(np.int32))
+            values.append(np.concatenate([c[1] * (SCALE / max(1, len(f))) for c, f in zip(counted, families)]).astype(np.float32))
+            sizes.append(len(slots[-1]))
+        return np.concatenate(slots), np.concatenate(values), np.repeat(rows.astype(np.int32), sizes)
+
+    x_slot, x_value, x_row = matrix(np.flatnonzero(~held))
     # classes weigh the same in the fit; calibration brings their true shares back
     share = good[~held].mean()
     weight = np.where(good > 0, 0.5 / share, 0.5 / (1 - share)) * ~held / max(1, (~held).sum())
@@ -160,7 +163,9 @@ def fit(texts: list[bytes], good: np.ndarray, steps: int = 120, penalty: float =
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
-    z = np.bincount(row, value * w[slot], len(texts))
+    if held.any():
+        x_slot, x_value, x_row = matrix(np.flatnonzero(held))
+    z = np.bincount(x_row, x_value * w[x_slot], len(texts))
     test = held if held.any() else ~held
     slope, shift = 1.0, bias
     for _ in range(50):  # Newton steps of the two calibration parameters, with a small ridge

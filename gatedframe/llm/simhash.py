@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gatedframe.llm import survivors
 from gatedframe.llm.components import connected_components
-from gatedframe.llm.storage import Scratch
+from gatedframe.llm.storage import Scratch, broadcast_if_few
 from gatedframe.llm.words import ASCII_LOWER, pieces, utf8
 
 HASH_SEED = 42
@@ -187,7 +187,7 @@ def link_edges(nodes: DataFrame, max_bits: int = MAX_BITS, scratch: Scratch | No
     scratch = scratch or Scratch(nodes.sparkSession, "links")
     cells = _cells(nodes.repartition(max(1, -(-nodes.count() // TASK_NODES)), "fp"))
     met = scratch.table(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "met")
-    chunks = cells.join(met, "cell").withColumn("k", F.ceil(F.col("n") / CHUNK).cast("long")).withColumn("c", F.expr("pmod(xxhash64(fp), k)"))
+    chunks = cells.join(broadcast_if_few(met), "cell").withColumn("k", F.ceil(F.col("n") / CHUNK).cast("long")).withColumn("c", F.expr("pmod(xxhash64(fp), k)"))
     dealt = chunks.select("cell", "c", "fp", F.explode(F.expr("sequence(0L, k - 1)")).alias("o")).select("cell", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp")
     return dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_links(max_bits), "u long, v long")
 

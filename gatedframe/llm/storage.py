@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +38,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+#: Rows of a few numbers each that are broadcast at most, some 20 MB.
+FEW_ROWS = 500_000
+
+
+def broadcast_if_few(table: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """A written table of a few numbers a row, with the hint to broadcast it where it has ``rows`` rows at most.
+
+    Without the hint the other side of a join would be shuffled before Spark knows that this one is small.
+    """
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 #: Folders of the ``Scratch`` objects made since the innermost ``released`` block began.
 _open: list[list[str]] = [[]]
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatedframe.llm.storage import broadcast_if_few
+
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, key, text): all columns of ``docs`` as one struct, and a key that orders rows by id, those without one last, then by text.
@@ -23,6 +25,6 @@ def kept(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFr
     flat = [F.col(f"key.{n}").alias(n) for n in ("last", "id", "a", "b")]
     wanted = keys.select(*flat)
     hashed = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    met = keyed(docs, id_col, text_col).select("row", *flat).join(wanted, ["last", "id", "a", "b"], "left_semi")
+    met = keyed(docs, id_col, text_col).select("row", *flat).join(broadcast_if_few(wanted), ["last", "id", "a", "b"], "left_semi")
     first = Window.partitionBy("last", "id", "a", "b").orderBy(F.xxhash64(*hashed))
     return met.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*")
