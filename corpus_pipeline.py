@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gatedframe.llm import mixing, neardup, packing, quality, queries
-from gatedframe.llm.storage import Scratch
+from gatedframe.llm.storage import Scratch, released
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a five-word Jaccard similarity of 0.8 or more the document with the smallest id stays."""
+    """SimHash near-dedup, verified exactly: of each group linked by a five-word Jaccard similarity of 0.8 or more the document with the smallest id stays."""
     return neardup.keep_one_per_component(docs)
 
 
@@ -38,7 +38,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage wrote on its way goes when its result is written, and that goes when the next one is."""
     docs, scratch = queries.read(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.table(stage(spark, docs, sf_dir), f"stage-{k}")
+        with released(spark):
+            docs = scratch.table(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            scratch.drop(f"stage-{k - 1}")
     return docs

@@ -7,11 +7,11 @@ import math
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatedframe.functions.text import js_trim
-from gatedframe.model import BOOLEAN, DATE, NUMBER, STRING
+from gatedframe.functions.text import SPACES, js_trim
+from gatedframe.model import BOOLEAN, DATE, INFINITY, NUMBER, STRING
 
 #: Least share of a column's filled cells that must read as a type.
 CONFIDENCE = 0.95
@@ -19,60 +19,83 @@ CONFIDENCE = 0.95
 #: Spellings of nothing, true and false; forms of numbers and of ISO dates.
 NULLISH = ["", "null", "na", "n/a", "nan", "none", "nil", "#n/a"]
 TRUE, FALSE = ["true", "yes"], ["false", "no"]
-SPACES = "\t\n\x0b\f\r\x20\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+CURRENCIES = ["$", "£", "€", "¥", "₹"]
 SYMBOL = r"^[-+]?\s*[$£€¥₹]\s*"
 NUMERIC = r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?"
 ISO = r"(\d{4})[-/](0[1-9]|1[0-2])[-/](0[1-9]|[12]\d|3[01])(?:[T ]([01]\d|2[0-3]):([0-5]\d)(?::([0-5]\d)(\.\d+)?)?(?:(Z)|([+-])(\d{2}):?(\d{2}))?)?"
 
 
+def _nullish(text: Column) -> Column:
+    return text.isNull() | F.lower(text).isin(NULLISH)
+
+
 def is_nullish(raw: Column) -> Column:
-    return raw.isNull() | F.lower(js_trim(raw)).isin(NULLISH)
+    return _nullish(js_trim(raw))
 
 
-def as_boolean(raw: Column) -> Column:
-    word = F.lower(js_trim(raw))
+def _word(text: Column) -> Column:
+    word = F.lower(text)
     return F.when(word.isin(TRUE), F.lit(True)).when(word.isin(FALSE), F.lit(False))
 
 
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is worked out once, however often ``f`` names it."""
-    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+def as_boolean(raw: Column) -> Column:
+    return _word(js_trim(raw))
 
 
-def _unsigned(body: Column) -> Column:
-    sign = F.when(F.regexp_extract(body, SYMBOL, 0).contains("-"), F.lit("-")).otherwise(F.lit(""))
-    bare = F.when(body.rlike(SYMBOL), F.concat(sign, F.regexp_replace(body, SYMBOL, ""))).otherwise(body)
-    return F.replace(bare, F.lit(","), F.lit(""))
+def _negated(text: Column) -> Column:
+    return text.startswith("(") & text.endswith(")") & (F.length(text) > 1) & ~text.rlike(r"[\n\r]")
 
 
-def as_number(raw: Column) -> Column:
-    """Currency signs and thousands separators are dropped, parentheses negate, and percent signs are refused."""
+def _body(text: Column) -> Column:
+    return F.when(_negated(text), js_trim(F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
 
-    def read(text: Column) -> Column:
-        negated = text.rlike(r"^\([^\n\r]*\)\z")
-        body = F.when(negated, js_trim(F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
-        value = _let(_let(body, _unsigned), lambda bare: F.when(bare.rlike(f"^{NUMERIC}\\z"), bare.try_cast("double")))
-        return _let(value, lambda v: F.when(F.abs(v) < float("inf"), F.when(negated, -v).otherwise(v)))
 
-    return _let(js_trim(raw), read)
+def _bare(body: Column) -> Column:
+    """Without a currency sign, spaces beside it, a plus before it, and commas."""
+    signed = body.startswith("-") | body.startswith("+")
+    rest = F.when(signed, F.ltrim(F.substring(body, F.lit(2), F.length(body)), F.lit(SPACES))).otherwise(body)
+    amount = F.concat(F.when(body.startswith("-"), F.lit("-")).otherwise(F.lit("")), F.ltrim(F.substring(rest, F.lit(2), F.length(rest)), F.lit(SPACES)))
+    return F.replace(F.when(F.substring(rest, 1, 1).isin(CURRENCIES), amount).otherwise(body), F.lit(","), F.lit(""))
 
 
-def as_date(raw: Column) -> Column:
-    """ISO dates and times; day 29 to 31 of a shorter month runs on into the next, and fractions are cut to milliseconds."""
-    groups = "|".join(f"${n}" for n in range(1, 12))
-    split = lambda text: F.when(text.rlike(f"^{ISO}\\z"), F.split(F.regexp_replace(text, f"^{ISO}\\z", groups), r"\|"))
+def _amount(bare: Column, text: Column) -> Column:
+    value = F.when(bare.rlike(f"^{NUMERIC}\\z"), bare.try_cast("double"))
+    return F.when(F.abs(value) < INFINITY, F.when(_negated(text), -value).otherwise(value))
 
-    def read(parts: Column) -> Column:
-        part = lambda n: F.get(parts, F.lit(n - 1))
-        number = lambda n: F.coalesce(part(n).try_cast("int"), F.lit(0))
-        first = F.make_date(part(1).try_cast("int"), part(2).try_cast("int"), F.lit(1))
-        millis = F.rpad(F.substring(part(7), 2, 3), 3, "0").try_cast("int")
-        of_day = number(4) * 3_600_000 + number(5) * 60_000 + number(6) * 1000 + F.coalesce(millis, F.lit(0))
-        offset = (number(10) * 60 + number(11)) * 60_000 * F.when(part(9) == "-", F.lit(-1)).otherwise(F.lit(1))
-        days = F.unix_date(F.date_add(first, part(3).try_cast("int") - 1)).cast("long")
-        return F.timestamp_millis(days * 86_400_000 + of_day - offset)
 
-    return _let(_let(js_trim(raw), split), read)
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it. Columns of a table do better with projections (``coerce_columns``)."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
+def as_number(raw: Column) -> Column:
+    """Currency signs and thousands separators are dropped, parentheses negate, and percent signs are refused."""
+    return _let(js_trim(raw), lambda text: _let(_let(_body(text), _bare), lambda bare: _amount(bare, text)))
+
+
+def as_date(raw: Column) -> Column:
+    """ISO dates and times; day 29 to 31 of a shorter month runs on into the next, and fractions are cut to milliseconds.
+
+    One pattern decides whether a cell is a date. Its parts then stand at fixed places, but for the fraction and the offset, which is sought from the end.
+    """
+    return _let(js_trim(raw), _moment)
+
+
+def _moment(text: Column) -> Column:
+    at = lambda start, n: F.substring(text, start, n)
+    number = lambda c: c.try_cast("int")
+    timed = F.length(text) > 10
+    seconds = F.when(at(17, 1) == ":", number(at(18, 2))).otherwise(F.lit(0))
+    millis = F.when(at(20, 1) == ".", number(F.rpad(F.regexp_extract(text, r"\.(\d{1,3})", 1), 3, "0"))).otherwise(F.lit(0))
+    of_day = F.when(timed, number(at(12, 2)) * 3_600_000 + number(at(15, 2)) * 60_000 + seconds * 1000 + millis).otherwise(F.lit(0))
+    colon = at(-6, 1).isin("+", "-")
+    zoned = timed & (colon | at(-5, 1).isin("+", "-"))
+    minutes = number(F.when(colon, at(-5, 2)).otherwise(at(-4, 2))) * 60 + number(at(-2, 2))
+    west = F.when(colon, at(-6, 1)).otherwise(at(-5, 1)) == "-"
+    offset = F.when(zoned, minutes * F.when(west, F.lit(-60_000)).otherwise(F.lit(60_000))).otherwise(F.lit(0))
+    first = F.make_date(number(at(1, 4)), number(at(6, 2)), F.lit(1))
+    days = F.unix_date(first).cast("long") + number(at(9, 2)) - 1
+    return F.when(text.rlike(f"^{ISO}\\z"), F.timestamp_millis(days * 86_400_000 + of_day - offset))
 
 
 def coerce(raw: Column, kind: str) -> Column:
@@ -81,10 +104,45 @@ def coerce(raw: Column, kind: str) -> Column:
     return F.when(~is_nullish(raw), value)
 
 
-def type_counts(raw: Column) -> list[Column]:
-    """Filled cells, and how many of them read as boolean, date and number."""
-    filled = ~is_nullish(raw)
-    return [F.count_if(filled), *(F.count_if(filled & read(raw).isNotNull()) for read in (as_boolean, as_date, as_number))]
+def _prepared(df: DataFrame, columns: list[str], numbers: list[str]) -> DataFrame:
+    """``df`` with _t_<column>, the trimmed text, and for ``numbers`` _b_<column>, the amount without signs and separators.
+
+    What several expressions name is worked out in a projection of its own, so that each cell is trimmed and stripped once.
+    """
+    df = df.withColumns({f"_t_{c}": js_trim(F.col(c)) for c in columns})
+    if numbers:
+        df = df.withColumns({f"_b_{c}": _body(F.col(f"_t_{c}")) for c in numbers})
+        df = df.withColumns({f"_b_{c}": _bare(F.col(f"_b_{c}")) for c in numbers})
+    return df
+
+
+def coerce_columns(df: DataFrame, kinds: dict[str, str], invalid: str = "") -> DataFrame:
+    """``df`` with its text columns ``kinds`` read as ``coerce`` reads them; and <invalid><column>, whether a filled cell could not be read, if
+    ``invalid`` is given."""
+    numbers = [c for c, k in kinds.items() if k == NUMBER]
+    ready = _prepared(df, list(kinds), numbers)
+
+    def read(c: str, kind: str) -> Column:
+        text = F.col(f"_t_{c}")
+        value = {STRING: lambda: F.col(c), NUMBER: lambda: _amount(F.col(f"_b_{c}"), text), BOOLEAN: lambda: _word(text), DATE: lambda: _moment(text)}[kind]()
+        return F.when(~_nullish(text), value)
+
+    typed = ready.withColumns({c: read(c, k) for c, k in kinds.items()})
+    if invalid:
+        typed = typed.withColumns({f"{invalid}{c}": ~_nullish(F.col(f"_t_{c}")) & F.col(c).isNull() for c in kinds})
+    return typed.drop(*(f"_t_{c}" for c in kinds), *(f"_b_{c}" for c in numbers))
+
+
+def infer_types(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """The type of each text column, by one aggregation over all of them."""
+    ready, counts = _prepared(df, columns, columns), []
+    for i, c in enumerate(columns):
+        text = F.col(f"_t_{c}")
+        filled = ~_nullish(text)
+        reads = (_word(text), _moment(text), _amount(F.col(f"_b_{c}"), text))
+        counts += [F.count_if(filled).alias(f"{i}_0"), *(F.count_if(filled & r.isNotNull()).alias(f"{i}_{j}") for j, r in enumerate(reads, 1))]
+    seen = ready.agg(*counts).first()
+    return {c: choose_type(*(seen[f"{i}_{j}"] for j in range(4))) for i, c in enumerate(columns)}
 
 
 def choose_type(filled: int, booleans: int, dates: int, numbers: int) -> str:

@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from gatedframe.model import BOOLEAN, DATE, NUMBER
 
 #: Fixed value: the white space that trimming removes.
-SPACE = r"[\t\n\x0B\f\r\u0020\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
+SPACES = "\t\n\x0b\f\r\x20\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}|{SPACE}\\z", "")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def utf16(c: Column) -> Column:
+    """Text as bytes whose order is that of UTF-16 code units."""
+    return F.encode(c, "UTF-16BE")
 
 
 def half_up(c: Column, places: int) -> Column:

@@ -21,13 +21,14 @@ def identifies(n: int, matching: int, total: int, k: int) -> bool:
     return n < k or 0 < matching - n < k or 0 < total - n < k
 
 
-def releasable(n: Column, matching: int, total: int, k: int) -> Column:
+def releasable(n: Column, matching: Column | int, total: Column | int, k: int) -> Column:
     """The same rule for a column of group sizes: true where the group may be shown."""
-    outside, left = F.lit(matching) - n, F.lit(total) - n
+    matching, total = (F.lit(x) if isinstance(x, int) else x for x in (matching, total))
+    outside, left = matching - n, total - n
     hidden = (n < k) | ((outside > 0) & (outside < k)) | ((left > 0) & (left < k))
     return (n == total) | ~hidden
 
 
-def suppress(grouped: DataFrame, size_col: str, matching: int, total: int, k: int) -> DataFrame:
-    """Groups that may be shown. With k = 1 the rule is off and no filter reaches the plan."""
+def suppress(grouped: DataFrame, size_col: str, matching: Column | int, total: Column | int, k: int) -> DataFrame:
+    """Groups that may be shown; the two counts are numbers or scalar subqueries. With k = 1 the rule is off and no filter reaches the plan."""
     return grouped if k <= 1 else grouped.where(releasable(F.col(size_col), matching, total, k))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -9,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatedframe.errors import QueryError
-from gatedframe.model import DATE, NUMBER, RID, Dataset, Field
+from gatedframe.functions.text import utf16
+from gatedframe.model import DATE, NUMBER, RID, STRING, Dataset, Field
 from gatedframe.operators.disclosure import identifies, suppress, threshold
 from gatedframe.operators.predicate import conjunction
+from gatedframe.operators.quantiles import IN_MEMORY, quantiles
 
 DEFAULT_LIMIT, MOST_ROWS = 20, 50
 NUMERIC_ONLY = ("sum", "avg", "median")
@@ -53,7 +56,7 @@ def _limit(spec: dict) -> int:
     limit = spec.get("limit")
     if limit is None:
         return DEFAULT_LIMIT
-    if isinstance(limit, bool) or not isinstance(limit, (int, float)) or limit != int(limit) or limit < 1:
+    if isinstance(limit, bool) or not isinstance(limit, (int, float)) or not math.isfinite(limit) or limit != int(limit) or limit < 1:
         raise QueryError("invalid_limit", "The limit must be a whole number of 1 or more.", {"limit": limit})
     return min(int(limit), MOST_ROWS)
 
@@ -96,7 +99,9 @@ class Query:
         for key in spec.get("orderBy") or []:
             if key.get("column") not in names:
                 raise QueryError("unknown_column", f'Results can\'t be ordered by "{key.get("column")}"; it is not one of their columns.', {"availableColumns": names})
-            c = F.col(self.internal[names.index(key["column"])])
+            at = names.index(key["column"])
+            c = F.col(self.internal[at])
+            c = utf16(c) if self.columns[at]["type"] == STRING else c
             self.order.append(c.desc_nulls_last() if key.get("direction") == "desc" else c.asc_nulls_last())
         self._matched: int | None = None
 
@@ -107,19 +112,36 @@ class Query:
             self._matched = self.filtered.count() if self.narrowed else self.dataset.row_count
         return self._matched
 
-    def groups(self) -> DataFrame:
-        """Groups that may be shown, with internal names, their size, first row, and filled cells of each aggregate."""
+    def groups(self, lazy: bool = False) -> DataFrame:
+        """Groups that may be shown, with internal names, their size, first row, and filled cells of each aggregate.
+
+        ``lazy``: the counts that the rule needs are subqueries of the same plan, and building it runs no job.
+        """
+        numbered = self.dataset.number(self.filtered)
         blanks = [F.count(f.column).alias(f"_f{i}") for i, (op, f, _) in enumerate(self.aggregates) if op in SKIP_BLANKS]
-        values = [_expression(op, f).alias(f"_a{i}") for i, (op, f, _) in enumerate(self.aggregates)]
+        large = any(op == "median" for op, _, _ in self.aggregates) and self.dataset.row_count > IN_MEMORY
+        values = [_expression(op, f).alias(f"_a{i}") for i, (op, f, _) in enumerate(self.aggregates) if not (large and op == "median")]
         sized = [F.count(F.lit(1)).alias("_n"), F.min(RID).alias("_first"), *values, *blanks]
-        grouped = self.filtered.groupBy(*(f.column.alias(f"_k{i}") for i, f in enumerate(self.keys))).agg(*sized) if self.keys else self.filtered.agg(*sized)
+        keys = {f"_k{i}": f.column for i, f in enumerate(self.keys)}
+        grouped = numbered.groupBy(*(c.alias(k) for k, c in keys.items())).agg(*sized) if keys else numbered.agg(*sized)
+        for i, (op, f, _) in enumerate(self.aggregates):
+            if large and op == "median":
+                found = quantiles(self.filtered, keys, f.column, [0.5], "_q", self.dataset.row_count)
+                found = found.select(*(F.col(k).alias(f"_r{k}") for k in keys), F.col("_q")[0].alias(f"_a{i}"))
+                if keys:
+                    grouped = grouped.join(found, [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys], "left").drop(*(f"_r{k}" for k in keys))
+                else:
+                    grouped = grouped.withColumn(f"_a{i}", found.scalar())
         if self.k <= 1:
             return grouped
+        if lazy:
+            count = lambda df: df.agg(F.count(F.lit(1))).scalar()
+            return suppress(grouped, "_n", count(self.filtered), count(self.dataset.df), self.k)
         return suppress(grouped, "_n", self.matched, self.dataset.row_count, self.k)
 
     def frame(self, limited: bool = True) -> DataFrame:
         """The result as a DataFrame; repeated names get their position behind them."""
-        kept = self.groups().orderBy(*self.order, F.col("_first").asc_nulls_last())
+        kept = self.groups(lazy=True).orderBy(*self.order, F.col("_first").asc_nulls_last())
         kept = kept.limit(self.limit) if limited else kept
         names: list[str] = []
         for c in self.columns:

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatedframe.functions.coerce import as_boolean, as_date, as_number, is_nullish
+from gatedframe.functions import coerce
 from gatedframe.functions.text import half_up
+from gatedframe.model import BOOLEAN, DATE, NUMBER, Dataset
 from gatedframe.operators import anomalies, profile
-from gatedframe.plans.query import query_frame
+from gatedframe.plans.query import query_frame, run_query
+from gatedframe.sources.delimited import build_dataset
 from gatedframe.sources.parquet import from_frame
+from gatedframe.workspace import Workspace
 
 Found = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Found] = {}
@@ -42,10 +45,10 @@ def _add(name: str, table: str, sql: str, rounded: tuple[str, ...] = (), change:
 COUNT = [{"op": "count", "as": "n"}]
 
 
-def _filter(name: str, table: str, where: list[dict], condition: str, group_by: tuple[str, ...] = ()) -> None:
+def _filter(name: str, table: str, where: list[dict], condition: str, group_by: tuple[str, ...] = (), change: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
     keys = "".join(f"{g}, " for g in group_by)
     by = f" GROUP BY {', '.join(group_by)}" if group_by else ""
-    _add(name, table, f"SELECT {keys}count(*) AS n FROM {table} WHERE {condition}{by}", where=where, group_by=group_by, aggregate=COUNT)
+    _add(name, table, f"SELECT {keys}count(*) AS n FROM {table} WHERE {condition}{by}", change=change, where=where, group_by=group_by, aggregate=COUNT)
 
 
 def _f(column: str, op: str, *value) -> dict:
@@ -136,19 +139,18 @@ def _registered(sql: str):
     return add
 
 
-def _profile_rows(spark: SparkSession, sf_dir: str, table: str, numbers: list[str]) -> DataFrame:
-    """One row per column with the profile's statistics, as ``profile_dataset`` puts them together."""
-    d = _table(spark, sf_dir, table)
+def _profile_rows(spark: SparkSession, sf_dir: str, table: str, numbers: list[str], change: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The profile's statistics, a row per column."""
+    d = _table(spark, sf_dir, table, change)
     fields = [d.find(n) for n in numbers]
-    cells = [c.alias(f"{n}{i}") for i, f in enumerate(fields) for n, c in (("lo", F.min(f.column).cast("double")), ("hi", F.max(f.column).cast("double")), ("mean", half_up(F.avg(f.column), 4)), ("mid", half_up(F.median(f.column), 4)), ("dev", half_up(F.coalesce(F.stddev_samp(f.column), F.lit(0.0)), 4)), ("n", F.count(f.column)), ("d", F.count_distinct(f.column)))]
-    one = d.df.agg(*cells)
-    rows = [F.struct(F.lit(f.name).alias("name"), *(F.col(f"{n}{i}").alias(n) for n in ("lo", "hi", "mean", "mid", "dev", "n", "d"))) for i, f in enumerate(fields)]
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    kept = {"lo": lambda c: c.cast("double"), "hi": lambda c: c.cast("double"), "mean": lambda c: half_up(c, 4), "mid": lambda c: half_up(c, 4), "dev": lambda c: half_up(c, 4), "n": lambda c: c, "d": lambda c: c}
+    rows = [F.struct(F.lit(f.name).alias("name"), *(read(F.col(f"{n}{i}")).alias(n) for n, read in kept.items())) for i, f in enumerate(fields)]
+    return profile.statistics(d, fields).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def _numeric_sql(table: str, columns: list[str]) -> str:
+def _numeric_sql(table: str, columns: list[str], source: str = "") -> str:
     r4 = lambda e: f"floor(({e}) * 10000.0 + 0.5) / 10000.0"
-    return " UNION ALL ".join(f"SELECT '{c}' AS name, CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi, {r4(f'avg({c})')} AS mean, {r4(f'median({c})')} AS mid, {r4(f'coalesce(stddev_samp({c}), 0.0)')} AS dev, count({c}) AS n, count(DISTINCT {c}) AS d FROM {table}" for c in columns)
+    return " UNION ALL ".join(f"SELECT '{c}' AS name, CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi, {r4(f'avg({c})')} AS mean, {r4(f'median({c})')} AS mid, {r4(f'coalesce(stddev_samp({c}), 0.0)')} AS dev, count({c}) AS n, count(DISTINCT {c}) AS d FROM {source or table}" for c in columns)
 
 
 @_registered(_numeric_sql("part", ["p_size", "p_retailprice"]))
@@ -167,17 +169,22 @@ def top_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.top_categories(d, d.find("event_type"), 5)
 
 
+@_registered(_numeric_sql("lineitem", ["price", "l_quantity"], HOLED))
+def profile_numeric_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profile_rows(spark, sf_dir, "lineitem", ["price", "l_quantity"], _holed)
+
+
 @_registered("SELECT count(*) AS n, count(price) AS filled, floor((1 - count(price) / count(*)) * 1000.0 + 0.5) / 1000.0 AS rate FROM (SELECT CASE WHEN l_quantity <= 25 THEN l_extendedprice END AS price FROM lineitem) HAVING 1 - count(price) / count(*) >= 0.1")
 def anomaly_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "lineitem", lambda df: df.selectExpr("CASE WHEN l_quantity <= 25 THEN l_extendedprice END AS price"))
-    counted = d.df.agg(F.count(F.lit(1)).alias("n"), F.count(d.find("price").column).alias("filled")).withColumn("share", 1 - F.col("filled") / F.col("n"))
+    counted = anomalies.counts(d, [d.find("price")], same=False).select(F.col("rows").alias("n"), F.col("n0").alias("filled")).withColumn("share", 1 - F.col("filled") / F.col("n"))
     return counted.where(F.col("share") >= anomalies.MISSING_RATE).select("n", "filled", half_up(F.col("share"), 3).alias("rate"))
 
 
 @_registered("SELECT count(DISTINCT flag) = 1 AS constant, count(DISTINCT l_linestatus) = 1 AS varied FROM (SELECT 'x' AS flag, l_linestatus FROM lineitem)")
 def anomaly_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.lit("x").alias("flag"), "l_linestatus")
-    return df.agg(*((F.min(c) == F.max(c)).alias(n) for c, n in (("flag", "constant"), ("l_linestatus", "varied"))))
+    d = _table(spark, sf_dir, "lineitem", lambda df: df.select(F.lit("x").alias("flag"), "l_linestatus"))
+    return anomalies.counts(d, d.fields).select(F.col("same0").alias("constant"), F.col("same1").alias("varied"))
 
 
 def _outlier_sql(table: str, column: str) -> str:
@@ -222,5 +229,92 @@ def coerce_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN l_linenumber = 7 THEN 'null' WHEN l_returnflag = 'R' THEN ' YES' ELSE 'False' END AS flag",
         "CASE WHEN l_linenumber = 7 THEN '' WHEN l_linenumber < 3 THEN date_format(l_shipdate, 'yyyy/MM/dd') ELSE date_format(l_shipdate, \"yyyy-MM-dd'T'00:00:00'Z'\") END AS day",
     )
-    read = lambda c, f: F.when(~is_nullish(F.col(c)), f(F.col(c))).alias(c)
-    return cells.select("l_orderkey", "l_linenumber", read("number", as_number), read("flag", as_boolean), read("day", as_date).cast("timestamp_ntz").alias("day"))
+    return coerce.coerce_columns(cells, {"number": NUMBER, "flag": BOOLEAN, "day": DATE}).withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
+_filter("filter_boolean_text", "orders", [_f("late", "eq", " YES ")], "o_orderdate >= TIMESTAMP '1996-01-01'", ("o_orderstatus",), lambda df: df.withColumn("late", F.expr("o_orderdate >= timestamp_ntz'1996-01-01'")))
+_filter("filter_contains_null_free", "customer", [_f("segment", "starts_with", "")], "c_nationkey >= 5", change=_segment)
+
+
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A result that the driver holds anyway, such as what a tool answers."""
+    return spark.createDataFrame(rows, schema)
+
+
+TOTALS = "SELECT count(*) AS total_groups, count(*) > 20 AS truncated FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) >= 5)"
+
+
+@_registered(TOTALS)
+def query_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups that may be shown, before the limit. The complements hide none here, as all of them are large."""
+    r = run_query(_table(spark, sf_dir, "orders"), {"groupBy": ["o_custkey"], "aggregate": [{"op": "count"}], "minGroupSize": 5})
+    return _rows(spark, [(r.total_groups, r.truncated)], "total_groups long, truncated boolean")
+
+
+@_registered(f"SELECT name FROM (SELECT 'price' AS name, count(*) > count(price) AS blank FROM {HOLED} UNION ALL SELECT 'l_tax', count(*) > count(l_tax) FROM lineitem) WHERE blank")
+def blanks_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = {"groupBy": ["l_returnflag"], "aggregate": [_a("sum", "price", "a"), _a("avg", "l_tax", "b"), _a("count_distinct", "price", "c")]}
+    return _rows(spark, [(n,) for n in run_query(_table(spark, sf_dir, "lineitem", _holed), spec).blanks_skipped], "name string")
+
+
+MASK = "CASE WHEN n < 5 AND n <> total THEN 'fewer than 5' ELSE CAST(n AS VARCHAR) END"
+
+
+@_registered(" UNION ALL ".join(f"SELECT {key} AS below, {MASK} AS matched FROM (SELECT count(*) FILTER (c_custkey < {key}) AS n, count(*) AS total FROM customer)" for key in (1, 4, 40)))
+def matched_rows_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Workspace(spark)
+    w.load_parquet(f"{sf_dir}/customer.parquet")
+    ask = lambda key: w.call("query_dataset", {"dataset": "customer", "where": [_f("c_custkey", "lt", key)], "aggregate": COUNT})["matchedRows"]
+    return _rows(spark, [(key, str(ask(key))) for key in (1, 4, 40)], "below int, matched string")
+
+
+@_registered(
+    "SELECT kind, name, severity FROM (SELECT 'missing' AS kind, 'price' AS name, CASE WHEN count(price) <= 0.5 * count(*) THEN 'warning' ELSE 'info' END AS severity, count(price) <= 0.9 * count(*) AS found FROM (SELECT CASE WHEN l_quantity <= 25 THEN l_extendedprice END AS price FROM lineitem)"
+    " UNION ALL SELECT 'constant', 'flag', 'info', true UNION ALL SELECT 'duplicates', NULL, CASE WHEN count(*) - count(DISTINCT (l_returnflag, CASE WHEN l_quantity <= 25 THEN l_quantity END)) >= 0.05 * count(*) THEN 'warning' ELSE 'info' END, true FROM lineitem) WHERE found",
+)
+def anomalies_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    change = lambda df: df.selectExpr("'x' AS flag", "l_returnflag", "CASE WHEN l_quantity <= 25 THEN l_quantity END AS price")
+    d = _table(spark, sf_dir, "lineitem", change)
+    found = anomalies.detect_anomalies(d, None, ["missing", "constant", "duplicates"])
+    return _rows(spark, [(a["kind"], a.get("column"), a["severity"]) for a in found], "kind string, name string, severity string")
+
+
+def _delimited(spark: SparkSession, sf_dir: str) -> Dataset:
+    """The nations as a quoted text with every kind of cell, read back."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").limit(25).collect()
+    lines = ["key; name ;name;odd;flag;day;text"]
+    for r in rows:
+        odd = "none of it" if r.n_nationkey == 7 else f"${r.n_nationkey},000" if r.n_nationkey % 2 else f"({r.n_nationkey + 2})"
+        lines.append(f'{r.n_nationkey};"{r.n_name}; ""quoted""";{r.n_name.lower() if r.n_regionkey else "N/A"};{odd};{"yes" if r.n_regionkey == 1 else "False"};2024/02/{r.n_nationkey + 1:02d};"a\nb{r.n_regionkey}";beyond')
+    return build_dataset(spark, "Nations.csv", "\r\n".join(lines).encode())
+
+
+@_registered(
+    "SELECT CAST(n_nationkey AS DOUBLE) AS key, n_name || '; \"quoted\"' AS name, CASE WHEN n_regionkey > 0 THEN lower(n_name) END AS name_2, CAST(CASE WHEN n_nationkey = 7 THEN NULL WHEN n_nationkey % 2 = 1 THEN n_nationkey * 1000 ELSE -n_nationkey - 2 END AS DOUBLE) AS odd,"
+    " n_regionkey = 1 AS flag, TIMESTAMP '2024-02-01' + to_days(CAST(n_nationkey AS INTEGER)) AS day, 'a' || chr(10) || 'b' || n_regionkey AS text FROM nation"
+)
+def delimited_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _delimited(spark, sf_dir)
+    return d.df.select(*(F.col(f.physical).alias(f.name) for f in d.fields)).withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
+@_registered("SELECT 'odd' AS name, 'number' AS expected, count(*) FILTER (n_nationkey = 7) AS invalid FROM nation")
+def anomaly_type_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = anomalies.detect_anomalies(_delimited(spark, sf_dir), kinds=["type_violations"])
+    return _rows(spark, [(a["column"], a["detail"]["expectedType"], a["detail"]["invalid"]) for a in found], "name string, expected string, invalid long")
+
+
+TEXTS = {
+    "number": "format_number(l_extendedprice, 2)", "mostly": "CASE WHEN l_quantity = 1 THEN 'one' ELSE cast(l_quantity AS string) END", "rarely": "CASE WHEN l_quantity <= 5 THEN 'few' ELSE cast(l_quantity AS string) END",
+    "day": "date_format(l_shipdate, 'yyyy-MM-dd')", "flag": "CASE WHEN l_tax > 0.04 THEN 'Yes' WHEN l_tax > 0.02 THEN ' no' ELSE 'n/a' END", "digit": "CASE WHEN l_tax > 0.04 THEN '1' ELSE '0' END",
+    "word": "l_returnflag", "blank": "CASE WHEN l_tax > 0.04 THEN ' null' ELSE '' END",
+}
+
+
+@_registered(
+    "SELECT name, CASE WHEN share >= 0.95 THEN kind ELSE 'string' END AS kind FROM (SELECT 'number' AS name, 'number' AS kind, 1.0 AS share UNION ALL SELECT 'mostly', 'number', count(*) FILTER (l_quantity <> 1) / count(*) FROM lineitem"
+    " UNION ALL SELECT 'rarely', 'number', count(*) FILTER (l_quantity > 5) / count(*) FROM lineitem UNION ALL SELECT 'day', 'date', 1 UNION ALL SELECT 'flag', 'boolean', 1 UNION ALL SELECT 'digit', 'number', 1 UNION ALL SELECT 'word', 'string', 1 UNION ALL SELECT 'blank', 'string', 1)"
+)
+def infer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*(f"{sql} AS {n}" for n, sql in TEXTS.items()))
+    return _rows(spark, list(coerce.infer_types(cells, list(TEXTS)).items()), "name string, kind string")

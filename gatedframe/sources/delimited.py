@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatedframe.errors import QueryError
-from gatedframe.functions.coerce import choose_type, coerce, is_nullish, trim, type_counts
+from gatedframe.functions.coerce import coerce_columns, infer_types, trim
 from gatedframe.model import RID, Dataset, Field, to_dataset_id, unique_dataset_id
 
 SEPARATORS = (",", "\t", ";", "|")
 SAMPLE_CHARS, SAMPLE_LINES = 64_000, 20
 #: Rows kept and bytes taken from a delimited file; beyond, Parquet is the way in.
 MOST_ROWS, MOST_BYTES = 100_000, 25 * 1024 * 1024
+ENDINGS = (".csv", ".tsv", ".txt")
+#: Files that are loaded from one path at most, as each becomes a dataset of its own.
+MOST_FILES = 200
 FLUSH = 4096
 
 
@@ -105,16 +108,21 @@ def records(spark: SparkSession, files: DataFrame, separator: str) -> DataFrame:
 
 
 def build_dataset(spark: SparkSession, name: str, content: bytes, taken: Iterable[str] = (), separator: str | None = None, most_rows: int = MOST_ROWS) -> Dataset:
-    """A dataset from the content of one delimited file. Types are inferred once, from the rows that are kept."""
-    head = content[: 4 * SAMPLE_CHARS].decode("utf-8", "replace").removeprefix("\ufeff")
+    """A dataset from the content of one delimited file."""
+    return _dataset(spark, name, spark.createDataFrame([(bytearray(content),)], "content binary"), len(content), taken, separator, most_rows)
+
+
+def _dataset(spark: SparkSession, name: str, file: DataFrame, size: int, taken: Iterable[str], separator: str | None, most_rows: int = MOST_ROWS) -> Dataset:
+    """``file`` has one row with the content. The driver sees its head alone. Types are inferred once, from the rows that are kept."""
+    head = bytes(file.select(F.substring("content", 1, 4 * SAMPLE_CHARS).alias("head")).first().head).decode("utf-8", "replace").removeprefix("\ufeff")
     separator = separator or detect_delimiter(head)
-    table = records(spark, spark.createDataFrame([(bytearray(content),)], "content binary"), separator).cache()
+    table = records(spark, file, separator).cache()
     first = table.where(F.col(RID) == 0).first()
     names, warnings = dedupe_header([trim(n) for n in first.fields]) if first else ([], ["The file is empty."])
     width = len(names)
     body = table.where(F.col(RID) > 0).withColumn(RID, F.col(RID) - 1)
-    size = F.size("fields")
-    counted = body.agg(F.count(F.lit(1)).alias("rows"), F.count_if(size < width).alias("short"), F.count_if(size > width).alias("long")).first()
+    cells = F.size("fields")
+    counted = body.agg(F.count(F.lit(1)).alias("rows"), F.count_if(cells < width).alias("short"), F.count_if(cells > width).alias("long")).first()
     for n, what in ((counted.short, "had too few cells and {} filled with blanks"), (counted["long"], "had too many cells and {} cut")):
         if n:
             warnings.append(f"{n} row{'' if n == 1 else 's'} {what.format('was' if n == 1 else 'were')}.")
@@ -125,26 +133,39 @@ def build_dataset(spark: SparkSession, name: str, content: bytes, taken: Iterabl
     raw = body.select(RID, *(F.coalesce(F.get("fields", F.lit(i)), F.lit("")).alias(f"c{i}") for i in range(width)))
     fields = []
     if width:
-        seen = raw.agg(*(c.alias(f"t{i}_{j}") for i in range(width) for j, c in enumerate(type_counts(F.col(f"c{i}"))))).first()
-        kinds = [choose_type(*(seen[f"t{i}_{j}"] for j in range(4))) for i in range(width)]
-        typed = raw.select(RID, *(coerce(F.col(f"c{i}"), k).alias(f"c{i}") for i, k in enumerate(kinds)))
-        bad = raw.agg(*(F.count_if(~is_nullish(F.col(f"c{i}")) & coerce(F.col(f"c{i}"), k).isNull()).alias(f"c{i}") for i, k in enumerate(kinds))).first()
-        fields = [Field(n, k, f"c{i}", bad[f"c{i}"]) for i, (n, k) in enumerate(zip(names, kinds))]
-        raw = typed
-    found = Dataset(unique_dataset_id(to_dataset_id(name), taken), name, raw.cache(), fields, kept, counted.rows, len(content), warnings)
+        kinds = infer_types(raw, [f"c{i}" for i in range(width)])
+        checked = coerce_columns(raw, kinds, "bad_").cache()
+        bad = checked.agg(*(F.count_if(f"bad_{c}").alias(c) for c in kinds)).first()
+        fields = [Field(n, k, c, bad[c]) for n, (c, k) in zip(names, kinds.items())]
+        raw = checked.select(RID, *kinds)
+    found = Dataset(unique_dataset_id(to_dataset_id(name), taken), name, raw.cache(), fields, kept, counted.rows, size, warnings)
     found.df.count()
     table.unpersist()
+    if width:
+        checked.unpersist()
     return found
 
 
-def load_delimited(spark: SparkSession, path: str, taken: Iterable[str] = (), separator: str | None = None) -> Dataset:
-    """A delimited file by any path that Spark reads; refused beyond ``MOST_BYTES`` or without a column."""
+def load_delimited(spark: SparkSession, path: str, taken: Iterable[str] = (), separator: str | None = None) -> list[Dataset]:
+    """A dataset of each delimited file of a path that Spark reads, be it a file, a folder or a pattern; in the order of their paths.
+
+    Contents are read on the executors. All files are looked at before the first is loaded: one whose name doesn't end in one of ``ENDINGS``, or
+    of over ``MOST_BYTES``, is refused with all others, and so is a path without files. A file without a column is refused when it is met.
+    """
     files = spark.read.format("binaryFile").load(path)
-    about = files.select("path", "length").first()
-    if about.length > MOST_BYTES:
-        raise QueryError("file_too_large", f"The file has {about.length:,} bytes; {MOST_BYTES:,} are taken at most.")
-    found = build_dataset(spark, about.path.rsplit("/", 1)[-1], bytes(files.select("content").first().content), taken, separator)
-    if not found.fields:
-        raise QueryError("empty_file", "The file has no columns.")
+    listed = sorted(files.select("path", "length").take(MOST_FILES + 1))
+    if not listed or len(listed) > MOST_FILES:
+        raise QueryError("too_many_files", f"The path has over {MOST_FILES} files.") if listed else QueryError("empty_file", "The path has no file with content.")
+    for f in listed:
+        if not f.path.lower().endswith(ENDINGS):
+            raise QueryError("unsupported_file", f'"{f.path.rsplit("/", 1)[-1]}" is none of {", ".join(ENDINGS)}.')
+        if f.length > MOST_BYTES:
+            raise QueryError("file_too_large", f'"{f.path.rsplit("/", 1)[-1]}" has {f.length:,} bytes; {MOST_BYTES:,} are taken at most.')
+    found: list[Dataset] = []
+    for f in listed:
+        own = files.where(F.col("path") == f.path).select("content")
+        made = _dataset(spark, f.path.rsplit("/", 1)[-1], own, f.length, [*taken, *(d.id for d in found)], separator)
+        if not made.fields:
+            raise QueryError("empty_file", f'"{made.name}" has no columns.')
+        found.append(made)
     return found
-

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 FORBIDDEN = ("__proto__", "constructor", "prototype")
 FORBIDDEN_DEPTH, MOST_PROBLEMS = 8, 8
 #: The keywords that schemas may use.
@@ -12,8 +14,8 @@ _IS = {
     "array": lambda v: isinstance(v, list),
     "string": lambda v: isinstance(v, str),
     "boolean": lambda v: isinstance(v, bool),
-    "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),
-    "integer": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and v == int(v),
+    "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and not math.isnan(v),
+    "integer": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v) and v == int(v),
 }
 
 

@@ -16,6 +16,7 @@ from gatedframe.model import Dataset
 from gatedframe.plans.query import Query
 from gatedframe.sources.delimited import build_dataset, load_delimited
 from gatedframe.sources.parquet import from_frame, load_parquet
+from gatedframe.sources.sample import sample_dataset
 from gatedframe.tools.catalog import TOOLS, Tool
 from gatedframe.tools.output import cap, to_json
 from gatedframe.tools.schema import check_input
@@ -40,7 +41,10 @@ class Block:
 
 @dataclass
 class Workspace:
-    """``approve`` is asked before raw rows are released or everything is cleared; without it, or after ``APPROVAL_SECONDS``, the answer is no."""
+    """``approve`` is asked before raw rows are released or everything is cleared; without it, or after ``APPROVAL_SECONDS``, the answer is no.
+
+    ``on_tools_change`` is called with the tools (by name) that came and that went, whenever the state changes in a way that changes them.
+    """
 
     spark: SparkSession
     approve: Callable[[dict], bool] | None = None
@@ -51,6 +55,8 @@ class Workspace:
     filters: dict[str, list[dict]] = field(default_factory=dict)
     ledger: deque = field(default_factory=lambda: deque(maxlen=LEDGER_ENTRIES))
     totals: dict[str, int] = field(default_factory=lambda: {"characters": 0, "rows": 0, "calls": 0})
+    on_tools_change: Callable[[list[str], list[str]], None] | None = None
+    _shown: list[str] | None = None
     _pending: threading.Lock = field(default_factory=threading.Lock)
     _ids: itertools.count = field(default_factory=lambda: itertools.count(1))
 
@@ -60,6 +66,18 @@ class Workspace:
     def set_trust(self, level: str) -> None:
         if level in LEVELS:
             self.trust = level
+            self._tell()
+
+    def _tell(self) -> None:
+        """Compares the tools with those last told of."""
+        now, before = self.available_tools(), self._shown
+        self._shown = now
+        came, went = [t for t in now if t not in (before or [])], [t for t in before or [] if t not in now]
+        if self.on_tools_change and before is not None and (came or went):
+            self.on_tools_change(came, went)
+
+    def __post_init__(self) -> None:
+        self._tell()
 
     def set_min_group_size(self, k: float) -> None:
         self.min_group_size = max(1, int(k))
@@ -71,10 +89,21 @@ class Workspace:
 
     def add(self, dataset: Dataset) -> Dataset:
         self.datasets[dataset.id] = dataset
+        self._tell()
         return dataset
 
+    def load_files(self, path: str) -> list[Dataset]:
+        """Each delimited file of a path (a file, a folder or a pattern) as a dataset of its own."""
+        return [self.add(d) for d in load_delimited(self.spark, path, self.datasets)]
+
     def load_file(self, path: str) -> Dataset:
-        return self.add(load_delimited(self.spark, path, self.datasets))
+        found = load_delimited(self.spark, path, self.datasets)
+        if len(found) > 1:
+            raise QueryError("several_files", f"The path has {len(found)} files; load_files takes them all.")
+        return self.add(found[0])
+
+    def load_sample(self) -> Dataset:
+        return self.add(sample_dataset(self.spark, self.datasets))
 
     def load_text(self, name: str, text: str, separator: str | None = None) -> Dataset:
         return self.add(build_dataset(self.spark, name, text.encode(), self.datasets, separator))
@@ -91,18 +120,25 @@ class Workspace:
             gone.df.unpersist()
         self.filters.pop(dataset_id, None)
         self.blocks = [b for b in self.blocks if b.kind != "chart" or b.content["dataset"] != dataset_id]
+        self._tell()
 
     def set_filter(self, dataset_id: str, where: list[dict] | None) -> None:
         if where:
             self.filters[dataset_id] = where
         else:
             self.filters.pop(dataset_id, None)
+        self._tell()
 
     def add_block(self, kind: str, title: str, content: dict | str, author: str = "agent") -> Block:
         block = Block(f"block_{next(self._ids)}", kind, title, content, author)
         self.blocks.append(block)
+        self._tell()
         return block
 
+    def remove_block(self, block: Block) -> None:
+        self.blocks.remove(block)
+        self._tell()
+
     def block(self, block_id: str) -> Block | None:
         return next((b for b in self.blocks if b.id == block_id), None)
 
@@ -111,6 +147,7 @@ class Workspace:
         for name in list(self.datasets):
             self.remove(name)
         self.blocks, self.filters = [], {}
+        self._tell()
 
     def request_approval(self, request: dict, seconds: float = APPROVAL_SECONDS) -> bool:
         """One request at a time; a second one meanwhile is denied."""

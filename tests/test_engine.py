@@ -104,7 +104,7 @@ def test_disclosure(spark, sales):
 def test_profiles_and_anomalies(spark, sales):
     region, amount = profile_dataset(sales, ["region", "amount"], 3)
     assert region["topCategories"] == [{"value": "North", "count": 3}, {"value": "South", "count": 3}]
-    assert (amount["nullCount"], amount["mean"], amount["median"]) == (1, 103.3333, 80.0)
+    assert (amount["nulls"], amount["mean"], amount["medianValue"]) == (1, 103.3333, 80.0)
     assert "statisticsWithheld" in profile_dataset(sales, ["amount"], 7)[0]
     kinds = [(a["kind"], a.get("column"), a["severity"]) for a in detect_anomalies(sales)]
     assert kinds == [("gaps", "closed_on", "warning"), ("missing", "amount", "info")]
