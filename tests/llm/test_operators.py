@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gatedframe.llm import fingerprints, licenses, lm, mixing, packing, quality, queries, sharding, tokens, warc
@@ -375,12 +376,75 @@ def test_lm_bits_sum_to_one_and_context_helps(spark):
     df = spark.createDataFrame(made, "doc_id long, text string")
     got = [r for r in lm.lm_scores(df).collect() if r.held_out]
     assert got and sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got) and all(r.score > r.base_score for r in got)
-    model, _ = lm.train(df, Scratch(spark, "t"))
+    model, start, _ = lm.train(df, Scratch(spark, "t"))
     every = np.arange(1 << lm.BITS)
     codes = every.astype(np.uint64) << np.uint64(64 - lm.BITS)
     bits, first, second = lm._contexts(codes, every)
-    probabilities = lm.mixed_bits(model, bits, first, second, every, np.ones(len(every), int))
-    assert abs((10**probabilities).sum() - 1) < 1e-6
+    nothing = (np.zeros(len(every), np.int64), np.zeros(len(every), bool))
+    for expected in (nothing, (np.full(len(every), 77), np.ones(len(every), bool))):
+        probabilities = lm.mixed_bits(model, start, (bits, first, second, *expected), every, np.ones(len(every), int))
+        assert abs((10**probabilities).sum() - 1) < 1e-5
+
+
+def test_lm_letters_are_a_code(spark):
+    rng = random.Random(3)
+    tables = lm.letter_tables([bytes(rng.choice(b"abcde") for _ in range(rng.randrange(1, 6))) for _ in range(500)])
+    one = lm.spelled(tables, [bytes([x]) for x in range(256) if x != 32])
+    ends = 10 ** lm.spelled(tables, [b""])[0]
+    two = lm.spelled(tables, [b"a" + bytes([x]) for x in range(256) if x != 32])
+    begins = lm.spelled(tables, [b"ax"])[0] - lm.spelled(tables, [b"ay"])[0]
+    assert 0 < (10**one).sum() + ends < 1 and (10**two).sum() < 1 and begins < 0.7  # no more than all there is
+    assert lm.spelled(tables, [b"q" * 10_000])[0] < 1000 * lm.spelled(tables, [b"a"])[0]
+    assert lm.spelled(tables, [b"abc", b"", b"deb"]) == pytest.approx([lm.spelled(tables, [w])[0] for w in (b"abc", b"", b"deb")])
+    made = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(80))) for i in range(60)]
+    held = [i for i, _ in made if lm.is_held_out(i)]
+    junk = {held[0]: "x" * 5000, held[1]: "x"}
+    made = [(i, t + " " + junk[i] if i in junk else t) for i, t in made]
+    got = {r.doc_id: r for r in lm.lm_scores(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got[held[0]].score < got[held[1]].score - 2000 and got[held[0]].n_known == got[held[0]].n_tokens - 1
+    assert got[held[0]].bits_per_byte > 1
+
+
+def brute_scores(model, start, text):
+    """log10 probability of a text, one decision after another."""
+    words = [*text.encode().translate(lm.ASCII_LOWER).split(), b""]
+    bits, first, second = lm._contexts(np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64), np.array([0]))
+    weights, refined, total, last = start.weights.astype(float), start.refined.astype(float), 0.0, {}
+    for t, b in enumerate(bits.tolist()):
+        slots = [s[:, 0] for s in lm._slots(bits[t : t + 1], first[t : t + 1], second[t : t + 1], model.width)]
+        hoped = last.get(int(second[t]))
+        last[int(second[t])] = b
+        for k in range(lm.BITS):
+            found = [int(model.table[s[k]]) for s in slots]
+            agreed = hoped is not None and (hoped ^ b) >> (lm.BITS - k) == 0
+            x = [f / 256 for f in (v >> 2 for v in found)] + [(2 * (hoped >> (lm.BITS - 1 - k) & 1) - 1) * lm.EXPECTED if agreed else 0.0]
+            gate = (found[1] & 3) * 4 + (found[2] & 3) + 16 * agreed
+            y = b >> (lm.BITS - 1 - k) & 1
+            z = min(max(sum(w * v for w, v in zip(weights[gate], x)), -14), 14)
+            p = 1 / (1 + math.exp(-z))
+            weights[gate] += lm.RATE * (y - p) * np.array(x)
+            cell = int(min(max((z + 8) * lm.MAP_CELLS / 16, 0), lm.MAP_CELLS - 1))
+            final = p + lm.MAP_SHARE * (refined[cell] - p)
+            refined[cell] += lm.MAP_RATE * (y - refined[cell])
+            total += math.log10(final if y else 1 - final)
+    return total
+
+
+def test_lm_mixing_is_that_of_the_definition(spark):
+    rng = random.Random(13)
+    word = lambda: f"w{int(rng.paretovariate(0.8)) % 500}"
+    made = [(i, " ".join(word() for _ in range(rng.randrange(1, 120)))) for i in range(400)]
+    model, start, counts = lm.train(spark.createDataFrame(made, "doc_id long, text string"), Scratch(spark, "t"))
+    assert not (start.weights == lm._hand_weights()).all()  # some were set apart to learn from
+    counted = {bytes(r.word): r.n for r in counts.collect()}
+    assert sum(counted.values()) == sum(len(t.split()) + 1 for i, t in made if not lm.is_held_out(i))
+    got = {r.doc_id: r for r in lm.lm_scores(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    for i, t in [m for m in made if lm.is_held_out(m[0])][:12]:
+        shares = 0.0
+        for w in [*t.encode().split(), b""]:
+            same = [n for x, n in counted.items() if xxhash.xxh64_intdigest(x, 42) >> (64 - lm.BITS) == xxhash.xxh64_intdigest(w, 42) >> (64 - lm.BITS)]
+            shares += math.log10((counted.get(w, 0) + 1) / (sum(same) + len(same) + 1)) + (0 if w in counted else lm.spelled(model.letters, [w])[0])
+        assert got[i].score == pytest.approx(brute_scores(model, start, t) + shares, abs=0.02)
 
 
 def test_alignment_and_scan(spark, empty):
