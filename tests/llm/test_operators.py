@@ -401,7 +401,7 @@ def test_lm_letters_are_a_code(spark):
     junk = {held[0]: "x" * 5000, held[1]: "x"}
     made = [(i, t + " " + junk[i] if i in junk else t) for i, t in made]
     got = {r.doc_id: r for r in lm.lm_scores(spark.createDataFrame(made, "doc_id long, text string")).collect()}
-    assert got[held[0]].score < got[held[1]].score - 2000 and got[held[0]].n_known == got[held[0]].n_tokens - 1
+    assert got[held[0]].spelled_score < got[held[1]].spelled_score - 2000 and got[held[0]].n_known == got[held[0]].n_tokens - 1
     assert got[held[0]].bits_per_byte > 1
 
 
@@ -440,11 +440,13 @@ def test_lm_mixing_is_that_of_the_definition(spark):
     assert sum(counted.values()) == sum(len(t.split()) + 1 for i, t in made if not lm.is_held_out(i))
     got = {r.doc_id: r for r in lm.lm_scores(spark.createDataFrame(made, "doc_id long, text string")).collect()}
     for i, t in [m for m in made if lm.is_held_out(m[0])][:12]:
-        shares = 0.0
+        shares = letters = 0.0
         for w in [*t.encode().split(), b""]:
             same = [n for x, n in counted.items() if xxhash.xxh64_intdigest(x, 42) >> (64 - lm.BITS) == xxhash.xxh64_intdigest(w, 42) >> (64 - lm.BITS)]
-            shares += math.log10((counted.get(w, 0) + 1) / (sum(same) + len(same) + 1)) + (0 if w in counted else lm.spelled(model.letters, [w])[0])
-        assert got[i].score == pytest.approx(brute_scores(model, start, t) + shares, abs=0.02)
+            shares += math.log10((counted.get(w, 0) + 1) / (sum(same) + len(same) + 1))
+            letters += 0 if w in counted else lm.spelled(model.letters, [w])[0]
+        assert got[i].score == pytest.approx(brute_scores(model, start, t) + shares, abs=0.02) and got[i].spelled_score == pytest.approx(letters)
+        assert got[i].bits_per_byte == pytest.approx(-(got[i].score + letters) / math.log10(2) / len(t.encode()))
 
 
 def test_alignment_and_scan(spark, empty):
