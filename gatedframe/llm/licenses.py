@@ -22,7 +22,12 @@ from gatedframe.llm.words import ASCII_LOWER, pieces, utf8
 #: Least coverage that counts as a find.
 COVERAGE = 0.8
 
-#: Notices and texts of widespread licenses.
+#: What permissive licenses end with.
+MIT_WARRANTY = "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software."
+BSD_WARRANTY = "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."
+ISC_WARRANTY = "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software."
+
+#: Notices and texts of widespread licenses. Of those that run to many pages there are the notices that they tell users to add.
 TEMPLATES = {
     "MIT": [
         "Released under the MIT License",
@@ -32,6 +37,7 @@ TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
     "GPL-3.0": [
         "licensed under the GNU General Public License, version 3",
@@ -50,16 +56,29 @@ TEMPLATES = {
     "BSD-2-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     ],
+    "Zlib": [
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    ],
+    "BSL-1.0": [
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "CC0-1.0": ["Licensed under CC0 1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
     "LGPL-3.0": ["licensed under the GNU Lesser General Public License, version 3"],
     "LGPL-2.1": ["licensed under the GNU Lesser General Public License, version 2.1"],
     "AGPL-3.0": ["licensed under the GNU Affero General Public License, version 3"],
-    "MPL-2.0": ["Licensed under the Mozilla Public License, Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "MPL-2.0": ["Licensed under the Mozilla Public License, Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution NonCommercial 4.0 International License"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License"],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution ShareAlike 4.0 International License"],
 }
+for _name, _grant, _end in (("MIT", 2, MIT_WARRANTY), ("BSD-3-Clause", 0, BSD_WARRANTY), ("BSD-2-Clause", 0, BSD_WARRANTY), ("ISC", 0, ISC_WARRANTY), ("BSL-1.0", 0, MIT_WARRANTY)):
+    TEMPLATES[_name].append(f"{TEMPLATES[_name][_grant]} {_end}")
+
 #: Words that set licenses apart: a find matches each of these that its template has, ...
-MARKS = frozenset(b"mit apache gnu lesser affero mozilla cc nc sa nd creative commons noncommercial sharealike noderivatives endorse promote 1 2 3 4 0".split())
+MARKS = frozenset(b"mit apache cc0 gnu lesser affero mozilla cc nc sa nd creative commons noncommercial sharealike noderivatives endorse promote 1 2 3 4 0".split())
 #: ... and has none of these among its first to last mark that the template hasn't.
 OTHERS = MARKS - frozenset(b"cc creative commons endorse promote".split()) | frozenset(b"commercial alike derivatives".split())
 
@@ -206,8 +225,8 @@ def license_scan(docs: DataFrame, coverage: float = COVERAGE, id_col: str = "doc
 
     ``licenses`` holds the names found with at least ``coverage``, sorted; ``license`` is that of the highest coverage, then of most
     matched words, then the first by name, with where it lies among the text's words (letters a-z and digits). Without a find
-    they are null and ``coverage`` is the best that was reached by a template whose marks are all matched (of one without marks, if half of its words are there). A null text counts as empty. Repeated rows each get a
-    row, an empty table gives none, and other columns are not read.
+    they are null and ``coverage`` is the best that was reached by a template whose marks are all matched (of one without marks, if half of its words are there). A null text counts as empty, a null id stays null, and texts
+    of any length are scanned whole. Repeated rows each get a row, an empty table gives none, and other columns are not read.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -498,6 +498,62 @@ def test_notices_without_a_word_of_licensing_or_with_an_insertion_are_found(text
     assert [f[2] for f in licenses.scan(text.encode(), licenses._prepared())[1] if f[0] >= licenses.COVERAGE] == want
 
 
+def brute_finds(text):
+    """Names found where a template is laid beside the text with any of its words on any same word of the text."""
+    words, best = licenses.WORD.findall(text.lower().encode()), {}
+    for t in licenses._prepared():
+        n = len(t.words)
+        for at, word in enumerate(words):
+            for place in [k for k, w in enumerate(t.words) if w == word]:
+                for spare in (n // 4 + 1, n):
+                    pairs = licenses._laid(t.words, words, at, place, spare)
+                    marked = [b for a, b in pairs if t.words[a] in t.marks]
+                    apart = set(words[marked[0] : marked[-1] + 1]) - t.marks if marked else set()
+                    if t.marks <= {words[b] for b in marked} and not licenses.OTHERS & apart and 5 * len(pairs) >= 4 * n:
+                        best[t.name] = max(best.get(t.name, 0), len(pairs))
+    return best
+
+
+def test_scan_finds_what_brute_force_finds():
+    rng = random.Random(31)
+    shorts = [(name, t) for name, texts in licenses.TEMPLATES.items() for t in texts if len(t.split()) < 60]
+    filler, found = [f"w{k}" for k in range(40)] + ["the", "under", "license", "version", "cc", "software"], 0
+    for k in range(150):
+        name, t = rng.choice(shorts)
+        words = t.split()
+        for _ in range(rng.randrange(4)):  # dropped, exchanged and added words
+            at, what = rng.randrange(len(words)), rng.randrange(3)
+            words[at : at + (what < 2)] = [] if what == 0 else [rng.choice(filler)]
+            words = words or ["x"]
+        text = " ".join([rng.choice(filler) for _ in range(rng.randrange(30))] + words + [rng.choice(filler) for _ in range(rng.randrange(30))])
+        want = brute_finds(text)
+        got = {f[2]: f[1] for f in licenses.scan(text.encode(), licenses._prepared())[1] if f[0] >= licenses.COVERAGE}
+        # of what covers the same words only the longer find stays
+        longest = {n for n, c in want.items() if c == max(want.values())}
+        assert set(got) <= set(want) and bool(got) == bool(want) and (not want or longest & set(got)), text
+        found += name in got
+    assert found > 70
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_whole_texts_name_their_own_license_alone(name):
+    rng = random.Random(1)
+    for text in licenses.TEMPLATES[name]:
+        words = f"Copyright 2020 Somebody. {text} Yours, all of us".split()
+        if len(words) > 60:  # one word in thirty misread
+            for at in rng.sample(range(3, len(words) - 4), len(words) // 30):
+                words[at] = words[at] if words[at].lower().strip(".,();") in {w.decode() for w in licenses.MARKS} or any(c.isdigit() for c in words[at]) else "misread"
+        found = [f for f in licenses.scan(" ".join(words).upper().encode(), licenses._prepared())[1] if f[0] >= licenses.COVERAGE]
+        assert [f[2] for f in found] == [name], (text, found)
+
+
+def test_license_scan_of_rows(spark):
+    mit = licenses.TEMPLATES["MIT"][3]
+    made = [(None, mit), (None, None), (1, "word " * 300_000 + mit + " word" * 1000), (1, mit), (2, " ")]
+    got = licenses.license_scan(spark.createDataFrame([(i, t, "x") for i, t in made], "doc_id long, text string, license string")).collect()
+    assert sorted((r.doc_id or 0, r.license or "") for r in got) == [(0, ""), (0, "MIT"), (1, "MIT"), (1, "MIT"), (2, "")]
+
+
 def brute_quality(t):
     t = t or ""
     w, seen, again = re.findall(WORD, t), set(), 0
