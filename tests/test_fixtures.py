@@ -1,0 +1,330 @@
+"""Small data sets, each for a rule that it pins, through the engine and through the tools."""
+
+import datetime as dt
+import json
+import threading
+import time
+
+import pytest
+
+from gatedframe.functions.text import SPACES
+from gatedframe.operators.anomalies import detect_anomalies
+from gatedframe.operators.profile import profile_dataset
+from gatedframe.plans.query import run_query
+from gatedframe.sources.delimited import build_dataset, dedupe_header, tokenize
+from gatedframe.sources.sample import sample_dataset
+from gatedframe.tools.catalog import TOOLS
+from gatedframe.tools.output import MOST_CHARACTERS, serialise, to_json
+from gatedframe.tools.schema import check_input, problems, unsupported_keywords
+from gatedframe.workspace import Workspace
+
+COUNT = [{"op": "count"}]
+
+
+def made(spark, name, *lines):
+    return build_dataset(spark, f"{name}.csv", "\n".join(lines).encode())
+
+
+def text(payload):
+    return serialise(to_json(payload))
+
+
+# ---- the sample's golden values
+
+
+@pytest.fixture(scope="module")
+def sample(spark):
+    return sample_dataset(spark)
+
+
+def test_sample(sample):
+    assert (sample.id, sample.row_count, sample.source_bytes, [f.type for f in sample.fields]) == ("sample_sales", 20, 955, ["string", "string", "number", "date", "string", "string"])
+    ops = [{"op": op, "column": "deal_size"} for op in ("sum", "min", "max", "median")]
+    assert run_query(sample, {"groupBy": ["region"], "aggregate": [*COUNT, *ops], "minGroupSize": 5}).rows == [
+        ["North", 5, 63200.0, 3100.0, 33000.0, 8200.0], ["South", 5, 333400.0, 4700.0, 275000.0, 7300.0], ["East", 5, 175300.0, 2200.0, 96000.0, 15800.0], ["West", 5, 44600.0, 1900.0, 22400.0, 10150.0],
+    ]
+    assert run_query(sample, {"aggregate": ops[:1]}).rows == [[616500.0]]
+    assert run_query(sample, {"groupBy": ["rep"], "aggregate": COUNT, "minGroupSize": 5}).rows == []
+    assert run_query(sample, {"where": [{"column": "status", "op": "eq", "value": "won"}], "aggregate": COUNT}).rows == [[14]]
+    found = {a["kind"]: a for a in detect_anomalies(sample, k=5)}
+    assert found["outliers"]["severity"] == "warning" and (found["outliers"]["detail"]["lowerBound"], found["outliers"]["detail"]["upperBound"]) == (-28925.0, 61675.0)
+    assert (found["outliers"]["detail"]["below"], found["outliers"]["detail"]["above"]) == (0, 2) and "highestOutlier" not in found["outliers"]["detail"]
+    gaps = found["gaps"]["detail"]
+    assert (gaps["gaps"], gaps["longestGapDays"], gaps["longestGapAfter"], gaps["daysCovered"]) == (18, 13, "2026-01-05", 20)
+
+
+# ---- parsing and inference
+
+
+def test_header_and_text_oddities(spark):
+    assert dedupe_header(["id", "id_2", "id"])[0] == ["id", "id_2", "id_2"]
+    assert list(tokenize('a,"b"c\rd,"e', ",")) == [["a", "bc"], ["d", "e"]]
+    people = made(spark, "people", "name,age,joined,active,salary", 'Ada,36,2020-01-02,true,"$120,000"', "Bo,41,2021/02/03,no,", "Cy,29,2022-03-04,YES,90000")
+    assert [f.type for f in people.fields] == ["string", "number", "date", "boolean", "number"]
+    assert [r.c4 for r in people.df.orderBy("_rid").collect()] == [120000.0, None, 90000.0]
+
+
+@pytest.mark.parametrize("bad, rows, kind, invalid", [(1, 40, "number", 1), (1, 10, "string", 0), (2, 40, "number", 2), (3, 40, "string", 0)])
+def test_a_type_needs_19_of_20_cells(spark, bad, rows, kind, invalid):
+    d = made(spark, "t", "n,x", *(f"{'word' if k < bad else k},1" for k in range(rows)))
+    assert (d.fields[0].type, d.fields[0].invalid) == (kind, invalid)
+
+
+def test_one_column_skips_blank_lines(spark):
+    assert made(spark, "blank", "n", "", "", "").row_count == 0
+    padded = made(spark, "padded", "n,x", f"{SPACES[9]}7{SPACES[-1]},1")
+    assert padded.fields[0].type == "number" and padded.df.first().c0 == 7.0
+
+
+def test_rows_beyond_the_limit_are_said_to_be_missing(spark):
+    big = build_dataset(spark, "big.csv", ("id,v\n" + "".join(f"{k},{k % 4}\n" for k in range(100_050))).encode())
+    assert (big.row_count, big.source_row_count) == (100_000, 100_050)
+    groups = run_query(big, {"groupBy": ["v"], "aggregate": [*COUNT, {"op": "max", "column": "id"}]})
+    assert groups.rows == [[k, 25_000, 99_996.0 + k] for k in range(4)]
+    w = Workspace(spark)
+    w.add(big)
+    ask = {"dataset": "big", "groupBy": ["v"], "aggregate": COUNT, "limit": 2}
+    answer, listed = w.call("query_dataset", ask), w.call("list_datasets")["datasets"][0]
+    assert answer["truncated"] and answer["datasetTruncated"] == listed["datasetTruncated"] == w.call("describe_columns", {"dataset": "big", "columns": ["v"]})["datasetTruncated"]
+    assert set(answer["datasetTruncated"]) == {"fileRows", "loadedRows", "note"} and (listed["datasetTruncated"]["fileRows"], listed["datasetTruncated"]["loadedRows"]) == (100_050, 100_000)
+
+
+def test_null_groups_and_odd_filters(spark):
+    d = made(spark, "nulls", "label,n,day,flag", ",1,2026-01-01,yes", "null,2,2026-01-02,no", "a,3,,yes", "b,,2026-01-04,")
+    q = lambda **spec: run_query(d, {"aggregate": COUNT} | spec).rows
+    n = lambda column, op, *v: q(where=[{"column": column, "op": op} | ({"value": v[0]} if v else {})])[0][0]
+    assert q(groupBy=["label"]) == [[None, 2], ["a", 1], ["b", 1]]
+    assert [n("label", "eq", None), n("label", "ne", None), n("n", "lt", None), n("n", "gte", None), n("label", "in", [None]), n("label", "in", ["a", None])] == [0, 2, 3, 0, 2, 3]
+    assert [n("n", "contains", "3"), n("day", "contains", "17672"), n("flag", "starts_with", "TR"), n("label", "contains", "")] == [1, 1, 2, 2]
+    assert n("day", "gt", 1767225600000) == 2 and n("flag", "eq", " YES ") == 2
+
+
+def test_results_are_capped(spark):
+    wide = made(spark, "wide", "id,x", *(f"{k},1" for k in range(500)))
+    r = run_query(wide, {"groupBy": ["id"], "aggregate": COUNT, "limit": 500})
+    assert (len(r.rows), r.total_groups, r.truncated) == (50, 500, True) and len(run_query(wide, {"groupBy": ["id"], "aggregate": COUNT}).rows) == 20
+
+
+# ---- disclosure
+
+
+def test_lopsided_groups_hide_each_other(spark):
+    d = made(spark, "lopsided", "team,amount", *["A,1"] * 6, "B,2")
+    assert run_query(d, {"groupBy": ["team"], "aggregate": COUNT, "minGroupSize": 3}).rows == []
+    assert run_query(d, {"where": [{"column": "team", "op": "ne", "value": "B"}], "aggregate": COUNT, "minGroupSize": 3}).rows == []
+    assert run_query(d, {"aggregate": COUNT, "minGroupSize": 3}).rows == [[7]]
+
+
+@pytest.fixture
+def w(spark):
+    return Workspace(spark)
+
+
+SALES = ["region,rep,amount,closed_on", "North,Ann,100,2026-01-01", "North,Ben,325,2026-01-02", "South,Cat,200,2026-01-03", "South,Dan,250,2026-01-04", "East,Eli,500,2026-01-05", "East,Fay,400,2026-01-06"]
+
+
+def test_answers_have_one_shape(spark, w):
+    w.add(made(spark, "sales", *SALES))
+    ask = lambda value: w.call("query_dataset", {"dataset": "sales", "where": [{"column": "rep", "op": "eq", "value": value}], "aggregate": COUNT})
+    assert text(ask("Ann")) == text(ask("Nobody")) and ask("Ann")["matchedRows"] == "fewer than 5"
+    whole = w.call("query_dataset", {"dataset": "sales", "aggregate": COUNT})
+    assert set(whole) == set(ask("Ann")) and whole["rows"] == [[6]] and whole["matchedRows"] == 6
+    hidden = w.call("query_dataset", {"dataset": "sales", "groupBy": ["rep"], "aggregate": COUNT})
+    assert hidden["rows"] == [] and hidden["totalGroups"] == 0 and hidden["privacy"] == whole["privacy"]
+    filtered = w.call("set_report_filter", {"dataset": "sales", "where": [{"column": "rep", "op": "eq", "value": "Ann"}]})
+    assert filtered["matchedRows"] == "fewer than 5" and w.call("set_report_filter", {"dataset": "sales", "where": []})["matchedRows"] == 6
+    w.set_min_group_size(1)  # below raw access two rows are the least
+    assert w.k == 2 and w.call("query_dataset", {"dataset": "sales", "groupBy": ["rep"], "aggregate": COUNT})["rows"] == []
+    privacy = w.call("list_datasets")["privacy"]
+    assert (privacy["minGroupSize"], privacy["minGroupSizeRequested"], privacy["rawRowAccess"]) == (2, 1, "disabled")
+    w.set_trust("raw")
+    assert w.k == 1 and len(w.call("query_dataset", {"dataset": "sales", "groupBy": ["rep"], "aggregate": COUNT})["rows"]) == 6
+    assert w.call("list_datasets")["privacy"]["rawRowAccess"] == "requires approval"
+
+
+def test_statistics_of_few_values_are_withheld(spark, w):
+    w.add(made(spark, "bonuses", "name,bonus", "A,90000", "B,110000", *(f"{c}," for c in "CDEF")))
+    bonus = w.call("describe_columns", {"dataset": "bonuses", "columns": ["bonus"]})["profiles"][0]
+    assert set(bonus) == {"name", "type", "count", "nulls", "nullRate", "distinct", "invalid", "statisticsWithheld", "categoriesWithheld"} and "90000" not in text(bonus)
+    assert (bonus["nulls"], bonus["nullRate"], bonus["distinct"]) == (4, 0.667, 2)
+
+
+def test_outliers_of_few_rows_are_not_named(spark, w):
+    w.add(made(spark, "pay", "name,pay", *(f"P{k},{60000 + 5 * k}" for k in range(14)), "X,3100000", "Y,3200000"))
+    ask = lambda: w.call("detect_anomalies", {"dataset": "pay", "kinds": ["outliers"]})
+    w.set_min_group_size(2)
+    assert ask()["anomalies"][0]["detail"]["highestOutlier"] == 3200000 and ask()["checked"] == ["outliers"]
+    w.set_min_group_size(5)
+    assert "3200000" not in text(ask()) and "boundsWithheld" in ask()["anomalies"][0]["detail"]
+
+
+def test_dates_of_few_rows_are_not_named(spark, w):
+    w.add(made(spark, "sparse", "ref,signed_on", "a,2026-01-02", "b,2026-03-20", "c,2026-07-11", *(f"x{k}," for k in range(7))))
+    w.add(made(spark, "dense", "ref,signed_on", *(f"r{k},2026-01-0{k}" for k in range(1, 6)), "z,2026-03-01"))
+    few, many = (w.call("detect_anomalies", {"dataset": d, "kinds": ["gaps"]})["anomalies"][0]["detail"] for d in ("sparse", "dense"))
+    assert "datesWithheld" in few and "2026" not in text(few) and (many["firstDay"], many["lastDay"], many["longestGapAfter"]) == ("2026-01-01", "2026-03-01", "2026-01-05")
+    assert "2026" not in text(w.call("describe_columns", {"dataset": "sparse", "columns": ["signed_on"]}))
+
+
+# ---- profiles and findings
+
+
+def test_categories(spark):
+    codes = made(spark, "codes", "code,x", *(f"c{k % 60},1" for k in range(180)))
+    assert "60" in profile_dataset(codes, ["code"])[0]["categoriesWithheld"]
+    grades = made(spark, "grades", "grade,x", *(f"g{g},1" for g in range(10) for _ in range(g + 1)))
+    assert [(c["value"], c["count"]) for c in profile_dataset(grades, ["grade"], 2)[0]["topCategories"]] == [(f"g{g}", g + 1) for g in (9, 8, 7, 6, 5)]
+    cases = made(spark, "cases", "ref,status", "R1,open", "R2,open", *[",closed"] * 10)
+    assert "categoriesWithheld" in profile_dataset(cases, ["ref"])[0] and profile_dataset(cases, ["status"])[0]["topCategories"][0] == {"value": "closed", "count": 10}
+    outcomes = made(spark, "outcomes", "outcome,note", *["won,x", "lost,x"] * 4, *[",x"] * 20)
+    assert profile_dataset(outcomes, ["outcome"], 2)[0]["topCategories"] == [{"value": "won", "count": 4}, {"value": "lost", "count": 4}]
+    assert "categoriesWithheld" in profile_dataset(outcomes, ["outcome"], 5)[0] and profile_dataset(made(spark, "none", "a,b", ",1", ",2"), ["a"])[0]["topCategories"] == []
+
+
+@pytest.mark.parametrize(
+    "values, want",
+    [
+        ([1, 2, 3, 4, 5, 6, 100], None),  # fewer than eight
+        ([5] * 20 + [100], None),  # no spread
+        (list(range(1, 9)), None),
+        (list(range(1, 9)) + [100], (0, 1, "warning")),
+        (list(range(1, 9)) + [-100], (1, 0, "warning")),
+        (list(range(100)) + [1000], (0, 1, "info")),
+        (list(range(95)) + [1000] * 5, (0, 5, "warning")),
+    ],
+)
+def test_outliers(spark, values, want):
+    found = detect_anomalies(made(spark, "o", "n,x", *(f"{v},1" for v in values)), ["n"], ["outliers"])
+    assert [(a["detail"]["below"], a["detail"]["above"], a["severity"]) for a in found] == ([want] if want else [])
+
+
+@pytest.mark.parametrize("days, want", [(["2026-01-01", "2026-01-29"], None), (["2026-01-01", "2026-01-02", "2026-01-30"], (1, 27, "warning")), (["2026-01-01", "2026-01-01", "2026-01-02", "2026-01-03"], None), (["2026-01-01", "2026-01-03", "2026-01-04"], (1, 1, "info"))])
+def test_gaps(spark, days, want):
+    found = detect_anomalies(made(spark, "g", "d,x", *(f"{d},1" for d in days)), ["d"], ["gaps"])
+    assert [(a["detail"]["gaps"], a["detail"]["longestGapDays"], a["severity"]) for a in found] == ([want] if want else [])
+
+
+def test_order_of_findings(spark):
+    d = made(spark, "messy", "id,note,amount", "1,,10", "1,,10", "2,,20", "3,,30")
+    assert [(a["kind"], a.get("column")) for a in detect_anomalies(d)] == [("missing", "note"), ("duplicates", None)]
+    assert [a["kind"] for a in detect_anomalies(d, ["note"])] == ["missing"]
+
+
+# ---- tools
+
+
+def test_tools_are_described():
+    assert len(TOOLS) == 11 and {r: sum(t.risk == r for t in TOOLS.values()) for r in ("read", "write", "gated")} == {"read": 4, "write": 5, "gated": 2}
+
+    def walk(schema):
+        yield schema
+        for child in [*schema.get("properties", {}).values(), *([schema["items"]] if "items" in schema else [])]:
+            yield from walk(child)
+
+    for name, tool in TOOLS.items():
+        assert name == tool.name and len(name) <= 30 and tool.title and 40 < len(tool.description) <= 500
+        assert tool.annotations["readOnlyHint"] == (tool.risk == "read" or name == "sample_rows")
+        assert not unsupported_keywords(tool.schema) and any("known property" in p["message"] for p in problems(tool.schema, {"nothing_of_the_kind": 1}))
+        for s in walk(tool.schema):
+            assert len(s.get("description", "")) <= 150 and (s.get("type") != "object" or s["additionalProperties"] is False) and (s.get("type") != "array" or s["maxItems"] == 50)
+            assert all(child.get("description") for child in s.get("properties", {}).values())
+    assert {n for n, t in TOOLS.items() if t.annotations["untrustedContentHint"]} == {"list_datasets", "describe_columns", "query_dataset", "detect_anomalies", "sample_rows", "add_note"}
+
+
+def test_tools_follow_the_state(spark, w):
+    told = []
+    w.on_tools_change = lambda came, went: told.append((len(came), len(went)))
+    assert w.available_tools() == ["list_datasets", "add_note"]
+    w.load_sample()
+    assert len(w.available_tools()) == 8
+    w.set_trust("sealed")
+    assert len(w.available_tools()) == 3
+    w.set_trust("raw")
+    assert len(w.available_tools()) == 9
+    w.set_trust("no such level")
+    w.call("add_note", {"markdown": "x"})
+    assert len(w.available_tools()) == 11 and told == [(6, 0), (0, 5), (6, 0), (2, 0)]
+    w.approve = lambda request: True
+    w.call("clear_workspace", {"confirm": True})
+    assert w.available_tools() == ["list_datasets", "add_note"] and sum(n for _, n in told) == 14
+
+
+def test_hostile_arguments(spark, w):
+    w.load_sample()
+    ask = lambda **a: w.call("query_dataset", {"dataset": "sample_sales", "aggregate": COUNT} | a)["error"]["code"]
+    assert {ask(limit=v) for v in (float("inf"), float("nan"), 0, 51, 2.5, "3", True)} == {"invalid_input"}
+    assert ask(minGroupSize=1) == ask(groupBy=["region"] * 51) == ask(aggregate=[]) == "invalid_input" and ask(where=[{"column": "x", "op": "eq", "value": {"__proto__": 1}}]) == "forbidden_key"
+    assert w.call("query_dataset", ["no object"])["error"]["code"] == "invalid_input" and check_input(TOOLS["sample_rows"].schema, {"dataset": "a", "reason": "short"})["problems"]
+    unknown = w.call("query_dataset", {"dataset": "sample_sales", "groupBy": ["Region"], "aggregate": COUNT})["error"]
+    assert unknown["code"] == "unknown_column" and "region" in unknown["availableColumns"]
+    assert [e["rowsReleased"] for e in w.ledger] == [0] * len(w.ledger) and w.totals["calls"] == len(w.ledger)
+
+
+def test_answers_fit_the_budget(spark, w):
+    w.set_trust("raw")
+    w.set_min_group_size(1)
+    w.add(made(spark, "wide", "id,value", *(f"{'a rather long key' * 4} {k},{k}" for k in range(400))))
+    for name, a in (("query_dataset", {"dataset": "wide", "groupBy": ["id"], "aggregate": COUNT, "limit": 50}), ("list_datasets", {}), ("describe_columns", {"dataset": "wide"})):
+        answer = w.call(name, a)
+        assert len(json.dumps(answer, separators=(",", ":"), ensure_ascii=False)) <= MOST_CHARACTERS and "error" not in answer
+    cut = w.call("query_dataset", {"dataset": "wide", "groupBy": ["id"], "aggregate": COUNT, "limit": 50})
+    assert cut["outputTruncated"]["available"] == 50 and cut["outputTruncated"]["returned"] == len(cut["rows"]) > 5
+
+
+def test_raw_rows_need_a_person(spark, w):
+    w.add(made(spark, "sales", *SALES))
+    w.set_trust("raw")
+    ask = lambda **a: w.call("sample_rows", {"dataset": "sales", "reason": "to see the form"} | a)
+    seen = []
+    w.approve = lambda request: seen.append(request) or True
+    assert ask(rows=2, columns=["amount", "region"])["rows"] == [["North", 100], ["North", 325]] and seen[0]["detail"]["reason"] == "to see the form"
+    assert ask(columns=["nothing"])["error"]["code"] == "unknown_column" and len(seen) == 1
+    w.approve = lambda request: False
+    assert ask()["error"]["code"] == "approval_denied"
+    w.approve = lambda request: w.set_trust("aggregates") or True
+    assert ask()["error"]["code"] == "raw_access_disabled"
+    w.set_trust("raw")
+    w.approve = lambda request: w.remove("sales") or True
+    assert ask()["error"]["code"] == "unknown_dataset"
+    assert w.totals["rows"] == 2 and w.ledger[0]["risk"] == "gated"
+
+
+def test_requests_time_out_and_do_not_queue(spark, w):
+    waiting = threading.Event()
+    w.approve = lambda request: waiting.wait(5)
+    began = time.time()
+    assert w.request_approval({}, seconds=0.2) is False and time.time() - began < 3
+    waiting.set()
+    answers, hold = [], threading.Event()
+    w.approve = lambda request: hold.wait(5)
+    first = threading.Thread(target=lambda: answers.append(w.request_approval({}, seconds=5)))
+    first.start()
+    time.sleep(0.2)
+    assert w.request_approval({}) is False  # while the first is open
+    hold.set()
+    first.join()
+    assert answers == [True]
+
+
+def test_the_ledger_keeps_its_totals(w):
+    for k in range(230):
+        w.call("add_note", {"markdown": f"note {k}"})
+    assert len(w.ledger) == 200 and w.totals["calls"] == 230 and w.totals["characters"] > sum(e["characters"] for e in w.ledger)
+    w.clear()
+    assert len(w.ledger) == 200 and not w.blocks
+
+
+def test_charts_follow_the_filter(spark, w):
+    w.load_sample()
+    chart = w.call("add_chart", {"dataset": "sample_sales", "title": "Deals", "type": "bar", "groupBy": "region", "aggregate": {"op": "sum", "column": "deal_size"}, "orderBy": {"column": "sum_of_deal_size", "direction": "desc"}})
+    assert (chart["plotted"], chart["totalGroups"]) == (4, 4) and [p["label"] for p in w.chart_points(chart["blockId"])] == ["South", "East", "North", "West"]
+    w.call("set_report_filter", {"dataset": "sample_sales", "where": [{"column": "region", "op": "in", "value": ["North", "West"]}]})
+    assert [p["label"] for p in w.chart_points(chart["blockId"])] == ["North", "West"]
+    bad = w.call("add_chart", {"dataset": "sample_sales", "title": "x", "type": "bar", "groupBy": "region", "aggregate": {"op": "sum", "column": "rep"}})
+    assert bad["error"]["code"] == "type_mismatch" and len(w.blocks) == 1
+    w.remove("sample_sales")
+    assert not w.blocks and not w.filters
+
+
+def test_dates_leave_as_milliseconds():
+    assert to_json({"a": dt.datetime(2026, 1, 1), "b": dt.date(2026, 1, 1), "c": [1.0, 2.5, float("nan")]}) == {"a": 1767225600000, "b": 1767225600000, "c": [1, 2.5, None]}
