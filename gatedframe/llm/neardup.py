@@ -4,7 +4,9 @@ A document is the set of its five-word shingles, as 64-bit hashes; documents wit
 operator links nodes whose fingerprints (of the same hashes) differ in at most four bits, which finds near exact
 copies and few others: at similarity 0.8 some ten bits differ. So each of 32 bands besides joins five smallest hashes, and
 documents of similarity 0.8 share a band but for 0.672^32, 3 pairs in a million. A component of fingerprints and a value of a band are
-buckets alike; the members of a bucket are compared set by set where their task holds them, and buckets with the same members once.
+buckets alike; the members of a bucket are compared set by set where their task holds them, and buckets with the same members once. A bucket of more members
+than a task takes is cut into chunks. Each chunk is compared within itself first; what its members then are linked to, here or in other
+buckets, needs no more comparing, and only members outside the bucket's largest component meet the other chunks.
 """
 
 from __future__ import annotations
@@ -152,6 +154,26 @@ def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield edges()
 
 
+def _across(members: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, i, j, node): which chunks of a large bucket still have to meet, once ``roots`` (node, root) are known.
+
+    Members of the bucket's largest component need not be compared with each other. They lie in chunks 0, 1, ..., all others in chunks -1, -2, ...; each chunk of
+    the others meets each chunk of either kind.
+    """
+    large = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    large = scratch.table(large, "large")
+    sizes = large.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("a"), F.sum("n").alias("all"), F.count("*").alias("kinds"))
+    chunks = lambda n: F.ceil(n / CHUNK).cast("long")
+    largest = scratch.table(largest.where("kinds > 1").select("bucket", "main", chunks(F.col("a")).alias("a"), chunks(F.col("all") - F.col("a")).alias("b")), "largest")
+    parts = large.join(broadcast_if_few(largest), "bucket")
+    parts = parts.withColumn("c", F.when(F.col("root") == F.col("main"), F.expr("pmod(xxhash64(node, bucket), a)")).otherwise(F.expr("-1 - pmod(xxhash64(node, bucket), b)")))
+    other = F.expr("transform(sequence(1L, b), x -> -x)")
+    met = F.when(F.col("c") >= 0, other).otherwise(F.concat(F.expr("sequence(0L, a - 1)"), other))
+    dealt = parts.select("bucket", "c", "node", F.explode(met).alias("o"))
+    return dealt.select("bucket", F.greatest("c", "o").alias("i"), F.least("c", "o").alias("j"), "node")
+
+
 def least_of_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Of ``docs`` (key, text): the least key of each component of links of similarity 0.8 or more, as column ``key``."""
     kind = docs.schema["key"].dataType.simpleString()
@@ -165,18 +187,25 @@ def least_of_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # counted on the map side first, so that no task gathers the members of a common bucket
     met = scratch.table(entered.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1"), "buckets")
     first = scratch.table(met.groupBy("n", "members").agg(F.min("bucket").alias("bucket")), "first")
-    chunks = entered.join(broadcast_if_few(first), "bucket").select("bucket", "node", F.ceil(F.col("n") / CHUNK).cast("long").alias("k")).withColumn("c", F.expr("pmod(xxhash64(node), k)"))
-    chunks = scratch.table(chunks, "chunks")
-    dealt = chunks.select("bucket", "c", "node", F.explode(F.expr("sequence(0L, k - 1)")).alias("o")).select("bucket", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node")
-    wanted = scratch.table(nodes.select("node", "least").join(chunks.select("node").distinct(), "node", "left_semi").select(F.col("least").alias("key")).distinct(), "wanted")
+    members = entered.join(broadcast_if_few(first), "bucket").select("bucket", "node", F.ceil(F.col("n") / CHUNK).cast("long").alias("k"))
+    members = scratch.table(members, "members")
+    wanted = scratch.table(nodes.select("node", "least").join(members.select("node").distinct(), "node", "left_semi").select(F.col("least").alias("key")).distinct(), "wanted")
     sets = docs.join(broadcast_if_few(wanted), "key", "left_semi").select("text").mapInArrow(_sets, "node long, shingles binary")
     sets = scratch.table(sets.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "sets")
-    groups = dealt.join(sets, "node").select("bucket", "i", "j", "node", "shingles")
-    edges = groups.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_links, "u long, v long")
+
+    def compared(dealt: DataFrame, name: str) -> DataFrame:
+        groups = dealt.join(sets, "node").select("bucket", "i", "j", "node", "shingles")
+        return scratch.table(groups.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_links, "u long, v long"), name)
+
+    own = F.expr("pmod(xxhash64(node, bucket), k)")
+    edges = compared(members.select("bucket", own.alias("i"), own.alias("j"), "node"), "links")
+    if members.where("k > 1").limit(1).count():
+        roots = scratch.table(connected_components(edges, scratch), "linked")
+        edges = edges.union(compared(_across(members.where("k > 1").select("bucket", "node"), roots, scratch), "links-across"))
     roots = connected_components(edges, scratch)
     placed = nodes.join(roots, nodes.node == roots.node, "left").select("least", F.coalesce("root", nodes.node).alias("root"))
     named = scratch.table(placed.groupBy("root").agg(F.min("least").alias("key")).select("key"), "named")
-    scratch.drop("nodes", "alike", "met", "buckets", "first", "chunks", "wanted", "sets")
+    scratch.drop("nodes", "alike", "met", "buckets", "first", "members", "wanted", "sets", "links", "linked", "links-across", "large", "largest", "parts")
     return named
 
 

@@ -24,12 +24,12 @@ SLOTS = 1 << 15
 FAMILIES = 3
 #: Factor on relative frequencies, so that a few hundred steps of descent suffice.
 SCALE = 30.0
-MEMO_WORDS = 1 << 20
+MEMO_WORDS = 1 << 18
 
 GAPS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: One for each byte that begins a character of a word.
-LETTER = (~GAPS & ((np.arange(256) & 0xC0) != 0x80)).astype(np.int64)
-SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>")).astype(np.int64)
+LETTER = (~GAPS & ((np.arange(256) & 0xC0) != 0x80)).astype(np.uint8)
+SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>")).astype(np.uint8)
 
 RULES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality double"
 
@@ -75,8 +75,11 @@ def repeat_words(ids: np.ndarray, distinct: int) -> int:
 
 def _sums(table: np.ndarray, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sum of table[data] over each text."""
-    total = np.concatenate([[0], np.cumsum(table[data])])
-    return np.diff(total[np.concatenate([[0], ends])])
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    total, filled = np.zeros(len(ends), np.int64), starts < ends  # reduceat would give an empty text its neighbour's first byte
+    if filled.any():
+        total[filled] = np.add.reduceat(table[data], starts[filled], dtype=np.int64)
+    return total
 
 
 def _grams(data: np.ndarray) -> np.ndarray:

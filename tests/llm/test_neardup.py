@@ -65,3 +65,25 @@ def test_stage_keeps_one_of_each_group_of_near_copies(spark, monkeypatch, chunk)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == want
     assert neardup.keep_one_per_component(docs.limit(0)).count() == 0
+
+
+def test_large_buckets_of_several_components(spark, monkeypatch):
+    """A passage that fills most of every text puts texts of many components into the same buckets, one of them large."""
+    monkeypatch.setattr(neardup, "CHUNK", 8)
+    rng = random.Random(17)
+    word = lambda: f"v{rng.randrange(9000)}"
+    common, rows = [word() for _ in range(120)], []
+    for group in range(12):
+        own = [word() for _ in range(rng.choice([30, 36, 45]))]
+        for _ in range(60 if group == 0 else 3):
+            words = common + own
+            words[rng.randrange(120, len(words))] = word()
+            rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    across = []
+    whole = neardup._across
+    monkeypatch.setattr(neardup, "_across", lambda *a: across.append(whole(*a)) or across[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want, _ = brute_kept(rows)
+    assert sorted(r.doc_id for r in neardup.keep_one_per_component(docs).collect()) == want and 1 < len(want) < 40
+    assert len(across) == 1
