@@ -99,8 +99,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 2048, end
 
 
 def sequences(docs: DataFrame, packed: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(sequence_id, ids): the packed ids themselves, of unique documents, without the padding."""
-    ids = token_pieces(docs, tokenizer_path, length, end_id, id_col, text_col, with_ids=True).select("doc_id", "start", "ids")
-    joined = packed.select("doc_id", "start", "sequence_id", "offset").join(ids, ["doc_id", "start"])
-    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return joined.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
+    """(sequence_id, ids): the packed ids themselves, without the padding.
+
+    Pieces of ``packed`` are matched by id (null or not), place, length, checksum and the document's tokens, so that rows which repeat an id, or an id and a
+    text, each have theirs. A null text is packed as its end id alone, and empty tables give no sequence.
+    """
+    key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    ids = token_pieces(docs, tokenizer_path, length, end_id, id_col, text_col, with_ids=True).dropDuplicates(key).select(*key, "ids")
+    ids = Scratch(docs.sparkSession, "sequences").table(ids, "ids")
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"i.{c}")) for c in key]
+    joined = packed.alias("p").join(ids.alias("i"), same).select("sequence_id", F.struct("offset", "ids").alias("part"))
+    return joined.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["ids"])).alias("ids"))

@@ -220,7 +220,10 @@ def quality_rules(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules and the classifier keep, with all their columns."""
+    """The rows of ``docs`` that the rules and the classifier keep, with all their columns, of whatever names.
+
+    A null, empty or blank text has no words and goes. Repeated rows are judged alike, and an empty table stays one.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

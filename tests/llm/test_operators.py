@@ -346,9 +346,19 @@ def test_packing(docs, rows, empty):
         parts.sort()
         assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(n for _, n in parts) <= 2048
     assert packing.pack_documents(empty, queries.tokenizer()).count() == 0
-    unique = docs.where("doc_id between 20 and 60")
-    for r in packing.sequences(unique, packing.pack_documents(unique, queries.tokenizer()), queries.tokenizer()).collect():
-        assert len(r.ids) <= 2048
+    packed = docs.sparkSession.createDataFrame(got)
+    made = Counter(bytes(np.array(r.ids, "<u4").tobytes()) for r in packing.sequences(docs, packed, queries.tokenizer()).collect())
+    texts = {}
+    for i, t, *_ in rows:
+        ids = encode([(t or "").encode()])[0] + np.array([1], "<u4").tobytes()
+        for at in range(0, len(ids), 8192):
+            texts[i, at // 4, zlib.crc32(ids[at : at + 8192])] = ids[at : at + 8192]
+    by_sequence = {}
+    for r in got:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, texts[r.doc_id, r.start, r.ids_crc32]))
+    assert made == Counter(b"".join(x for _, x in sorted(parts)) for parts in by_sequence.values())
+    padding = 2048 * len(by_sequence) - sum(r.length for r in got)
+    assert padding < 2048 * 4
 
 
 def test_lm_scores(spark, docs, rows, empty):
