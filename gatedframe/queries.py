@@ -36,8 +36,9 @@ def _r(expression: str, name: str) -> str:
 
 
 def _add(name: str, table: str, sql: str, rounded: tuple[str, ...] = (), change: Callable[[DataFrame], DataFrame] = lambda df: df, **spec) -> None:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _rounded(query_frame(_table(spark, sf_dir, table, change), **spec), rounded)
+    def query(spark: SparkSession, sf_dir: str, **other) -> DataFrame:
+        """``other`` takes the place of parts of the query, such as ``k=1`` for no disclosure rule."""
+        return _rounded(query_frame(_table(spark, sf_dir, table, change), **(spec | other)), rounded)
 
     QUERIES[name], ORACLE[name] = query, sql
 
