@@ -12,6 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from test_neardup import brute_kept
+
 from gatedframe.llm import fingerprints, licenses, lm, mixing, packing, quality, queries, sharding, tokens, warc
 from gatedframe.llm.storage import Scratch
 
@@ -430,10 +432,10 @@ def brute_scores(model, start, text):
             x = [f / 256 for f in (v >> 2 for v in found)] + [(2 * (hoped >> (lm.BITS - 1 - k) & 1) - 1) * lm.EXPECTED if agreed else 0.0]
             gate = (found[1] & 3) * 4 + (found[2] & 3) + 16 * agreed
             y = b >> (lm.BITS - 1 - k) & 1
-            z = min(max(sum(w * v for w, v in zip(weights[gate], x)), -14), 14)
+            z = min(max(sum(w * v for w, v in zip(weights[gate], x)), -lm.LIMIT), lm.LIMIT)
             p = 1 / (1 + math.exp(-z))
             weights[gate] += lm.RATE * (y - p) * np.array(x)
-            cell = int(min(max((z + 8) * lm.MAP_CELLS / 16, 0), lm.MAP_CELLS - 1))
+            cell = int((z + 14) * lm.MAP_CELLS / 28)
             final = p + lm.MAP_SHARE * (refined[cell] - p)
             refined[cell] += lm.MAP_RATE * (y - refined[cell])
             total += math.log10(final if y else 1 - final)
@@ -594,14 +596,58 @@ def test_quality_classifier_on_held_out_rows(spark):
     assert not quality.train(docs, labels.where("quality = 5")).weights.any()
 
 
-def test_pipeline(spark):
+def test_pipeline_against_brute_force(spark):
+    """Each stage on all that the one before kept, over documents of which some repeat an id, lack one or lack a text."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    sf, docs, kept = "/root/testdata/sf0.001", queries.read(spark, "/root/testdata/sf0.001", "documents"), []
+    sf, whole = "/root/testdata/sf0.001", queries.read(spark, "/root/testdata/sf0.001", "documents")
+    first = [tuple(r) for r in whole.orderBy("doc_id").limit(40).collect()]
+    odd = [(r[0] + 1, *r[1:]) for r in first[:20]] + [(None, *r[1:]) for r in first[20:30]] + [(r[0], (r[1] or "") + " one more word", *r[2:]) for r in first[30:]] + [(5, None, "en", None, 0)]
+    docs = given_docs = whole.union(spark.createDataFrame(odd, whole.schema))
+    kept = []
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf).cache()
-        kept.append(docs)
+        kept.append([tuple(r) for r in docs.collect()])
+        if len(kept) < 4:
+            assert docs.columns == whole.columns
     good, single, mixed, packed = kept
-    assert good.columns == single.columns == mixed.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert all(not brute_quality(r.text)[5] for r in good.collect())
-    assert single.count() == single.select("text").distinct().count()
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in mixed.collect()}
+    model = quality.train(given_docs, queries.read(spark, sf, "labels"))
+    given = [tuple(r) for r in whole.collect()] + odd
+    judged = quality.measure([(r[1] or "").encode() for r in given], quality._Words(), model)[6]
+    assert sorted(map(str, good)) == sorted(str(r) for r, ok in zip(given, judged) if ok)
+    assert all(not brute_quality(r[1])[5] for r in good)
+    want, _ = brute_kept([(1 << 60 if r[0] is None else r[0], r[1]) for r in good])
+    assert sorted(1 << 60 if r[0] is None else r[0] for r in single) == want
+    assert len({r[1] for r in single}) == len(single) and {str(r) for r in single} <= {str(r) for r in good}
+    words = lambda t: re.findall(WORD, t or "")
+    sizes, taken = Counter(), Counter()
+    for r in single:
+        sizes[r[3]] += len(words(r[1]))
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    weights, fixed = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}, {}
+    while True:
+        rest = sum(sizes.values()) - sum(fixed.values())
+        shares = {s: rest * weights[s] / sum(weights[x] for x in names if x not in fixed) for s in names if s not in fixed}
+        above = [s for s, v in shares.items() if v > 3 * sizes[s]]
+        if not above:
+            break
+        fixed |= {s: 3 * sizes[s] for s in above}
+    before = {(r[0], r[3]): Counter(words(r[1])) for r in single}
+    for r in mixed:
+        found = Counter(words(r[1]))
+        taken[r[3]] += sum(found.values())
+        assert r[4] == len(r[1]) and all(n <= 3 * before[r[0], r[3]][w] for w, n in found.items())
+    assert all(abs(taken[s] - t) <= 0.02 * t + 2 * mixing.BLOCK for s, t in (fixed | shares).items())
+    encode = tokens.encoder(queries.tokenizer()).encode
+    have = Counter()
+    for r in packed:
+        have[r[0]] += r[2]
+    assert have == Counter({r[0]: len(encode([r[1].encode()])[0]) // 4 + 1 for r in mixed})
+
+
+def test_pipeline_leaves_its_result_alone(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from gatedframe.llm.storage import _open, exists
+
+    result = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    root = result.inputFiles()[0].rsplit("/stage-3", 1)[0]
+    assert result.count() > 150 and exists(spark, f"{root}/stage-3") and not any(exists(spark, f"{root}/stage-{k}") for k in range(3)) and len(_open) == 1
