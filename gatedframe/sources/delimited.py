@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -20,6 +21,7 @@ ENDINGS = (".csv", ".tsv", ".txt")
 #: Files that are loaded from one path at most, as each becomes a dataset of its own.
 MOST_FILES = 200
 FLUSH = 4096
+PATTERN = re.compile(r"[*?\[\]{}\\,]")
 
 
 def detect_delimiter(text: str) -> str:
@@ -163,8 +165,9 @@ def load_delimited(spark: SparkSession, path: str, taken: Iterable[str] = (), se
             raise QueryError("file_too_large", f'"{f.path.rsplit("/", 1)[-1]}" has {f.length:,} bytes; {MOST_BYTES:,} are taken at most.')
     found: list[Dataset] = []
     for f in listed:
-        own = files.where(F.col("path") == f.path).select("content")
-        made = _dataset(spark, f.path.rsplit("/", 1)[-1], own, f.length, [*taken, *(d.id for d in found)], separator)
+        # a path that would be read as a pattern is sought among all files instead
+        own = files.where(F.col("path") == f.path) if PATTERN.search(f.path) else spark.read.format("binaryFile").load(f.path)
+        made = _dataset(spark, f.path.rsplit("/", 1)[-1], own.select("content"), f.length, [*taken, *(d.id for d in found)], separator)
         if not made.fields:
             raise QueryError("empty_file", f'"{made.name}" has no columns.')
         found.append(made)

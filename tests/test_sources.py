@@ -126,6 +126,11 @@ def test_files_of_a_folder(spark, tmp_path):
     with pytest.raises(QueryError) as e:
         w.load_file(str(tmp_path))
     assert e.value.code == "several_files" and len(w.datasets) == 5
+    (tmp_path / "odd").mkdir()
+    for name in ("a b%20c.csv", "[x] {y}.csv", "é+ü.csv"):
+        (tmp_path / "odd" / name).write_text(f"name\n{name}\n")
+    odd = Workspace(spark).load_files(str(tmp_path / "odd"))
+    assert sorted(d.df.first().c0 for d in odd) == sorted(d.name for d in odd) == ["[x] {y}.csv", "a b%20c.csv", "é+ü.csv"]
     (tmp_path / "d.exe").write_text("n\n1\n")
     with pytest.raises(QueryError) as e:
         w.load_files(str(tmp_path))
