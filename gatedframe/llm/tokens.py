@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import string
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,6 +29,11 @@ MEMO_WORDS, MEMO_BYTES = 400_000, 64
 FEW_MISSES = 100_000
 
 
+#: The letters that stand for bytes in byte-level vocabularies, by their rule: visible ones for themselves, the others in order from U+0100 on.
+_HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE)]
+BYTE_LETTERS = {b: 256 + n for n, b in enumerate(_HIDDEN)}
+
+
 class _Memo(dict):
     """Results of a function of words, forgotten when there are many."""
 
@@ -79,11 +86,8 @@ class Encoder:
             and not any(t["single_word"] for t in spec.get("added_tokens") or [])
         )
         if self.drops_space:
-            from tokenizers.pre_tokenizers import ByteLevel
-
             self.special = [t["content"] for t in spec.get("added_tokens") or []]
             self.split = regex.compile(WORD_PATTERN).findall
-            self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
             self.words = _Memo(self._encode_word)
             self.parts: dict[str, bytes] = {}
 
@@ -91,16 +95,22 @@ class Encoder:
         if (found := self.parts.get(part)) is None:
             if len(self.parts) >= MEMO_WORDS:
                 self.parts.clear()
-            text = part if part.isascii() else self.as_bytes(part)[0][0]
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
+            text = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LETTERS)
+            found = array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
             if len(part) <= MEMO_BYTES:
                 self.parts[part] = found
         return found
 
     def _encode_word(self, word: bytes) -> bytes:
         text = word.decode()
-        if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            return b"".join(map(self._part, self.split(text.lower())))
+        if PLAIN.fullmatch(text):
+            if text.isalpha():
+                return self._part(text.lower())
+            if not any(s in text for s in self.special):
+                letters = text.rstrip(string.punctuation)
+                if letters.isalpha():
+                    return self._part(letters.lower()) + self._part(text[len(letters) :])
+                return b"".join(map(self._part, self.split(text.lower())))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
