@@ -188,7 +188,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     twice takes the lower label; null ids and labels are left out.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("_id"), "good")
+    # twice as many as are wanted go on to the sort, so that it stays small however many are labelled
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1 << 30, (2 * rows << 30) // max(1, known.count())))
+    chosen = known.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(rows).select(F.col("doc_id").alias("_id"), "good")
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # the chosen rows are bounded by the parameter, so this side is small
     sample = texts.join(F.broadcast(chosen), "_id").withColumn("n", F.row_number().over(Window.partitionBy("_id").orderBy("text"))).where("n = 1")

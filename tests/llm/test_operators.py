@@ -381,6 +381,14 @@ def test_lm_counts_of_rare_words_are_joined(docs, monkeypatch):
     assert sorted((r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.lm_scores(docs).collect()) == want
 
 
+def test_lm_frequent_words_are_bounded(spark):
+    counts = spark.range(1, 3000).selectExpr("cast(concat('w', id) as binary) AS word", "3000 div id AS n")
+    for most in (0, 1, 40, 700, 5000):
+        found = [r.n for r in lm._frequent(counts, most).collect()]
+        rest = [3000 // k for k in range(1, 3000) if 3000 // k not in set(found)]
+        assert len(found) <= most and (not found or not rest or min(found) > max(rest)) and (most < 40 or len(found) > most // 3 or not rest)
+
+
 def test_lm_bits_sum_to_one_and_context_helps(spark):
     rng = random.Random(8)
     follow = {f"a{i}": f"b{i}" for i in range(40)}
