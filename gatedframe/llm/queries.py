@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatedframe.llm import fim, fingerprints, licenses, lm, mixing, packing, quality, sharding, simhash, tokens, warc
+from gatedframe.llm import conversations, fim, fingerprints, licenses, lm, mixing, packing, quality, sharding, simhash, tokens, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -84,6 +84,13 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
 """
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repaired = conversations.repair(conversations.damage(found), ids=found)
+    digest = F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return repaired.summary.join(conversations.digests(repaired.rows), "cid", "left").select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", digest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
