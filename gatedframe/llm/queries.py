@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatedframe.llm import conversations, fim, fingerprints, licenses, lm, mixing, packing, quality, sharding, simhash, tokens, warc
+from gatedframe.llm import ann, conversations, fim, fingerprints, licenses, lm, mixing, packing, quality, sharding, simhash, tokens, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -91,6 +91,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired.summary.join(conversations.digests(repaired.rows), "cid", "left").select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", digest)
 
 
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
