@@ -133,15 +133,24 @@ def coerce_columns(df: DataFrame, kinds: dict[str, str], invalid: str = "") -> D
     return typed.drop(*(f"_t_{c}" for c in kinds), *(f"_b_{c}" for c in numbers))
 
 
-def infer_types(df: DataFrame, columns: list[str]) -> dict[str, str]:
-    """The type of each text column, by one aggregation over all of them."""
+#: Where ``type_counts`` has the cells that read as a type.
+READS = {BOOLEAN: 1, DATE: 2, NUMBER: 3}
+
+
+def type_counts(df: DataFrame, columns: list[str], *by: str) -> DataFrame:
+    """For each of ``by``, of the nth column the filled cells (<n>_0) and those that read as boolean, date and number (<n>_1 to <n>_3); one aggregation over all columns."""
     ready, counts = _prepared(df, columns, columns), []
     for i, c in enumerate(columns):
         text = F.col(f"_t_{c}")
         filled = ~_nullish(text)
         reads = (_word(text), _moment(text), _amount(F.col(f"_b_{c}"), text))
         counts += [F.count_if(filled).alias(f"{i}_0"), *(F.count_if(filled & r.isNotNull()).alias(f"{i}_{j}") for j, r in enumerate(reads, 1))]
-    seen = ready.agg(*counts).first()
+    return ready.groupBy(*by).agg(*counts)
+
+
+def infer_types(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """The type of each text column."""
+    seen = type_counts(df, columns).first()
     return {c: choose_type(*(seen[f"{i}_{j}"] for j in range(4))) for i, c in enumerate(columns)}
 
 

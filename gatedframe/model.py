@@ -54,7 +54,7 @@ class Dataset:
     """``df`` has one column per field, named by position, so that any source names can be held.
 
     ``number`` adds ``_rid``, the order of appearance, to ``df`` or to what a filter leaves of it; it is called only where an order is wanted,
-    and above the filter, so that it never stands between a filter and the scan. Rows are counted when their number is first asked for.
+    and above the filter, so that it never stands between a filter and the scan. Rows are counted when their number is first asked for. ``release`` gives up what was kept for the dataset.
     """
 
     id: str
@@ -67,6 +67,7 @@ class Dataset:
     warnings: list[str] = field(default_factory=list)
     loaded_at: float = field(default_factory=time.time)
     number: Callable[[DataFrame], DataFrame] = lambda df: df
+    release: Callable[[], None] = lambda: None
 
     @property
     def row_count(self) -> int:

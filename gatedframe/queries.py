@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from gatedframe.functions.text import half_up
 from gatedframe.model import BOOLEAN, DATE, NUMBER, Dataset
 from gatedframe.operators import anomalies, profile
 from gatedframe.plans.query import query_frame, run_query
-from gatedframe.sources.delimited import build_dataset
+from gatedframe.shared import shared_dir
+from gatedframe.sources.delimited import load_delimited_table
 from gatedframe.sources.parquet import from_frame
 from gatedframe.workspace import Workspace
 
@@ -281,25 +283,28 @@ def anomalies_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _delimited(spark: SparkSession, sf_dir: str) -> Dataset:
-    """The nations as a quoted text with every kind of cell, read back."""
-    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").limit(25).collect()
-    lines = ["key; name ;name;odd;flag;day;text"]
-    for r in rows:
-        odd = "none of it" if r.n_nationkey == 7 else f"${r.n_nationkey},000" if r.n_nationkey % 2 else f"({r.n_nationkey + 2})"
-        lines.append(f'{r.n_nationkey};"{r.n_name}; ""quoted""";{r.n_name.lower() if r.n_regionkey else "N/A"};{odd};{"yes" if r.n_regionkey == 1 else "False"};2024/02/{r.n_nationkey + 1:02d};"a\nb{r.n_regionkey}";beyond')
-    return build_dataset(spark, "Nations.csv", "\r\n".join(lines).encode())
+    """All orders, written as quoted text with every kind of cell, and read back as one dataset."""
+    path = f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}"
+    cells = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
+        "concat(' ', o_orderkey) AS key", "concat(o_orderstatus, '; \"', o_custkey, '\"') AS name", "CASE WHEN o_orderstatus = 'P' THEN 'N/A' ELSE lower(o_orderpriority) END AS `name `",
+        "CASE WHEN o_custkey % 50 = 7 THEN 'none of it' WHEN o_custkey % 2 = 1 THEN concat('$', format_number(o_totalprice, 2)) ELSE concat('(', o_custkey + 1, ')') END AS odd",
+        "CASE WHEN o_orderstatus = 'F' THEN 'yes' ELSE 'False' END AS flag", "date_format(o_orderdate, CASE WHEN o_custkey % 2 = 1 THEN 'yyyy/MM/dd' ELSE \"yyyy-MM-dd'T'00:00:00'Z'\" END) AS day", "concat('a\\nb', o_custkey % 5) AS text",
+    )
+    cells.write.option("header", True).option("sep", ";").option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return load_delimited_table(spark, path, "Orders.csv")
 
 
 @_registered(
-    "SELECT CAST(n_nationkey AS DOUBLE) AS key, n_name || '; \"quoted\"' AS name, CASE WHEN n_regionkey > 0 THEN lower(n_name) END AS name_2, CAST(CASE WHEN n_nationkey = 7 THEN NULL WHEN n_nationkey % 2 = 1 THEN n_nationkey * 1000 ELSE -n_nationkey - 2 END AS DOUBLE) AS odd,"
-    " n_regionkey = 1 AS flag, TIMESTAMP '2024-02-01' + to_days(CAST(n_nationkey AS INTEGER)) AS day, 'a' || chr(10) || 'b' || n_regionkey AS text FROM nation"
+    "SELECT CAST(o_orderkey AS DOUBLE) AS key, o_orderstatus || '; \"' || o_custkey || '\"' AS name, CASE WHEN o_orderstatus <> 'P' THEN lower(o_orderpriority) END AS name_2,"
+    " CAST(CASE WHEN o_custkey % 50 = 7 THEN NULL WHEN o_custkey % 2 = 1 THEN floor(o_totalprice * 100 + 0.5) / 100 ELSE -o_custkey - 1 END AS DOUBLE) AS odd,"
+    " o_orderstatus = 'F' AS flag, date_trunc('day', o_orderdate) AS day, 'a' || chr(10) || 'b' || o_custkey % 5 AS text FROM orders"
 )
 def delimited_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _delimited(spark, sf_dir)
     return d.df.select(*(F.col(f.physical).alias(f.name) for f in d.fields)).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
-@_registered("SELECT 'odd' AS name, 'number' AS expected, count(*) FILTER (n_nationkey = 7) AS invalid FROM nation")
+@_registered("SELECT 'odd' AS name, 'number' AS expected, count(*) FILTER (o_custkey % 50 = 7) AS invalid FROM orders")
 def anomaly_type_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = anomalies.detect_anomalies(_delimited(spark, sf_dir), kinds=["type_violations"])
     return _rows(spark, [(a["column"], a["detail"]["expectedType"], a["detail"]["invalid"]) for a in found], "name string, expected string, invalid long")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gatedframe.errors import QueryError
 from gatedframe.model import Dataset
 from gatedframe.plans.query import Query
-from gatedframe.sources.delimited import build_dataset, load_delimited
+from gatedframe.sources.delimited import build_dataset, load_delimited, load_delimited_table
 from gatedframe.sources.parquet import from_frame, load_parquet
 from gatedframe.sources.sample import sample_dataset
 from gatedframe.tools.catalog import TOOLS, Tool
@@ -92,12 +92,16 @@ class Workspace:
         self._tell()
         return dataset
 
-    def load_files(self, path: str) -> list[Dataset]:
-        """Each delimited file of a path (a file, a folder or a pattern) as a dataset of its own."""
-        return [self.add(d) for d in load_delimited(self.spark, path, self.datasets)]
+    def load_files(self, path: str, **limits: int | None) -> list[Dataset]:
+        """Each delimited file of a path (a file, a folder or a pattern) as a dataset of its own. ``limits``: those of ``load_delimited``, where None lifts one."""
+        return [self.add(d) for d in load_delimited(self.spark, path, self.datasets, **limits)]
 
-    def load_file(self, path: str) -> Dataset:
-        found = load_delimited(self.spark, path, self.datasets)
+    def load_table(self, path: str, name: str | None = None) -> Dataset:
+        """All delimited files of a path as one dataset."""
+        return self.add(load_delimited_table(self.spark, path, name, self.datasets))
+
+    def load_file(self, path: str, **limits: int | None) -> Dataset:
+        found = load_delimited(self.spark, path, self.datasets, **limits)
         if len(found) > 1:
             raise QueryError("several_files", f"The path has {len(found)} files; load_files takes them all.")
         return self.add(found[0])
@@ -118,6 +122,7 @@ class Workspace:
         """A dataset goes with its charts and its filter."""
         if gone := self.datasets.pop(dataset_id, None):
             gone.df.unpersist()
+            gone.release()
         self.filters.pop(dataset_id, None)
         self.blocks = [b for b in self.blocks if b.kind != "chart" or b.content["dataset"] != dataset_id]
         self._tell()

@@ -14,7 +14,8 @@ from gatedframe.operators.disclosure import identifies
 from gatedframe.operators.profile import profile_dataset
 from gatedframe.plans.query import run_query
 from gatedframe.presentation import format_cell
-from gatedframe.sources.delimited import build_dataset, dedupe_header, detect_delimiter, tokenize
+from gatedframe.sources.delimited import build_dataset, dedupe_header, detect_delimiter
+from gatedframe.sources.quoted import tokenize
 from gatedframe.tools.output import cap
 from gatedframe.tools.schema import check_input, problems, unsupported_keywords
 from gatedframe.workspace import TOOLS, Workspace

@@ -11,7 +11,8 @@ from gatedframe.functions.text import SPACES
 from gatedframe.operators.anomalies import detect_anomalies
 from gatedframe.operators.profile import profile_dataset
 from gatedframe.plans.query import run_query
-from gatedframe.sources.delimited import build_dataset, dedupe_header, tokenize
+from gatedframe.sources.delimited import build_dataset, dedupe_header
+from gatedframe.sources.quoted import tokenize
 from gatedframe.sources.sample import sample_dataset
 from gatedframe.tools.catalog import TOOLS
 from gatedframe.tools.output import MOST_CHARACTERS, serialise, to_json

@@ -13,8 +13,8 @@ from gatedframe.operators import quantiles
 from gatedframe.plans import query
 from gatedframe.plans.query import query_frame, run_query
 from gatedframe.queries import QUERIES
-from gatedframe.sources.delimited import tokenize
 from gatedframe.sources.parquet import from_frame, load_parquet
+from gatedframe.sources.quoted import tokenize
 from gatedframe.workspace import Workspace
 
 SF = "/root/testdata/sf0.001"
