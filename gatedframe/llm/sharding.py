@@ -3,8 +3,8 @@
 Rows are ordered by the hash of their text and then by a hash of their own, so that equal texts are
 neighbours. The boundaries between shards are sought by rounds of exact counts: every round counts the bytes
 below some probes within each open bracket, over all partitions at once, until each boundary is near enough to
-its share. A boundary lies between two texts where the tolerance allows, and within a group of equal texts
-only where the group itself is too large. Rows are then exchanged once.
+its share. A boundary lies between two texts. Where a group of equal texts holds the share's place, the boundary goes to the group's nearer end, so that
+equal texts share a shard; only a group that is larger than ``OWN_SHARE`` of a shard is cut. Rows are then exchanged once.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ ROW_BYTES = 16
 PROBES = 15
 #: How far a boundary may lie from its share, in parts of a shard's bytes.
 TOLERANCE = 0.005
+#: Groups of equal texts up to this share of a shard's bytes stay in one shard, which they make larger or smaller than others by half of their size at most.
+OWN_SHARE = 1.0
 #: Rows that one task numbers, about, and the most tasks.
 NUMBERED, MOST_TASKS = 100_000, 20_000
 
@@ -67,9 +69,9 @@ def _histogram(keys: DataFrame, key: str, probes: list[int]) -> list[tuple[int,
     return [found.get(k, (0, 0, 0, 0)) for k in range(len(probes) + 1)]
 
 
-def _refine(keys: DataFrame, key: str, targets: list[float], tolerance: float) -> list[_Bracket]:
-    """A boundary for each target. ``at``: keys from it on lie behind the boundary. Where no key is near enough and
-    many rows share the one that holds the target, ``inside`` is set and low is that key."""
+def _refine(keys: DataFrame, key: str, targets: list[float], tolerance: float, whole: float) -> list[_Bracket]:
+    """A boundary for each target. ``at``: keys from it on lie behind the boundary. Where no key is near enough, the boundary goes to the nearer end of the rows whose key
+    holds the target; if they are many and have over ``whole`` bytes, ``inside`` is set and low is that key."""
     brackets = [_Bracket(t, LOWEST, BEYOND, 0, 0, -1) for t in targets]
     while waiting := [b for b in brackets if b.at is None and not b.inside]:
         probes: set[int] = set()
@@ -95,7 +97,7 @@ def _refine(keys: DataFrame, key: str, targets: list[float], tolerance: float) -
                 b.at = b.low
             elif b.under - b.target <= tolerance:
                 b.at = b.high
-            elif least == most and b.rows == 1:
+            elif least == most and (b.rows == 1 or b.under - b.below <= whole):
                 b.at = b.low if b.target - b.below <= b.under - b.target else b.high
             elif least == most:
                 b.inside = True
@@ -105,16 +107,16 @@ def _refine(keys: DataFrame, key: str, targets: list[float], tolerance: float) -
 def find_splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
     """The shards - 1 boundaries as (h, r): a row lies behind a boundary if its own (h, r) is not less."""
     total = keys.agg(F.sum("size")).first()[0] or 0
-    allowed = tolerance * total / shards
+    allowed, whole = tolerance * total / shards, OWN_SHARE * total / shards
     found, open_ = [], {}
-    for b in _refine(keys, "h", [total * j / shards for j in range(1, shards)], allowed):
+    for b in _refine(keys, "h", [total * j / shards for j in range(1, shards)], allowed, whole):
         if b.inside:
             open_.setdefault(b.low, []).append(b.target - b.below)
         else:
             found.append((b.at, LOWEST))
     for h, targets in open_.items():
         # a boundary must fall within one large group of equal texts
-        found += [(h, b.low if b.inside else b.at) for b in _refine(keys.where(F.col("h") == h), "r", targets, allowed)]
+        found += [(h, b.low if b.inside else b.at) for b in _refine(keys.where(F.col("h") == h), "r", targets, allowed, 0)]
     return sorted((h, r) if h < BEYOND else (BEYOND - 1, BEYOND - 1) for h, r in ((h, min(r, BEYOND - 1)) for h, r in found))
 
 
@@ -135,8 +137,7 @@ def _shard(splitters: list[tuple[int, int]]) -> Column:
 def shard_documents(docs: DataFrame, shards: int = 40, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row; law is ``bytes``.
 
-    Shards hold near equal bytes, and equal texts lie together unless their group is larger than the tolerance
-    lets stand at a boundary. Slots count from 0 within a shard without a gap in the order of the keys, so that equal texts have neighbouring
+    Shards hold near equal bytes, and equal texts lie in one shard unless their group is larger than a shard. Slots count from 0 within a shard without a gap in the order of the keys, so that equal texts have neighbouring
     slots. Keys are exchanged once by range; each task numbers its range, after the sum of the ranges before it, and since
     the row's own hash is part of the key, a group of equal texts of any size is dealt to several ranges.
 
@@ -169,12 +170,13 @@ def write_shards(docs: DataFrame, path: str, shards: int = 40, tolerance: float
     """
     scratch = Scratch(docs.sparkSession, "sharding")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    keyed = _keyed(docs.select(row, F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text")
-    keys = scratch.table(keyed.select("size", "h", "r"), "keys")
+    # written with its keys, so that a task run again deals its rows as before
+    keyed = scratch.table(_keyed(docs.select(row, F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text").select("row", "size", "h", "r"), "keyed")
+    keys = keyed.select("size", "h", "r")
     taken = {c.lower() for c in docs.columns}
     while shard_col.lower() in taken:
         shard_col += "_"
     dealt = keyed.withColumn("shard", _shard(find_splitters(keys, shards, tolerance)))
     sorted_ = dealt.repartitionByRange(shards * parts, "shard", "h", "r").sortWithinPartitions("shard", "h", "r")
     sorted_.select("row.*", F.col("shard").alias(shard_col)).write.mode("overwrite").partitionBy(shard_col).parquet(path)
-    scratch.drop("keys")
+    scratch.drop("keyed")

@@ -262,6 +262,29 @@ def test_slots_keep_equal_texts_together(spark, monkeypatch, numbered):
     assert max(sizes.values()) < 1.05 * min(sizes.values())
 
 
+def test_equal_texts_share_a_shard(spark):
+    """No group that fits a shard is cut, over all documents of sf0.1; shards stay as near as the largest row or group at a boundary lets them."""
+    found = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = sharding.shard_documents(found).join(found.select("doc_id", F.sha2("text", 256).alias("text")), "doc_id").collect()
+    shards, sizes = {}, Counter()
+    for r in got:
+        shards.setdefault(r.text, Counter())[r.shard] += r["size"]
+        sizes[r.shard] += r["size"]
+    mean = sum(sizes.values()) / 40
+    assert len(sizes) == 40 and len(got) == found.count()
+    assert all(len(s) == 1 for s in shards.values() if sum(s.values()) <= mean)
+    largest = max(sum(s.values()) for s in shards.values())
+    assert max(abs(s - mean) for s in sizes.values()) <= largest + 0.01 * mean
+
+
+def test_a_group_larger_than_a_shard_is_cut_and_a_smaller_one_is_not(spark):
+    made = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id < 1500 THEN repeat('a', 200) WHEN id < 1800 THEN repeat('c', 200) ELSE concat(repeat('b', 180), id) END AS text")
+    got, where = sharding.shard_documents(made, 8).collect(), {}
+    for r in got:
+        where.setdefault(r.text_crc32, set()).add(r.shard)
+    assert sorted(map(len, where.values()))[-2:] in ([1, 3], [1, 4]) and {r.shard for r in got} == set(range(8))
+
+
 def test_splitters_are_those_of_a_sort(spark):
     rng = random.Random(4)
     made = [(rng.choice([5, 5, 5, rng.randrange(-(1 << 63), 1 << 63)]), rng.randrange(-(1 << 63), 1 << 63), rng.randrange(1, 300)) for _ in range(2000)]
