@@ -26,6 +26,8 @@ CHUNK_SHARDS, CHUNK_TURNS = 4096, 4096
 TASK_SLOTS, MOST_TASKS = 50_000, 20_000
 #: Documents of a source whose offsets one task adds up, about.
 SLICE_DOCS = 8192
+#: Rows that are alike in everything and unfold from one row at once.
+UNFOLDED = 100_000
 ROUNDS = 20
 SEED = 11
 
@@ -134,12 +136,16 @@ def _plan(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, source_
 
     placed = slim.join(sources.select(F.col("source").alias("_source"), "source_size", "target", "rank", "slices"), F.col("source").eqNullSafe(F.col("_source")))
     placed = placed.withColumn("slice", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "mark"), "slices"))
-    by_slice = placed.groupBy("rank", "slice").agg(F.sum("size").alias("words"))
+    # rows that are alike in everything are counted together, and unfold again behind the windows, some at a time
+    alike = placed.groupBy("rank", "slice", "mark", "doc_id", "size", "source_size", "target").agg(F.count(F.lit(1)).alias("copies")).withColumn("words", F.col("size") * F.col("copies"))
+    by_slice = alike.groupBy("rank", "slice").agg(F.sum("words").alias("words"))
     before = Window.partitionBy("rank").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_slice.select("rank", "slice", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("rank", "slice").orderBy("mark", "doc_id", "size")
-    numbered = placed.withColumn("nth", F.row_number().over(own)).withColumn("ahead", F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    at = numbered.join(starts, ["rank", "slice"]).withColumn("start", F.col("base") + F.col("ahead"))
+    own = Window.partitionBy("rank", "slice").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = alike.withColumns({c: F.coalesce(F.sum(of).over(own), F.lit(0)) for c, of in (("nth", "copies"), ("ahead", "words"))})
+    some = numbered.join(starts, ["rank", "slice"]).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(UNFOLDED))))
+    each = some.withColumn("c", F.explode(F.sequence("c", F.least(F.col("c") + UNFOLDED, F.col("copies")) - 1)))
+    at = each.withColumns({"nth": F.col("nth") + F.col("c") + 1, "start": F.col("base") + F.col("ahead") + F.col("c") * F.col("size")})
     touched = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
     cut = at.select("doc_id", "size", "source_size", "target", "mark", "rank", "slice", "nth", "start", F.explode_outer(touched).alias("block"))
     lo = F.greatest(F.col("start"), F.col("block") * block) - F.col("start")
@@ -172,7 +178,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = F.array_sort(F.collect_list(F.struct("lo", "hi", "times"))).alias("_parts")
     taken = plan.where("times > 0").groupBy("own", "mark").agg(parts).select(F.col("mark").alias("_mark"), "_parts")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), _mark(docs).alias("_mark"), F.col(text_col).alias("_text"))
-    once = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_mark").orderBy("_mark"))).where("_nth = 1").drop("_nth")
+    once = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_mark").orderBy("_text"))).where("_nth = 1").drop("_nth")
     words = F.split(F.regexp_replace("_text", r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     cut = once.join(taken, "_mark").withColumn("_words", words)
 

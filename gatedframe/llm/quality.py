@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatedframe.llm.words import pieces, utf8
@@ -19,7 +19,7 @@ TRAIN_ROWS = 4000
 KEEP_AT = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
-#: Slots of each feature family: words, word pairs, and byte 3-grams.
+#: Slots of each feature family: words, word pairs, and 3-grams of characters (code points, gaps included).
 SLOTS = 1 << 15
 FAMILIES = 3
 #: Factor on relative frequencies, so that a few hundred steps of descent suffice.
@@ -82,10 +82,12 @@ def _sums(table: np.ndarray, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return total
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """Slots of the byte 3-grams of a buffer."""
-    wide = data.astype(np.uint32)
-    key = (wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]
+def _grams(text: bytes) -> np.ndarray:
+    """Slots of the 3-grams of a text's characters."""
+    points = np.frombuffer(text, np.uint8).astype(np.uint32) if text.isascii() else np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    if len(points) < 3:
+        return np.zeros(0, np.int64)
+    key = (points[:-2] * np.uint32(65599) + points[1:-1]) * np.uint32(65599) + points[2:]  # modulo 2^32
     return ((key * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
 
 
@@ -109,8 +111,7 @@ def _features(text: bytes, ids: np.ndarray, words: _Words) -> list[np.ndarray]:
     """Slots of each family, repeats included."""
     single = words.slot[ids]
     double = (single[:-1] * 31 + single[1:] * 17 + 7) % SLOTS
-    grams = _grams(np.frombuffer(text, np.uint8)) if len(text) > 2 else np.zeros(0, np.int64)
-    return [single, double + SLOTS, grams + 2 * SLOTS]
+    return [single, double + SLOTS, _grams(text) + 2 * SLOTS]
 
 
 def measure(texts: list[bytes], words: _Words, model: Model) -> list[np.ndarray]:
@@ -193,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = known.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(rows).select(F.col("doc_id").alias("_id"), "good")
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # the chosen rows are bounded by the parameter, so this side is small
-    sample = texts.join(F.broadcast(chosen), "_id").withColumn("n", F.row_number().over(Window.partitionBy("_id").orderBy("text"))).where("n = 1")
+    sample = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "good").agg(F.min("text").alias("text"))  # of rows that repeat an id the least text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(xxhash.xxh64_intdigest(str(i).encode()), i, t, g) for b in batches for i, t, g in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist())]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from test_neardup import brute_kept
 
-from gatedframe.llm import fingerprints, licenses, lm, mixing, packing, quality, queries, sharding, tokens, warc
+from gatedframe.llm import fingerprints, licenses, lm, mixing, packing, quality, queries, sharding, survivors, tokens, warc
 from gatedframe.llm.storage import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, h string"
@@ -96,6 +96,30 @@ def test_mixing_numbers_chunks_of_shards_without_a_gap(docs, monkeypatch):
     assert plan() == at_once
 
 
+@pytest.mark.parametrize("unfolded", [7, 100_000])
+def test_mixing_where_half_of_all_rows_are_alike(spark, monkeypatch, unfolded):
+    monkeypatch.setattr(mixing, "UNFOLDED", unfolded)
+    made = [(5, "the same words again and again", "a")] * 600 + [(1000 + i, f"words of {i} " * (i % 9), ["a", "b", None][i % 3]) for i in range(600)] + [(6, "", "b")] * 50
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix_plan(docs).collect()
+    assert sorted((r.doc_id, r["size"]) for r in got) == sorted((i, len(t.split())) for i, t, _ in made)
+    size, taken, target = Counter(), Counter(), {}
+    for r in got:
+        key = r.source_size
+        size[key], taken[key], target[key] = size[key] + r["size"], taken[key] + r.taken, r.target
+        assert r.taken <= 3 * r["size"]
+    assert all(size[k] == k and abs(taken[k] - target[k]) <= 64 + 64 * k / 8192 for k in size)
+    assert sum(len(r.text.split()) for r in mixing.mix_documents(docs).collect()) == sum(taken.values())
+
+
+def test_hot_keys_are_cut_down_before_they_meet(docs):
+    """One row of each key is chosen by a window whose limit already holds in the tasks that read the rows."""
+    plan = survivors.kept(docs, survivors.keyed(docs, "doc_id", "text").select("key"), "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and "Partial" in plan
+    plan = mixing.mix_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and "Partial" in plan
+
+
 def test_mixing_gives_small_sources_their_target_over_hundreds_of_shards(spark, monkeypatch):
     whole, shards = mixing.draw_counts, []
     monkeypatch.setattr(mixing, "draw_counts", lambda sources, slots: shards.append(-(-slots // 16)) or whole(sources, slots, 16))
@@ -609,6 +633,13 @@ def brute_quality(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), again, len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)
 
 
+def test_grams_are_of_characters():
+    for text in ("abcd", "été 𝄞x", "日本語の文", "ab", ""):
+        c = [ord(x) for x in text]
+        want = [(((a * 65599 + b) * 65599 + d) % 2**32 * 2654435761 % 2**32) >> 17 for a, b, d in zip(c, c[1:], c[2:])]
+        assert quality._grams(text.encode()).tolist() == want
+
+
 def test_quality_counts(docs, rows, empty):
     got = quality.quality_rules(docs, quality.ACCEPT_ALL).collect()
     assert sorted(tuple(r)[1:7] for r in got) == sorted(brute_quality(t) for _, t, *_ in rows)
