@@ -107,41 +107,64 @@ class Query:
 
     @property
     def matched(self) -> int:
-        """Rows that the filter leaves; counted by a job of its own unless there is no filter."""
+        """Rows that the filter leaves; counted by a job of its own unless there is no filter or ``run`` has summed up its groups."""
         if self._matched is None:
             self._matched = self.filtered.count() if self.narrowed else self.dataset.row_count
         return self._matched
 
-    def groups(self, lazy: bool = False) -> DataFrame:
-        """Groups that may be shown, with internal names, their size, first row, and filled cells of each aggregate.
+    def _joined(self, grouped: DataFrame, keys: dict[str, Column], found: DataFrame, name: str) -> DataFrame:
+        """``grouped`` with the column ``name`` of ``found``, which has the same groups."""
+        if not keys:
+            return grouped.withColumn(name, found.select(name).scalar())
+        found = found.select(*(F.col(k).alias(f"_r{k}") for k in keys), name)
+        return grouped.join(found, [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys], "left").drop(*(f"_r{k}" for k in keys))
 
-        ``lazy``: the counts that the rule needs are subqueries of the same plan, and building it runs no job.
+    def grouped(self, with_filled: bool = True) -> DataFrame:
+        """All groups, with internal names, their size, first row, and, if asked for, the filled cells of each aggregate.
+
+        What would widen the one aggregation over the table is worked out beside it: medians of large tables, and distinct counts next to a median or to one another, for which Spark would
+        take every row apart by each distinct value.
         """
         numbered = self.dataset.number(self.filtered)
-        blanks = [F.count(f.column).alias(f"_f{i}") for i, (op, f, _) in enumerate(self.aggregates) if op in SKIP_BLANKS]
-        large = any(op == "median" for op, _, _ in self.aggregates) and self.dataset.row_count > IN_MEMORY
-        values = [_expression(op, f).alias(f"_a{i}") for i, (op, f, _) in enumerate(self.aggregates) if not (large and op == "median")]
+        ops = [op for op, _, _ in self.aggregates]
+        blanks = [F.count(f.column).alias(f"_f{i}") for i, (op, f, _) in enumerate(self.aggregates) if with_filled and op in SKIP_BLANKS]
+        large = "median" in ops and self.dataset.row_count > IN_MEMORY
+        counted = {f.physical for op, f, _ in self.aggregates if op == "count_distinct"}
+        beside = lambda op: (large and op == "median") or (op == "count_distinct" and ("median" in ops or len(counted) > 1))
+        values = [_expression(op, f).alias(f"_a{i}") for i, (op, f, _) in enumerate(self.aggregates) if not beside(op)]
         sized = [F.count(F.lit(1)).alias("_n"), F.min(RID).alias("_first"), *values, *blanks]
         keys = {f"_k{i}": f.column for i, f in enumerate(self.keys)}
-        grouped = numbered.groupBy(*(c.alias(k) for k, c in keys.items())).agg(*sized) if keys else numbered.agg(*sized)
+        by = [c.alias(k) for k, c in keys.items()]
+        grouped = numbered.groupBy(*by).agg(*sized) if keys else numbered.agg(*sized)
         for i, (op, f, _) in enumerate(self.aggregates):
-            if large and op == "median":
+            if beside(op) and op == "median":
                 found = quantiles(self.filtered, keys, f.column, [0.5], "_q", self.dataset.row_count)
-                found = found.select(*(F.col(k).alias(f"_r{k}") for k in keys), F.col("_q")[0].alias(f"_a{i}"))
-                if keys:
-                    grouped = grouped.join(found, [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys], "left").drop(*(f"_r{k}" for k in keys))
-                else:
-                    grouped = grouped.withColumn(f"_a{i}", found.scalar())
+                grouped = self._joined(grouped, keys, found.withColumn(f"_a{i}", F.col("_q")[0]), f"_a{i}")
+            elif beside(op):
+                each = self.filtered.select(*by, f.column.alias("_v")).distinct()
+                found = each.groupBy(*keys).agg(F.count("_v").alias(f"_a{i}")) if keys else each.agg(F.count("_v").alias(f"_a{i}"))
+                grouped = self._joined(grouped, keys, found, f"_a{i}")
+        return grouped
+
+    def shown(self) -> DataFrame:
+        """Groups that may be shown, lazily: the rows that match are the sum of the groups' sizes, and the table's rows are counted from what its files say of themselves.
+
+        The sum is a subquery over the same aggregation. It asks for a hash of all columns besides, so that nothing of the aggregation is pruned and its exchange is used again
+        instead of scanning the table twice.
+        """
+        grouped = self.grouped(with_filled=False)
         if self.k <= 1:
             return grouped
-        if lazy:
-            count = lambda df: df.agg(F.count(F.lit(1))).scalar()
-            return suppress(grouped, "_n", count(self.filtered), count(self.dataset.df), self.k)
-        return suppress(grouped, "_n", self.matched, self.dataset.row_count, self.k)
+        matching: Column | int = F.col("_n")
+        if self.keys:
+            sums = grouped.agg(F.struct(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.bit_xor(F.xxhash64(*grouped.columns)).alias("all")).alias("s"))
+            matching = sums.scalar()["n"]
+        total = self.dataset.loaded_rows if self.dataset.loaded_rows is not None else self.dataset.df.agg(F.count(F.lit(1))).scalar()
+        return suppress(grouped, "_n", matching, total, self.k)
 
     def frame(self, limited: bool = True) -> DataFrame:
         """The result as a DataFrame; repeated names get their position behind them."""
-        kept = self.groups(lazy=True).orderBy(*self.order, F.col("_first").asc_nulls_last())
+        kept = self.shown().orderBy(*self.order, F.col("_first").asc_nulls_last())
         kept = kept.limit(self.limit) if limited else kept
         names: list[str] = []
         for c in self.columns:
@@ -149,14 +172,21 @@ class Query:
         return kept.select(*(F.col(i).alias(n) for i, n in zip(self.internal, names)))
 
     def run(self) -> QueryResult:
-        kept = self.groups()
-        top = kept.orderBy(*self.order, F.col("_first").asc_nulls_last()).limit(self.limit + 1).collect()  # 51 rows at most
-        skipping = [(i, f) for i, (op, f, _) in enumerate(self.aggregates) if op in SKIP_BLANKS]
-        if len(top) > self.limit:
-            counted = kept.agg(F.count(F.lit(1)).alias("n"), *(F.bool_or(F.col(f"_f{i}") < F.col("_n")).alias(f"b{i}") for i, _ in skipping)).first()
-            total, blank = counted["n"], {f.name for i, f in skipping if counted[f"b{i}"]}
-        else:
-            total, blank = len(top), {f.name for i, f in skipping if any(r[f"_f{i}"] < r["_n"] for r in top)}
+        """One pass over the table: the groups are kept while their sizes are summed, the first are taken, and, where there are more, all are counted."""
+        grouped = self.grouped().persist()
+        try:
+            if self._matched is None:
+                self._matched = (grouped.agg(F.sum("_n")).first()[0] or 0) if self.narrowed else self.dataset.row_count
+            kept = suppress(grouped, "_n", self.matched, self.dataset.row_count, self.k)
+            top = kept.orderBy(*self.order, F.col("_first").asc_nulls_last()).limit(self.limit + 1).collect()  # 51 rows at most
+            skipping = [(i, f) for i, (op, f, _) in enumerate(self.aggregates) if op in SKIP_BLANKS]
+            if len(top) > self.limit:
+                counted = kept.agg(F.count(F.lit(1)).alias("n"), *(F.bool_or(F.col(f"_f{i}") < F.col("_n")).alias(f"b{i}") for i, _ in skipping)).first()
+                total, blank = counted["n"], {f.name for i, f in skipping if counted[f"b{i}"]}
+            else:
+                total, blank = len(top), {f.name for i, f in skipping if any(r[f"_f{i}"] < r["_n"] for r in top)}
+        finally:
+            grouped.unpersist()
         rows = [[r[c] for c in self.internal] for r in top[: self.limit]]
         hidden = identifies(self.matched, self.matched, self.dataset.row_count, self.k)
         return QueryResult(self.columns, rows, self.matched, hidden, total, total > self.limit, sorted(blank))

@@ -14,17 +14,20 @@ from gatedframe.model import RID, Dataset, Field, logical_type, to_dataset_id, u
 
 #: A row's number in its file is below this.
 FILE_ROWS = 1 << 40
-#: Files that are put into the order of their paths; their paths are broadcast, some 20 MB at most.
+#: Files whose paths are numbered, so that a row's place is one number; their paths are broadcast, some 20 MB at most.
 MOST_FILES = 100_000
 
 
 def _numbered(df: DataFrame, files: list[str]) -> DataFrame:
-    """``_rid`` of rows of files: files in the order of their paths, rows as they lie in a file."""
+    """``_rid`` of rows of files: files in the order of their paths, rows as they lie in a file.
+
+    It is a number, which aggregations keep in fixed-width buffers; of more files than can be numbered it is (path, row), in the same order.
+    """
     file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     if len(files) <= 1:
         return df.withColumn(RID, row)
-    if len(files) > MOST_FILES:  # an order of the paths' hashes, which is the same whenever it is asked for
-        return df.withColumn(RID, F.shiftrightunsigned(F.xxhash64(file), 24) * F.lit(1 << 23) + row)
+    if len(files) > MOST_FILES:
+        return df.withColumn(RID, F.struct(file.alias("file"), row.alias("row")))
     named = [re.sub(r"^([^:/]+):///", r"\1:/", f) for f in sorted(files)]  # as the rows name them
     paths = df.sparkSession.createDataFrame([(f, i) for i, f in enumerate(named)], "_path string, _nth long")
     at = df.withColumns({"_file": file, "_row": row}).join(F.broadcast(paths), F.col("_file") == F.col("_path"), "left")

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from gatedframe.operators import quantiles
 from gatedframe.plans import query
 from gatedframe.plans.query import query_frame, run_query
 from gatedframe.queries import QUERIES
+from gatedframe.sources import parquet
 from gatedframe.sources.parquet import from_frame, load_parquet
 from gatedframe.sources.quoted import tokenize
 from gatedframe.workspace import Workspace
@@ -54,13 +56,43 @@ def test_registered_filters_reach_the_scan(spark, name):
     assert "PushedFilters: []" not in plan(QUERIES[name](spark, SF)).split("Subquery")[-1].split("FileScan")[-1]
 
 
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.startswith("kanon_")))
+def test_the_rule_takes_one_scan(spark, name):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = QUERIES[name](spark, SF)
+        found = plan(df)
+        assert len(re.findall(r"ReadSchema: struct<\w", found)) == 1, found  # the table's rows are counted from its footers: struct<>
+        assert ("ReusedExchange" in found) == ("hashpartitioning" in found)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_run_reads_the_table_once(spark, tmp_path):
+    path = str(tmp_path / "counted")
+    spark.range(0, 10_000, 1, 2).selectExpr("id % 700 AS k", "IF(id % 3 = 0, NULL, id * 1.0D) AS x").write.parquet(path)
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(k):
+        reads.add(1)
+        return k
+
+    d = from_frame(spark.read.parquet(path).withColumn("k", seen(F.col("k"))), "c")
+    assert d.row_count == 10_000
+    before = reads.value
+    r = run_query(d, {"where": [{"column": "k", "op": "gte", "value": 10}], "groupBy": ["k"], "aggregate": [{"op": "sum", "column": "x"}, {"op": "count"}], "minGroupSize": 5, "limit": 20})
+    assert (r.matched_rows, r.total_groups, r.truncated, r.blanks_skipped, len(r.rows)) == (9850, 690, True, ["x"], 20)
+    assert reads.value - before <= 2 * 10_000  # the filter and the group call it once a row each
+
+
 def test_building_a_query_reads_nothing(spark):
     d = load_parquet(spark, f"{SF}/orders.parquet")
     frame = query_frame(d, where=[{"column": "o_orderstatus", "op": "eq", "value": "F"}], group_by=["o_orderpriority"], aggregate=[{"op": "count"}], k=5)
     assert d.loaded_rows is None and frame.count() == 5
 
 
-def test_rows_of_files_keep_their_order(spark, tmp_path):
+def test_rows_of_files_keep_their_order(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "several files")
     spark.range(0, 5, 1, 1).selectExpr("id AS x").write.parquet(f"{path}/part-0")
     spark.range(1000, 60_000, 1, 1).selectExpr("id AS x").write.parquet(f"{path}/part-1")
@@ -69,6 +101,10 @@ def test_rows_of_files_keep_their_order(spark, tmp_path):
     assert w.call("sample_rows", {"dataset": "t", "reason": "the first rows", "rows": 5})["rows"] == [[0], [1], [2], [3], [4]]
     r = run_query(w.datasets["t"], {"groupBy": ["x"], "aggregate": [{"op": "count"}], "limit": 7})
     assert [x for x, _ in r.rows] == [0, 1, 2, 3, 4, 1000, 1001]
+    monkeypatch.setattr(parquet, "MOST_FILES", 1)  # by (path, row) instead of by number
+    w.add(from_frame(spark.read.parquet(f"{path}/part-0", f"{path}/part-1"), "u"))
+    assert run_query(w.datasets["u"], {"groupBy": ["x"], "aggregate": [{"op": "count"}], "limit": 7}).rows == r.rows
+    assert w.call("sample_rows", {"dataset": "u", "reason": "the first rows", "rows": 5})["rows"] == [[0], [1], [2], [3], [4]]
     joined = from_frame(spark.range(3).join(spark.range(3), "id"), "j")
     assert sorted(run_query(joined, {"groupBy": ["id"], "aggregate": [{"op": "count"}]}).rows) == [[0, 1], [1, 1], [2, 1]]
 
@@ -98,9 +134,10 @@ def test_text_is_ordered_by_utf16_units(spark):
             assert got == sum(met(t.encode("utf-16-be"), v.encode("utf-16-be")) for t in texts)
 
 
-@pytest.mark.parametrize("accuracy", [20, 100])
-def test_large_medians_are_exact(spark, monkeypatch, accuracy):
+@pytest.mark.parametrize("accuracy, marks", [(20, 5), (100, 10), (100, 400)])
+def test_large_medians_are_exact(spark, monkeypatch, accuracy, marks):
     rng = random.Random(7)
+    monkeypatch.setattr(quantiles, "MARKS", marks)
     rows = [(rng.choice(["a", "b", None, "c"]), rng.choice([None, 5.0, rng.gauss(0, 1e3), float(rng.randrange(20))])) for _ in range(3000)] + [("one", 1.5), ("none", None), *[("two", float(v)) for v in (1, 4)]]
     df = spark.createDataFrame(rows, "k string, x double").repartition(4)
     fractions = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
@@ -117,6 +154,22 @@ def test_large_medians_are_exact(spark, monkeypatch, accuracy):
     assert run_query(from_frame(df, "m"), {"aggregate": [{"op": "median", "column": "x"}]}).rows[0][0] == pytest.approx(usual_all[2])
 
 
+def test_medians_of_a_hot_group_leave_few_values_to_order(spark, monkeypatch):
+    """Half of the rows in one group; of its values some hundredths of a sketch's bracket are put in order, all others are counted."""
+    monkeypatch.setattr(quantiles, "IN_MEMORY", 0)
+    monkeypatch.setattr(quantiles, "ACCURACY", 500)
+    monkeypatch.setattr(quantiles, "MARKS", 50)
+    df = spark.range(0, 60_000, 1, 4).selectExpr("IF(id % 2 = 0, 'hot', cast(id % 9 AS string)) AS k", "cast((id * 7919) % 60013 AS double) AS x")
+    left = []
+    got = {r.k: r.q for r in quantiles.quantiles(df, {"k": F.col("k")}, F.col("x"), [0.5, 0.25], "q", 60_000).collect()}
+    want = {r.k: r.q for r in df.groupBy("k").agg(F.percentile("x", F.array(F.lit(0.5), F.lit(0.25))).alias("q")).collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+    whole = quantiles._within
+    monkeypatch.setattr(quantiles, "_within", lambda *a: left.append(whole(*a)) or left[-1])
+    quantiles.quantiles(df, {"k": F.col("k")}, F.col("x"), [0.5], "q", 60_000)
+    assert left[1].where("k = 'hot'").agg(F.count_distinct("_in")).first()[0] < 600
+
+
 def test_files_of_a_folder(spark, tmp_path):
     for name, text in (("b.csv", "n\n1\n2\n"), ("a.tsv", "n\tm\n3\t4\n"), ("c.txt", "n|m\n5|6\n")):
         (tmp_path / name).write_text(text)
