@@ -282,6 +282,92 @@ def anomalies_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, [(a["kind"], a.get("column"), a["severity"]) for a in found], "kind string, name string, severity string")
 
 
+def _categories_sql(table: str, column: str, key: str) -> str:
+    named = f"(SELECT string_agg(v || '=' || n, ';' ORDER BY n DESC, f) FROM (SELECT {column} AS v, count(*) AS n, min({key}) AS f FROM {table} GROUP BY 1 HAVING count(*) >= 5 ORDER BY n DESC, f LIMIT 5))"
+    return f"SELECT '{column}' AS name, count(*) AS n, count(*) - count({column}) AS nulls, count(DISTINCT {column}) AS d, CASE WHEN count(DISTINCT {column}) > 50 OR count(DISTINCT {column}) > 0.5 * count({column}) THEN 'withheld' ELSE coalesce({named}, 'withheld') END AS categories FROM {table}"
+
+
+TEXT_COLUMNS = [("events", "event_type", "event_id"), ("part", "p_brand", "p_partkey"), ("part", "p_name", "p_partkey"), ("documents", "source", "doc_id"), ("documents", "lang", "doc_id"), ("customer", "c_name", "c_custkey")]
+
+
+@_registered(" UNION ALL ".join(_categories_sql(*c) for c in TEXT_COLUMNS))
+def profile_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of text columns: their commonest values, or that these are withheld."""
+    rows = []
+    for table, column, _ in TEXT_COLUMNS:
+        p = profile.profile_dataset(_table(spark, sf_dir, table), [column], 5)[0]
+        shown = ";".join(f"{c['value']}={c['count']}" for c in p["topCategories"]) if "topCategories" in p else "withheld"
+        rows.append((column, p["count"], p["nulls"], p["distinct"], shown))
+    return _rows(spark, rows, "name string, n long, nulls long, d long, categories string")
+
+
+DATE_COLUMNS = [("orders", "o_orderdate"), ("lineitem", "l_shipdate"), ("events", "ts")]
+
+
+@_registered(" UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS d, min({c}) AS lo, max({c}) AS hi FROM {t}" for t, c in DATE_COLUMNS))
+def profile_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = []
+    for table, column in DATE_COLUMNS:
+        p = profile.profile_dataset(_table(spark, sf_dir, table), [column], 5)[0]
+        rows.append((column, p["count"], p["nulls"], p["distinct"], p["min"], p["max"]))
+    return _rows(spark, rows, "name string, n long, nulls long, d long, lo timestamp_ntz, hi timestamp_ntz")
+
+
+def _workspace(spark: SparkSession, sf_dir: str, *tables: str, **settings) -> Workspace:
+    w = Workspace(spark, **settings)
+    for t in tables:
+        w.load_parquet(f"{sf_dir}/{t}.parquet")
+    return w
+
+
+@_registered("SELECT 'customer' AS id, count(*) AS n, 'number,string,number,number,string' AS types FROM customer UNION ALL SELECT 'orders', count(*), 'number,number,string,number,date,string' FROM orders UNION ALL SELECT 'embeddings', count(*), 'number,number' FROM embeddings")
+def tool_list_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _workspace(spark, sf_dir, "customer", "orders", "embeddings").call("list_datasets")["datasets"]
+    return _rows(spark, [(d["id"], d["rows"], ",".join(c["type"] for c in d["columns"])) for d in found], "id string, n long, types string")
+
+
+@_registered(_numeric_sql("customer", ["c_acctbal", "c_custkey"]))
+def tool_describe_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _workspace(spark, sf_dir, "customer").call("describe_columns", {"dataset": "customer", "columns": ["c_acctbal", "c_custkey"]})["profiles"]
+    rows = [(p["name"], *(float(p[k]) for k in ("min", "max", "mean", "medianValue", "stdDev")), p["count"] - p["nulls"], p["distinct"]) for p in found]
+    return _rows(spark, rows, "name string, lo double, hi double, mean double, mid double, dev double, n long, d long")
+
+
+@_registered(f"SELECT 'outliers' AS kind, 'value' AS name, below, above FROM ({_outlier_sql('events', 'value')}) WHERE below + above > 0 UNION ALL SELECT 'outliers', 'n_chars', below, above FROM ({_outlier_sql('documents', 'n_chars')}) WHERE below + above > 0")
+def tool_detect_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, rows = _workspace(spark, sf_dir, "events", "documents"), []
+    for dataset, column in (("events", "value"), ("documents", "n_chars")):
+        for a in w.call("detect_anomalies", {"dataset": dataset, "columns": [column], "kinds": ["outliers"]})["anomalies"]:
+            rows.append((a["kind"], a["column"], a["detail"]["below"], a["detail"]["above"]))
+    return _rows(spark, rows, "kind string, name string, below long, above long")
+
+
+@_registered("SELECT c_custkey, c_name, CAST(c_acctbal AS DOUBLE) AS c_acctbal FROM customer ORDER BY c_custkey LIMIT 5")
+def tool_sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows, once a person agreed; that there are only a few is the tool's point."""
+    w = _workspace(spark, sf_dir, "customer", approve=lambda request: True, trust="raw")
+    found = w.call("sample_rows", {"dataset": "customer", "reason": "how names are spelled", "rows": 5, "columns": ["c_custkey", "c_name", "c_acctbal"]})
+    return _rows(spark, [(r[0], r[1], float(r[2])) for r in found["rows"]], "c_custkey long, c_name string, c_acctbal double")
+
+
+@_registered("SELECT o_orderpriority AS label, CAST(count(*) AS DOUBLE) AS value, filtered FROM (SELECT *, false AS filtered FROM orders UNION ALL SELECT *, true FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01') GROUP BY o_orderpriority, filtered HAVING count(*) >= 5")
+def tool_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chart's points before and after the report is filtered."""
+    w = _workspace(spark, sf_dir, "orders")
+    block = w.call("add_chart", {"dataset": "orders", "title": "Orders", "type": "bar", "groupBy": "o_orderpriority", "aggregate": {"op": "count"}})["blockId"]
+    rows = [(p["label"], p["value"], False) for p in w.chart_points(block)]
+    w.call("set_report_filter", {"dataset": "orders", "where": [_f("o_orderdate", "gte", "1996-01-01")]})
+    rows += [(p["label"], p["value"], True) for p in w.chart_points(block)]
+    return _rows(spark, rows, "label string, value double, filtered boolean")
+
+
+@_registered(" UNION ALL ".join(f"SELECT {key} AS below, {MASK} AS matched, total FROM (SELECT count(*) FILTER (c_custkey < {key}) AS n, count(*) AS total FROM customer)" for key in (1, 4, 40)))
+def tool_report_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _workspace(spark, sf_dir, "customer")
+    ask = lambda key: w.call("set_report_filter", {"dataset": "customer", "where": [_f("c_custkey", "lt", key)]})
+    return _rows(spark, [(key, str((r := ask(key))["matchedRows"]), r["totalRows"]) for key in (1, 4, 40)], "below int, matched string, total long")
+
+
 def _delimited(spark: SparkSession, sf_dir: str) -> Dataset:
     """All orders, written as quoted text with every kind of cell, and read back as one dataset."""
     path = f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import threading
 import time
 from collections import deque
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gatedframe.errors import QueryError
 from gatedframe.model import Dataset
-from gatedframe.plans.query import Query
+from gatedframe.plans.query import Query, QueryResult
 from gatedframe.sources.delimited import build_dataset, load_delimited, load_delimited_table
 from gatedframe.sources.parquet import from_frame, load_parquet
 from gatedframe.sources.sample import sample_dataset
@@ -58,6 +59,7 @@ class Workspace:
     on_tools_change: Callable[[list[str], list[str]], None] | None = None
     _shown: list[str] | None = None
     _pending: threading.Lock = field(default_factory=threading.Lock)
+    _drawn: dict[str, tuple[Dataset, str, QueryResult]] = field(default_factory=dict)
     _ids: itertools.count = field(default_factory=lambda: itertools.count(1))
 
     def allows(self, level: str) -> bool:
@@ -125,6 +127,7 @@ class Workspace:
             gone.release()
         self.filters.pop(dataset_id, None)
         self.blocks = [b for b in self.blocks if b.kind != "chart" or b.content["dataset"] != dataset_id]
+        self._forget()
         self._tell()
 
     def set_filter(self, dataset_id: str, where: list[dict] | None) -> None:
@@ -142,6 +145,7 @@ class Workspace:
 
     def remove_block(self, block: Block) -> None:
         self.blocks.remove(block)
+        self._forget()
         self._tell()
 
     def block(self, block_id: str) -> Block | None:
@@ -152,6 +156,7 @@ class Workspace:
         for name in list(self.datasets):
             self.remove(name)
         self.blocks, self.filters = [], {}
+        self._forget()
         self._tell()
 
     def request_approval(self, request: dict, seconds: float = APPROVAL_SECONDS) -> bool:
@@ -197,20 +202,42 @@ class Workspace:
             self.totals[key] += n
         return payload
 
-    def chart_query(self, block: Block) -> Query:
+    def _chart_spec(self, block: Block) -> dict:
         """A chart's query under the present filter and threshold."""
         chart = block.content
         order = [chart["orderBy"]] if chart.get("orderBy") else None
-        spec = {"where": self.filters.get(chart["dataset"]), "groupBy": [chart["groupBy"]], "aggregate": [chart["aggregate"]], "orderBy": order, "limit": chart.get("limit"), "minGroupSize": self.k}
-        return Query(self.datasets[chart["dataset"]], spec)
+        return {"where": self.filters.get(chart["dataset"]), "groupBy": [chart["groupBy"]], "aggregate": [chart["aggregate"]], "orderBy": order, "limit": chart.get("limit"), "minGroupSize": self.k}
 
-    def render_chart(self, block_id: str) -> DataFrame:
+    def chart_query(self, block: Block) -> Query:
+        return Query(self.datasets[block.content["dataset"]], self._chart_spec(block))
+
+    def _chart(self, block_id: str) -> Block:
         block = self.block(block_id)
         if block is None or block.kind != "chart":
             raise QueryError("unknown_block", f'There is no chart "{block_id}".')
-        return self.chart_query(block).frame()
+        return block
+
+    def render_chart(self, block_id: str) -> DataFrame:
+        return self.chart_query(self._chart(block_id)).frame()
+
+    def chart_result(self, block_id: str) -> QueryResult:
+        """What a chart shows. It is worked out again only if the dataset, the query, the filter or the threshold isn't what it was when the chart was last drawn."""
+        block = self._chart(block_id)
+        dataset, spec = self.datasets[block.content["dataset"]], json.dumps(self._chart_spec(block), sort_keys=True, default=str)
+        held = self._drawn.get(block_id)
+        if held is None or held[0] is not dataset or held[1] != spec:
+            held = self._drawn[block_id] = (dataset, spec, self.chart_query(block).run())
+        return held[2]
+
+    def remember_chart(self, block: Block, result: QueryResult) -> None:
+        """Keeps a result that was just worked out for a new chart."""
+        self._drawn[block.id] = (self.datasets[block.content["dataset"]], json.dumps(self._chart_spec(block), sort_keys=True, default=str), result)
+
+    def _forget(self) -> None:
+        """Results of charts that are gone."""
+        held = {b.id for b in self.blocks}
+        self._drawn = {k: v for k, v in self._drawn.items() if k in held}
 
     def chart_points(self, block_id: str) -> list[dict]:
         """(label, value) of a chart; groups without a numeric value are left out."""
-        found = self.render_chart(block_id)
-        return [{"label": r[0], "value": float(r[1])} for r in found.collect() if isinstance(r[1], (int, float)) and not isinstance(r[1], bool)]
+        return [{"label": r[0], "value": float(r[1])} for r in self.chart_result(block_id).rows if isinstance(r[1], (int, float)) and not isinstance(r[1], bool)]

@@ -12,7 +12,7 @@ from gatedframe.model import to_dataset_id, unique_dataset_id
 from gatedframe.operators.anomalies import detect_anomalies
 from gatedframe.operators.disclosure import identifies
 from gatedframe.operators.profile import profile_dataset
-from gatedframe.plans.query import run_query
+from gatedframe.plans.query import Query, run_query
 from gatedframe.presentation import format_cell
 from gatedframe.sources.delimited import build_dataset, dedupe_header, detect_delimiter
 from gatedframe.sources.quoted import tokenize
@@ -153,3 +153,22 @@ def test_schema_and_cap():
     assert cut and size <= 1500 and payload["outputTruncated"]["available"] == 40
     assert cap({"text": "x" * 2000})[0]["error"]["code"] == "output_too_large"
     assert [format_cell(v, "number") for v in (None, 1234567.0, 0.12345678)] == ["—", "1,234,567", "0.1235"]
+
+
+def test_a_chart_is_worked_out_once_until_something_changes(spark, monkeypatch):
+    runs, run = [], Query.run
+    monkeypatch.setattr(Query, "run", lambda self: runs.append(1) or run(self))
+    w = Workspace(spark, min_group_size=1)
+    w.load_text("t.csv", "k,x\n" + "a,1\nb,2\na,3\nc,4\n" * 3)
+    ids = [w.call("add_chart", {"dataset": "t", "title": "T", "type": "bar", "groupBy": "k", "aggregate": {"op": op, "column": "x"}})["blockId"] for op in ("sum", "max")]
+    first = [w.chart_points(i) for i in ids]
+    assert first == [w.chart_points(i) for i in ids] and len(runs) == 2  # what adding them worked out
+    w.call("set_report_filter", {"dataset": "t", "where": [{"column": "x", "op": "gt", "value": 2}]})
+    assert [p["label"] for p in w.chart_points(ids[0])] == ["a", "c"] and w.chart_points(ids[0]) and len(runs) == 3
+    w.set_min_group_size(4)
+    assert w.chart_points(ids[0]) == [] and len(runs) == 4
+    w.set_filter("t", None)
+    w.set_min_group_size(1)
+    assert w.chart_points(ids[0]) == first[0] and len(runs) == 5
+    w.remove("t")
+    assert not w._drawn
