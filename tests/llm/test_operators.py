@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from test_neardup import brute_kept
 
@@ -379,7 +380,8 @@ def test_first_fit_decreasing():
 
 def test_packing(docs, rows, empty):
     got = packing.pack_documents(docs, queries.tokenizer(), group_docs=20).collect()
-    encode = tokens.encoder(queries.tokenizer()).encode
+    library = Tokenizer.from_file(queries.tokenizer())
+    encode = lambda texts: [np.array(library.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     want = Counter()
     for i, t, *_ in rows:
         ids = encode([(t or "").encode()])[0] + np.array([1], "<u4").tobytes()
@@ -706,6 +708,59 @@ def test_pipeline_against_brute_force(spark):
     assert have == Counter({r[0]: len(encode([r[1].encode()])[0]) // 4 + 1 for r in mixed})
 
 
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    """Texts of 150,000 words beside short ones, one of them twice, one without a gap."""
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(5000)] + ["é", "$5.", "and", "the"]
+    big = " ".join(rng.choice(words) for _ in range(150_000))
+    made = [big, big, big.replace("word1 ", "word2 "), "x" * 1_000_000, "\n".join(f"line {i} of many and the rest" for i in range(40_000)), None, ""]
+    made += [" ".join(rng.choice(words) for _ in range(rng.randrange(60, 200))) for _ in range(60)]
+    return spark.createDataFrame([(i, t, "en", "ab"[i % 2], len(t or "")) for i, t in enumerate(made)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).cache()
+
+
+def test_very_long_texts(spark, long_docs, tmp_path):
+    """Each operator gives the whole of a very long text what it gives a short one."""
+    texts = {r.doc_id: r.text or "" for r in long_docs.collect()}
+    count = {i: len(re.findall(WORD, t)) for i, t in texts.items()}
+    mixed = {r.doc_id: r for r in mixing.mix_plan(long_docs).collect()}
+    assert {i: r["size"] for i, r in mixed.items()} == count and sum(r.taken for r in mixed.values()) == pytest.approx(sum(count.values()), rel=0.01)
+    library = Tokenizer.from_file(queries.tokenizer())
+    ids = {i: library.encode(t, add_special_tokens=False).ids for i, t in texts.items()}
+    counted = {r.doc_id: (r.n_tokens, r.n_bytes) for r in tokens.token_counts(long_docs, queries.tokenizer(), str(tmp_path / "cache")).collect()}
+    assert counted == {i: (len(x), len(texts[i].encode())) for i, x in ids.items()}
+    pieces = {}
+    for r in packing.pack_documents(long_docs, queries.tokenizer()).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    for i, parts in pieces.items():
+        whole = np.array([*ids[i], 1], "<u4")
+        assert sum(n for _, n, _ in parts) == len(whole) and all(zlib.crc32(whole[a : a + n].tobytes()) == c for a, n, c in parts)
+    prints = {r.doc_id: r for r in fingerprints.fingerprint_documents(long_docs).collect()}
+    assert prints[0].fingerprint == prints[1].fingerprint and all(r.n_chars == len(texts[i]) for i, r in prints.items())
+    half, after = len(texts[2]) // 2, texts[1]
+    assert prints[2].edited_sha256 == hashlib.sha256((texts[2][: len(texts[2]) - half] + after[:half]).encode()).hexdigest()
+    placed = {r.doc_id: r for r in sharding.shard_documents(long_docs, 2).collect()}
+    assert all(r["size"] == len(texts[i].encode()) + 16 and r.text_crc32 == zlib.crc32(texts[i].encode()) for i, r in placed.items()) and placed[0].shard == placed[1].shard
+    judged = {r.doc_id: r for r in quality.quality_rules(long_docs, quality.ACCEPT_ALL).collect()}
+    assert {i: r.n_words for i, r in judged.items()} == count and judged[4].n_repeat_words == brute_quality(texts[4])[4] and not judged[0].base_failed
+    scored = {r.doc_id: r for r in lm.lm_scores(long_docs).collect()}
+    assert {i: r.n_tokens for i, r in scored.items()} == {i: n + 1 for i, n in count.items()} and all(r.score < 0 for r in scored.values())
+    assert len(licenses.license_scan(long_docs).collect()) == len(texts)
+
+
+def test_stages_keep_very_long_texts_and_clashing_columns(spark, long_docs):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    odd = long_docs.withColumns({c: F.lit(k) for k, c in enumerate(("size", "key", "row", "mark", "_mark", "_row", "nth", "h", "h_", "least", "node", "n", "value", "Start"))})
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, "/root/testdata/sf0.001").cache()
+        assert docs.columns == odd.columns and docs.schema["size"].dataType == odd.schema["size"].dataType, name
+        assert [tuple(r) for r in docs.select("size", "key", "row", "h", "n").distinct().collect()] == [(0, 1, 2, 7, 11)], name
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    assert 0 in kept and not {1, 5, 6} & kept.keys() and len(kept[0]) > 500_000
+    assert {r.doc_id for r in corpus_pipeline.STAGES[3][1](spark, docs, "/root/testdata/sf0.001").collect()} == kept.keys()
+
+
 def test_pipeline_leaves_its_result_alone(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     from gatedframe.llm.storage import _open, exists
