@@ -15,7 +15,7 @@ from gatedframe.operators import anomalies, profile
 from gatedframe.plans.query import query_frame, run_query
 from gatedframe.shared import shared_dir
 from gatedframe.sources.delimited import load_delimited_table
-from gatedframe.sources.parquet import from_frame
+from gatedframe.sources.parquet import from_frame, spread
 from gatedframe.workspace import Workspace
 
 Found = Callable[[SparkSession, str], DataFrame]
@@ -226,7 +226,8 @@ def anomaly_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_registered("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 THEN -l_quantity ELSE l_quantity END AS number, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_returnflag = 'R' END AS flag, CASE WHEN l_linenumber = 7 THEN NULL ELSE date_trunc('day', l_shipdate) END AS day FROM lineitem")
 def coerce_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed cells printed as messy text and read back."""
-    cells = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate")
+    cells = spread(table).selectExpr(
         "l_orderkey", "l_linenumber",
         "CASE WHEN l_linenumber = 7 THEN ' N/A ' WHEN l_linenumber = 6 THEN concat('($', format_number(l_quantity, 2), ')') ELSE concat(' $', format_number(l_quantity, 2)) END AS number",
         "CASE WHEN l_linenumber = 7 THEN 'null' WHEN l_returnflag = 'R' THEN ' YES' ELSE 'False' END AS flag",

@@ -64,5 +64,11 @@ def from_frame(df: DataFrame, name: str, taken: Iterable[str] = ()) -> Dataset:
     return dataset
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to as many tasks as run at once, where a file of one row group would have one task read it and do all that follows."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+
+
 def load_parquet(spark: SparkSession, path: str, taken: Iterable[str] = ()) -> Dataset:
     return from_frame(spark.read.parquet(path), path.rstrip("/").rsplit("/", 1)[-1], taken)
