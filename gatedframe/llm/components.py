@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatedframe.llm.storage import Scratch
+from gatedframe.llm.storage import Scratch, broadcast_if_few
 
 
 def _star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -41,3 +41,23 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if mark == seen:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = mark
+
+
+def across(members: DataFrame, roots: DataFrame, chunk: int, scratch: Scratch, name: str = "large") -> DataFrame:
+    """(bucket, i, j, node): which chunks of large buckets (bucket, node) still have to meet, once ``roots`` (node, root) are known.
+
+    Members of the bucket's largest component need not be compared with each other. They lie in chunks 0, 1, ..., all others in chunks -1, -2, ...; each chunk of
+    the others meets each chunk of either kind.
+    """
+    large = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    large = scratch.table(large, name)
+    sizes = large.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("a"), F.sum("n").alias("all"), F.count("*").alias("kinds"))
+    chunks = lambda n: F.ceil(n / chunk).cast("long")
+    largest = scratch.table(largest.where("kinds > 1").select("bucket", "main", chunks(F.col("a")).alias("a"), chunks(F.col("all") - F.col("a")).alias("b")), f"{name}st")
+    parts = large.join(broadcast_if_few(largest), "bucket")
+    parts = parts.withColumn("c", F.when(F.col("root") == F.col("main"), F.expr("pmod(xxhash64(node, bucket), a)")).otherwise(F.expr("-1 - pmod(xxhash64(node, bucket), b)")))
+    other = F.expr("transform(sequence(1L, b), x -> -x)")
+    met = F.when(F.col("c") >= 0, other).otherwise(F.concat(F.expr("sequence(0L, a - 1)"), other))
+    dealt = parts.select("bucket", "c", "node", F.explode(met).alias("o"))
+    return dealt.select("bucket", F.greatest("c", "o").alias("i"), F.least("c", "o").alias("j"), "node")

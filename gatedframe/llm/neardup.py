@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatedframe.llm import simhash, survivors
-from gatedframe.llm.components import connected_components
+from gatedframe.llm.components import across, connected_components
 from gatedframe.llm.storage import Scratch, broadcast_if_few
 from gatedframe.llm.words import ASCII_LOWER, pieces, utf8
 
@@ -154,26 +154,6 @@ def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield edges()
 
 
-def _across(members: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """(bucket, i, j, node): which chunks of a large bucket still have to meet, once ``roots`` (node, root) are known.
-
-    Members of the bucket's largest component need not be compared with each other. They lie in chunks 0, 1, ..., all others in chunks -1, -2, ...; each chunk of
-    the others meets each chunk of either kind.
-    """
-    large = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    large = scratch.table(large, "large")
-    sizes = large.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("a"), F.sum("n").alias("all"), F.count("*").alias("kinds"))
-    chunks = lambda n: F.ceil(n / CHUNK).cast("long")
-    largest = scratch.table(largest.where("kinds > 1").select("bucket", "main", chunks(F.col("a")).alias("a"), chunks(F.col("all") - F.col("a")).alias("b")), "largest")
-    parts = large.join(broadcast_if_few(largest), "bucket")
-    parts = parts.withColumn("c", F.when(F.col("root") == F.col("main"), F.expr("pmod(xxhash64(node, bucket), a)")).otherwise(F.expr("-1 - pmod(xxhash64(node, bucket), b)")))
-    other = F.expr("transform(sequence(1L, b), x -> -x)")
-    met = F.when(F.col("c") >= 0, other).otherwise(F.concat(F.expr("sequence(0L, a - 1)"), other))
-    dealt = parts.select("bucket", "c", "node", F.explode(met).alias("o"))
-    return dealt.select("bucket", F.greatest("c", "o").alias("i"), F.least("c", "o").alias("j"), "node")
-
-
 def least_of_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Of ``docs`` (key, text): the least key of each component of links of similarity 0.8 or more, as column ``key``."""
     kind = docs.schema["key"].dataType.simpleString()
@@ -201,7 +181,7 @@ def least_of_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     edges = compared(members.select("bucket", own.alias("i"), own.alias("j"), "node"), "links")
     if members.where("k > 1").limit(1).count():
         roots = scratch.table(connected_components(edges, scratch), "linked")
-        edges = edges.union(compared(_across(members.where("k > 1").select("bucket", "node"), roots, scratch), "links-across"))
+        edges = edges.union(compared(across(members.where("k > 1").select("bucket", "node"), roots, CHUNK, scratch), "links-across"))
     roots = connected_components(edges, scratch)
     placed = nodes.join(roots, nodes.node == roots.node, "left").select("least", F.coalesce("root", nodes.node).alias("root"))
     named = scratch.table(placed.groupBy("root").agg(F.min("least").alias("key")).select("key"), "named")

@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatedframe.llm import survivors
-from gatedframe.llm.components import connected_components
+from gatedframe.llm.components import across, connected_components
 from gatedframe.llm.storage import Scratch, broadcast_if_few
 from gatedframe.llm.words import ASCII_LOWER, pieces, utf8
 
 HASH_SEED = 42
 #: Links are searched within radius 2 of a half; more differing bits would need more cells.
 MAX_BITS = 4
-#: Members of a cell that are compared in one task; a larger cell is cut into chunks, and every two chunks meet.
+#: Members of a cell that are compared in one task; a larger cell is cut into chunks, of which those outside the cell's largest component meet the others.
 CHUNK = 2048
 #: Fingerprints whose cells one task makes, about.
 TASK_NODES = 30_000
@@ -179,17 +179,24 @@ def link_edges(nodes: DataFrame, max_bits: int = MAX_BITS, scratch: Scratch | No
     pairs with at most ``max_bits`` differing bits.
 
     Members of cells are counted first (combined on the map side), and the cells met twice or more are joined back as a plain table,
-    so no task gathers the members of a cell. A cell with over ``CHUNK`` members is cut into chunks that meet two by two in tasks of
-    their own, so no group holds more than two chunks; a task returns stars of what it found linked, never all pairs of a dense cell.
+    so no task gathers the members of a cell. A cell with over ``CHUNK`` members is cut into chunks, in another way in each cell, so that links within chunks join most of its members; only
+    those outside its largest component then meet the other chunks. No group holds more than two chunks, and a task returns stars of what it found linked, never all pairs of a dense cell.
     """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"max_bits is 0 to {MAX_BITS}")
     scratch = scratch or Scratch(nodes.sparkSession, "links")
     cells = _cells(nodes.repartition(max(1, -(-nodes.count() // TASK_NODES)), "fp"))
     met = scratch.table(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "met")
-    chunks = cells.join(broadcast_if_few(met), "cell").withColumn("k", F.ceil(F.col("n") / CHUNK).cast("long")).withColumn("c", F.expr("pmod(xxhash64(fp), k)"))
-    dealt = chunks.select("cell", "c", "fp", F.explode(F.expr("sequence(0L, k - 1)")).alias("o")).select("cell", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp")
-    return dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_links(max_bits), "u long, v long")
+    members = cells.join(broadcast_if_few(met), "cell").withColumn("k", F.ceil(F.col("n") / CHUNK).cast("long"))
+    meeting = lambda dealt: dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_links(max_bits), "u long, v long")
+    own = F.expr("pmod(xxhash64(fp, cell), k)")
+    edges = meeting(members.select("cell", own.alias("i"), own.alias("j"), "fp"))
+    if not met.where(F.col("n") > CHUNK).limit(1).count():
+        return edges
+    edges = scratch.table(edges, "cell-links")
+    roots = scratch.table(connected_components(edges, scratch), "cell-roots")
+    others = across(members.where("k > 1").select(F.col("cell").alias("bucket"), F.col("fp").alias("node")), roots, CHUNK, scratch, "large-cell")
+    return edges.union(meeting(others.select(F.col("bucket").alias("cell"), "i", "j", F.col("node").alias("fp"))))
 
 
 def _classes(keyed: DataFrame, scratch: Scratch, width: int, max_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -81,8 +81,8 @@ def test_large_buckets_of_several_components(spark, monkeypatch):
             rows.append((len(rows), " ".join(words)))
     rng.shuffle(rows)
     across = []
-    whole = neardup._across
-    monkeypatch.setattr(neardup, "_across", lambda *a: across.append(whole(*a)) or across[-1])
+    whole = neardup.across
+    monkeypatch.setattr(neardup, "across", lambda *a: across.append(whole(*a)) or across[-1])
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want, _ = brute_kept(rows)
     assert sorted(r.doc_id for r in neardup.keep_one_per_component(docs).collect()) == want and 1 < len(want) < 40

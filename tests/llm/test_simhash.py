@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from gatedframe.llm import neardup, simhash
@@ -151,7 +152,11 @@ def test_a_cell_that_holds_half_of_the_fingerprints(spark, monkeypatch):
     near = {seed ^ (1 << a) ^ (1 << b) for a in range(0, 32) for b in range(32, 64, 3)}
     fps = sorted(near | {rng.getrandbits(64) for _ in range(len(near))})
     monkeypatch.setattr(simhash, "CHUNK", 64)
+    met, whole = [], simhash.across
+    monkeypatch.setattr(simhash, "across", lambda *a: met.append(whole(*a)) or met[-1])
     assert same_classes(brute_components(fps), components_of(spark, fps))
+    members = {b: n for b, n in met[0].groupBy("bucket").agg(F.count_distinct("node")).collect()}
+    assert met[0].count() <= 4 * sum(members.values())  # not each chunk with each
 
 
 def test_empty_table(spark):
