@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gatedframe.errors import QueryError
 from gatedframe.functions.text import utf16
-from gatedframe.operators import quantiles
+from gatedframe.operators import anomalies, quantiles
 from gatedframe.plans import query
 from gatedframe.plans.query import query_frame, run_query
 from gatedframe.queries import QUERIES
@@ -204,3 +204,19 @@ def test_tokenizer_keeps_every_row():
 def test_date_bounds(spark):
     d = from_frame(spark.createDataFrame([(dt.date(2024, 1, k),) for k in range(1, 11)], "day date"), "days")
     assert run_query(d, {"where": [{"column": "day", "op": "gte", "value": "2024-01-08"}], "aggregate": [{"op": "count"}, {"op": "min", "column": "day"}]}).rows == [[3, dt.date(2024, 1, 8)]]
+
+
+@pytest.mark.parametrize("forced, few", [(False, 500_000), (True, 500_000), (False, 0)])
+def test_duplicates_are_told_by_digest_and_then_by_row(spark, monkeypatch, forced, few):
+    """Nulls stand where they stand, and rows that share a digest by chance count apart."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, "a", "b"]), rng.choice([None, 1.0, math.nan]), rng.choice([None, 2.0])) for _ in range(200)] + [(None, 1.0, None), (None, None, 1.0)]
+    d = from_frame(spark.createDataFrame(rows, "t string, x double, y double").repartition(3), "t")
+    if forced:
+        monkeypatch.setattr(anomalies, "_digest", lambda fields: [F.lit(1).alias("d1"), F.lit(2).alias("d2")])
+    monkeypatch.setattr(anomalies, "FEW_DIGESTS", few)
+    want = {tuple(None if isinstance(v, float) and math.isnan(v) else v for v in r) for r in rows}
+    assert tuple(anomalies.duplicate_rows(d).first()) == (202, len(want))
+    single = from_frame(spark.range(50), "s")
+    assert tuple(anomalies.duplicate_rows(single).first()) == (50, 50)
+    assert tuple(anomalies.duplicate_rows(from_frame(spark.range(0), "e")).first()) == (0, 0)
