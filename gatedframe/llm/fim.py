@@ -77,6 +77,8 @@ def restore(output: Column, form: Column, sentinels: Sequence[str] = SENTINELS)
     """The text that was rearranged, from what its sentinels set apart; null where an arranged text doesn't hold each of them once, in the order of its form."""
     prefix, suffix, middle = _checked(sentinels)
     parts = F.split(output, "|".join(re.escape(s) for s in sentinels))
-    first, second = F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
-    whole = lambda a, b, before, after: F.when((F.size(parts) == 4) & output.startswith(a) & F.contains(output, F.concat(F.lit(b), second, F.lit(middle))), F.concat(before, F.get(parts, F.lit(3)), after))
-    return F.when(form == PSM, whole(prefix, suffix, first, second)).when(form == SPM, whole(suffix, prefix, second, first)).when(form == PLAIN, output)
+    first, second, third = (F.get(parts, F.lit(k)) for k in (1, 2, 3))
+    # put together again it must be the output, which tells the order of the sentinels
+    whole = lambda a, b, text: F.when((F.size(parts) == 4) & (output == F.concat(F.lit(a), first, F.lit(b), second, F.lit(middle), third)), text)
+    restored = F.when(form == PSM, whole(prefix, suffix, F.concat(first, third, second))).when(form == SPM, whole(suffix, prefix, F.concat(second, third, first)))
+    return restored.when(form == PLAIN, output)

@@ -82,9 +82,8 @@ def test_other_sentinels_and_shares(spark, rows):
     marks = ("<|prefix|>", "<|suffix|>", "<|middle|>")
     made = fim.transform(spark.createDataFrame(rows, "doc_id long, text string"), seed=7, fim_percent=100, spm_percent=30, sentinels=marks)
     restored = fim.restore(F.col("fim.output"), F.col("fim.form"), marks)
-    assert not made.where(restored != F.coalesce("text", F.lit(""))).count()
-    assert made.where("text <> '' and fim.form = 'plain'").count() == 0
-    assert not made.where(F.col("fim.form") != "plain").where(restored.isNull()).count()
+    got = made.select(F.coalesce("text", F.lit("")).alias("text"), "fim.form", restored.alias("restored")).collect()
+    assert all(r.restored == r.text and (r.form == "plain") == (r.text == "") for r in got) and {r.form for r in got} == {"plain", "psm", "spm"}
 
 
 def test_output_that_is_not_an_arrangement_gives_null(spark):
