@@ -10,6 +10,7 @@ Vectors that are alike to the last bit are one node. Copies come back in at the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,12 +20,14 @@ from pyspark.sql import functions as F
 
 from gatedframe.llm.storage import Scratch, broadcast_if_few
 
-#: Edges of a node, nodes that a search holds while building and while querying, and how much nearer to a kept edge a candidate must be to be dropped.
-DEGREE, BUILD_BEAM, BEAM, RELAXED = 32, 64, 96, 1.2
+#: Edges of a node, nodes that a search holds while building, and how much nearer to a kept edge a candidate must be to be dropped.
+DEGREE, BUILD_BEAM, RELAXED = 32, 64, 1.2
+#: Nodes that a query holds in a shard of up to ``LEAST_ROWS``; in a larger one as many times more as the root of its size, which keeps recall.
+BEAM = 96
 #: Nodes that a search opens at once.
 WIDTH = 4
 #: Vectors of a shard at most, and shards of at least ``LEAST_ROWS`` that a smaller table is dealt to.
-SHARD_ROWS, LEAST_ROWS, SHARDS = 131_072, 4096, 8
+SHARD_ROWS, LEAST_ROWS, SHARDS = 65_536, 4096, 8
 #: Queries searched at once, and queries for which a shard is sent to a task.
 QUERIES, QUERY_BLOCK = 128, 500_000
 #: Copies of the beam's best that are scored in double precision, per neighbour asked for.
@@ -211,7 +214,7 @@ def _searched(beam: int, wanted: int):
 
     def hits(vectors: np.ndarray, x: np.ndarray, graph: np.ndarray, named: list[np.ndarray], seen: np.ndarray, rows: pa.RecordBatch) -> pa.RecordBatch:
         queries = _matrix(rows.column(7))
-        found, sims = beam_search(x, graph, _directions(queries), max(beam, RESCORED * wanted), seen)
+        found, sims = beam_search(x, graph, _directions(queries), max(RESCORED * wanted, beam_for(len(x), beam)), seen)
         some = min(found.shape[1], RESCORED * wanted)
         best = np.argpartition(-sims, some - 1, 1)[:, :some]
         found = np.take_along_axis(found, best, 1)
@@ -266,6 +269,10 @@ def shard_count(nodes: int) -> int:
     return max(1, -(-nodes // SHARD_ROWS), min(SHARDS, -(-nodes // LEAST_ROWS)))
 
 
+def beam_for(nodes: int, beam: int = BEAM) -> int:
+    return round(beam * math.sqrt(max(1.0, nodes / LEAST_ROWS)))
+
+
 def _one_each(df: DataFrame, parts: int, at: Column) -> DataFrame:
     return df.repartitionById(parts, at.cast("int"))
 

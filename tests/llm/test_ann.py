@@ -127,6 +127,11 @@ def test_pruned_edges_are_those_of_the_definition():
     assert got == want
 
 
+def test_beams_grow_with_their_shard_and_shards_with_the_table():
+    assert [ann.beam_for(n) for n in (1, 4096, 16_384, 65_536)] == [96, 96, 192, 384]
+    assert [ann.shard_count(n) for n in (0, 4096, 4097, 51_282, 524_289)] == [1, 1, 2, 8, 9]
+
+
 def test_search_reaches_all_nodes_with_a_wide_beam():
     x = ann.unit_space(np.random.default_rng(2).normal(size=(500, 8)))
     graph = ann.build_graph(x)
