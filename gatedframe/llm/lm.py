@@ -6,7 +6,8 @@ four predictors answer. Three hold counts gathered over the training documents:
 word before, one the two words before; the contexts are hashed to tables. The fourth learns as the text is read: it expects the word that followed
 when the same words were met before in the same document. Their answers are added in the logistic domain, with weights that a gate chooses by how
 often the contexts were seen and whether something is expected. Weights, and a final map from the mixed to the observed probability,
-start from what they have become over training documents that the tables don't hold, and adapt after every bit through a document.
+start from what they have become over all training documents, each read as if the tables didn't hold the occurrence at hand, and adapt after every
+bit through a document.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatedframe.llm.storage import Scratch
@@ -45,11 +46,10 @@ LIMIT, MAP_CELLS = 13.99, 42
 GATES = 16 * 2
 #: Logit of a bit that the fourth predictor expects.
 EXPECTED = 2.0
-#: One of so many training documents is left out of the tables of contexts (not of the counts of words), and about this many of
-#: them, chosen by a hash of their id, are used for the starting weights instead.
-WEIGHT_SHARE, WEIGHT_DOCS = 64, 500
-#: Distinct training words that the letters of unseen words are predicted from, about, chosen by their hash; and bits of the tables of one, two and three letters.
-SPELL_WORDS, SPELL_BITS = 100_000, (16, 18, 20)
+#: Bits of the tables of one, two and three letters.
+SPELL_BITS = (16, 18, 20)
+#: Sums of learned weights are kept in whole units of this, so that they don't depend on the order in which tasks end.
+GRAIN = 2.0**-20
 #: Words whose counts travel with the model, at most; the others' counts are joined.
 FREQUENT = 1 << 17
 #: Entries of a task's dictionaries before they are emptied.
@@ -64,11 +64,6 @@ def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
-def weighs(doc_id: int | None) -> bool:
-    """Whether a training document serves the starting weights rather than the tables of contexts."""
-    return doc_id is not None and not is_held_out(doc_id) and xxhash.xxh64_intdigest(str(doc_id).encode(), 7) % WEIGHT_SHARE == 0
-
-
 def slot_bits(corpus_bytes: int) -> int:
     return max(LEAST_SLOT_BITS, min(MOST_SLOT_BITS, math.ceil(math.log2(max(1, corpus_bytes)))))
 
@@ -160,13 +155,11 @@ def _gather(width: int):
         rows = lambda *cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
         lexicon, counts, table, alone = _Lexicon({}), Counter(), np.zeros(2 * _slot_count(width), np.uint32), np.zeros(1 << BITS, np.int64)
         for batch in pieces(batches):
-            chosen = [(t, weighs(i)) for i, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1))) if not is_held_out(i)]
-            tokens = [_tokens(t) for t, _ in chosen]
-            for words in tokens:
-                counts.update(words)
-            tokens = [words for words, (_, apart) in zip(tokens, chosen) if not apart]
+            tokens = [_tokens(t) for i, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1))) if not is_held_out(i)]
             if not tokens:
                 continue
+            for words in tokens:
+                counts.update(words)
             numbers = np.concatenate([lexicon.numbers(words) for words in tokens])
             starts = np.cumsum([0] + [len(w) for w in tokens[:-1]])
             bits, first, second = _contexts(lexicon.code[numbers], starts)
@@ -193,14 +186,16 @@ def _gather(width: int):
 
 
 def _merged(chunks: DataFrame, *keys: str, last: bool = False) -> DataFrame:
-    """Sums of the chunks of each key, added up one by one as they arrive; for the ``last`` time as what predictors answer."""
+    """Sums of the chunks of each key, added up one by one as they arrive; for the ``last`` time as what predictors answer, and without one occurrence of
+    either answer (``rest``)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, current = np.zeros(2 << CHUNK_BITS, np.uint64), None
 
         def row() -> pa.RecordBatch:
             data = _squeezed(_predictor(total)) if last else _packed(np.minimum(total, 0xFFFFFFFF))
-            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([data])], ["chunk", "data"])
+            rest = _squeezed(_without_one(total)) if last else None
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([data]), pa.array([rest], pa.binary())], ["chunk", "data", "rest"])
 
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -212,7 +207,7 @@ def _merged(chunks: DataFrame, *keys: str, last: bool = False) -> DataFrame:
         if current is not None:
             yield row()
 
-    return chunks.repartition(*keys).sortWithinPartitions("chunk").select("chunk", "data").mapInArrow(run, "chunk int, data binary")
+    return chunks.repartition(*keys).sortWithinPartitions("chunk").select("chunk", "data").mapInArrow(run, "chunk int, data binary, rest binary")
 
 
 @dataclass
@@ -235,6 +230,16 @@ def _predictor(counts: np.ndarray) -> np.ndarray:
     return (np.rint(logit * 256).astype(np.int64) * 4 + np.digitize(n0 + n1, [1, 3, 9])).astype("<i2")
 
 
+def _without_one(counts: np.ndarray) -> np.ndarray:
+    """What predictors answer where an occurrence of answer 0 is taken back from each slot, and of answer 1, side by side."""
+    pairs, out = counts.astype(np.int64).reshape(-1, 2), np.empty(len(counts), "<i2")
+    for answer in (0, 1):
+        less = pairs.copy()
+        less[:, answer] = np.maximum(less[:, answer] - 1, 0)
+        out[answer::2] = _predictor(less.ravel())
+    return out
+
+
 def _letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(letters of all words, each ended by a space; place of each word's first; contexts of one, two and three letters within the word)."""
     flat = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.uint64)
@@ -255,14 +260,18 @@ def _letter_slots(flat: np.ndarray, contexts: list[np.ndarray], k: int) -> tuple
     return bit.astype(np.int64), [(((c * _STEP) ^ (node * np.uint64(START))) * _MIX >> np.uint64(64 - w)).astype(np.int64) for c, w in zip(contexts, SPELL_BITS)]
 
 
-def letter_tables(words: list[bytes]) -> list[np.ndarray]:
-    tables = [np.zeros(2 << w, np.uint32) for w in SPELL_BITS]
+def letter_counts(tables: list[np.ndarray], words: list[bytes]) -> None:
     if words:
         flat, _, contexts = _letters(words)
         for k in range(8):
             bit, slots = _letter_slots(flat, contexts, k)
             for table, slot in zip(tables, slots):
                 np.add.at(table, 2 * slot + bit, np.uint32(1))
+
+
+def letter_tables(words: list[bytes]) -> list[np.ndarray]:
+    tables = [np.zeros(2 << w, np.uint32) for w in SPELL_BITS]
+    letter_counts(tables, words)
     return [_predictor(t) for t in tables]
 
 
@@ -285,14 +294,15 @@ def train(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
     The driver receives the predictors' tables, the sums of 2^12 buckets, the ``FREQUENT`` commonest words, and the tables of letters, each of bounded size.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = slim.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    size = slim.agg(F.sum(F.octet_length("text")).alias("bytes")).first()
     width = slot_bits(size.bytes or 0)
     gathered = scratch.table(slim.mapInArrow(_gather(width), "word binary, n long, chunk int, data binary"), "gathered")
     counts = scratch.table(gathered.where("chunk is null").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     salted = gathered.where("chunk is not null").select("chunk", "data", F.pmod(F.xxhash64("data"), F.lit(8)).alias("salt"))
-    table = np.zeros(_slot_count(width), np.int16)
+    table, rest = np.zeros(_slot_count(width), np.int16), np.zeros(2 * _slot_count(width), np.int16)
     for row in _merged(_merged(salted, "chunk", "salt"), "chunk", last=True).collect():
         table[row.chunk << CHUNK_BITS : (row.chunk + 1) << CHUNK_BITS] = _loosened(bytes(row.data), 2 << CHUNK_BITS, "<i2")
+        rest[row.chunk << CHUNK_BITS + 1 : (row.chunk + 1) << CHUNK_BITS + 1] = _loosened(bytes(row.rest), 4 << CHUNK_BITS, "<i2")
     scratch.drop("gathered")
     bucket = F.shiftrightunsigned(F.xxhash64("word"), 64 - BITS)
     buckets = counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
@@ -301,8 +311,8 @@ def train(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
     for r in buckets:
         bucket_log[r.b] = math.log10(r.n + r.v + 1)
     frequent = {bytes(r.word): math.log10(r.n + 1) for r in _frequent(counts).collect()}
-    model = Model(table, width, bucket_log, frequent, total, words, _learn_letters(counts, words))
-    return model, _learn_start(slim, model, size.rows), counts
+    model = Model(table, width, bucket_log, frequent, total, words, _learn_letters(counts))
+    return model, _learn_start(slim, rest, width), counts
 
 
 def _frequent(counts: DataFrame, most: int | None = None) -> DataFrame:
@@ -318,42 +328,43 @@ def _frequent(counts: DataFrame, most: int | None = None) -> DataFrame:
     return counts.where(F.lit(False) if least is None else band >= least)
 
 
-def _share(chosen: Column, part: int, whole: int) -> Column:
-    """True for about ``part`` of ``whole`` values of a hash."""
-    return F.pmod(chosen, F.lit(1 << 30)) < max(1, min(1 << 30, (part << 30) // max(1, whole)))
+def _learn_letters(counts: DataFrame) -> list[np.ndarray]:
+    """The tables of letters of all distinct training words, counted by many tasks and summed up chunk by chunk."""
 
-
-def _learn_letters(counts: DataFrame, words: int) -> list[np.ndarray]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = letter_tables([w for batch in batches for w in batch.column(0).to_pylist() if w])
-        yield pa.RecordBatch.from_arrays([pa.array([_squeezed(t) for t in tables])], ["table"])
-
-    chosen = counts.where(_share(F.xxhash64("word"), SPELL_WORDS, words)).select("word").repartition(1)
-    found = chosen.mapInArrow(run, "table binary").collect()
-    return [_loosened(bytes(r.table), 2 << w, "<i2") for r, w in zip(found, SPELL_BITS)] or letter_tables([])
-
+        tables = [np.zeros(2 << w, np.uint32) for w in SPELL_BITS]
+        for batch in pieces(batches, 4096):
+            letter_counts(tables, [w for w in batch.column(0).to_pylist() if w])
+        parts = np.concatenate(tables).reshape(-1, 2 << CHUNK_BITS)
+        for k in range(len(parts)):
+            if parts[k].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_packed(parts[k])], pa.binary())], ["chunk", "data"])
 
-def _learn_start(slim: DataFrame, model: Model, rows: int) -> Start:
-    """``learn_start`` over some of the training documents set apart for it, in one task. Rows that repeat an id are one, with the least text."""
+    flat = np.zeros(sum(1 << w for w in SPELL_BITS), "<i2")
+    for row in _merged(counts.select("word").mapInArrow(run, "chunk int, data binary"), "chunk", last=True).collect():
+        flat[row.chunk << CHUNK_BITS : (row.chunk + 1) << CHUNK_BITS] = _loosened(bytes(row.data), 2 << CHUNK_BITS, "<i2")
+    return np.split(flat, np.cumsum([1 << w for w in SPELL_BITS])[:-1])
 
-    def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([weighs(i) for i in batch.column(0).to_pylist()], pa.bool_()))
 
-    shared = slim.sparkSession.sparkContext.broadcast(model)
+def _learn_start(slim: DataFrame, rest: np.ndarray, width: int) -> Start:
+    """Weights and map after reading every training document, by many tasks: the mean over segments, of each gate over those that moved it."""
+    shared = slim.sparkSession.sparkContext.broadcast((rest, width))  # a table of bounded size
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((i, t) for batch in batches for i, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1))))
-        start = learn_start(shared.value, [t for _, t in rows])
-        yield pa.RecordBatch.from_arrays([pa.array([start.weights.tobytes()]), pa.array([start.refined.tobytes()])], ["weights", "refined"])
+        lexicon, sums = _Lexicon({}), _no_sums()
+        for batch in pieces(batches, LANES):
+            if len(lexicon) > FLUSH:
+                lexicon.clear()
+            read_sums(*shared.value, [t for i, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1))) if not is_held_out(i)], lexicon, sums)
+        places = np.flatnonzero(sums[1])
+        yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(sums[0][places]), pa.array(sums[1][places])], ["place", "total", "moved"])
 
-    some = slim.where(_share(F.xxhash64("doc_id", F.lit("start")), WEIGHT_DOCS * WEIGHT_SHARE, rows)).mapInArrow(chosen, "doc_id long, text string")
-    few = some.groupBy("doc_id").agg(F.min("text").alias("text")).repartition(1)
-    found = few.mapInArrow(run, "weights binary, refined binary").first()
-    shared.unpersist()
-    if found is None:
-        return Start(_hand_weights(), _hand_map())
-    return Start(np.frombuffer(bytes(found.weights), np.float32).reshape(GATES, 4), np.frombuffer(bytes(found.refined), np.float32))
+    found = slim.mapInArrow(run, "place long, total long, moved long").groupBy("place").agg(F.sum("total").alias("total"), F.sum("moved").alias("moved")).collect()  # a row for each weight
+    shared.destroy()
+    sums = _no_sums()
+    for r in found:
+        sums[0][r.place], sums[1][r.place] = r.total, r.moved
+    return mean_start(sums)
 
 
 def _hand_weights() -> np.ndarray:
@@ -390,9 +401,17 @@ def expectations(bits: np.ndarray, second: np.ndarray, starts: np.ndarray, sizes
     return expected, met
 
 
-def mixed_bits(model: Model, start: Start, tokens: tuple[np.ndarray, ...], starts: np.ndarray, lengths: np.ndarray, learned: list | None = None) -> np.ndarray:
+def mixed_bits(model: Model, start: Start, tokens: tuple[np.ndarray, ...], starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """log10 probability of the bits of each segment; ``starts`` and ``lengths`` say where segments lie among ``tokens`` (bits, first, second,
-    expected, met). ``learned``, if given, receives the weights and the map at the end of each segment."""
+    expected, met)."""
+    return _mixed(model.table, model.width, start, tokens, starts, lengths)
+
+
+def _mixed(
+    table: np.ndarray, width: int, start: Start, tokens: tuple[np.ndarray, ...], starts: np.ndarray, lengths: np.ndarray, learned: list | None = None
+) -> np.ndarray:
+    """``mixed_bits`` by one table. ``learned``, if given, receives the weights and the map at the end of each segment, and ``table`` then is that of
+    ``_without_one``: the text is one that was counted, and is read as if each occurrence had not been."""
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
     lanes = len(starts)
@@ -407,7 +426,8 @@ def mixed_bits(model: Model, start: Start, tokens: tuple[np.ndarray, ...], start
             active -= 1
         at = starts[:active] + t
         b = bits[at]
-        found = [model.table[s] for s in _slots(b, first[at], second[at], model.width)]  # of each predictor: decision, lane
+        answers, slots = _answers(b), _slots(b, first[at], second[at], width)
+        found = [table[s if learned is None else 2 * s + answers] for s in slots]  # of each predictor: decision, lane
         logits = [(f >> 2).astype(np.float32) * np.float32(1 / 256) for f in found]
         gate = np.arange(active) * GATES + ((found[1] & 3) * 4 + (found[2] & 3))
         few = np.flatnonzero(known[at])  # few texts expect anything; a bit is expected as long as all before it were right
@@ -415,7 +435,7 @@ def mixed_bits(model: Model, start: Start, tokens: tuple[np.ndarray, ...], start
         agreed = ((b[few] ^ hoped) >> (BITS - np.arange(BITS)[:, None])) == 0
         hope = ((2 * _answers(hoped) - 1) * EXPECTED).astype(np.float32)
         gate[:, few] += 16 * agreed
-        answer = _answers(b).astype(np.float32)
+        answer = answers.astype(np.float32)
         lane = np.arange(active, dtype=np.int32) * MAP_CELLS
         final = np.empty((BITS, active), np.float32)
         for k in range(BITS):
@@ -459,24 +479,35 @@ def _segments(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, starts[doc] + within * SEGMENT, np.minimum(SEGMENT, sizes[doc] - within * SEGMENT)
 
 
-def learn_start(model: Model, texts: list[bytes], rounds: int = 2) -> Start:
-    """Weights and map after reading some texts: the mean over texts, of each gate over those that moved it, read again from there ``rounds`` times."""
-    start, lexicon = Start(_hand_weights(), _hand_map()), _Lexicon({})
+def _no_sums() -> tuple[np.ndarray, np.ndarray]:
+    """(sum in units of ``GRAIN``, segments that moved it) of each weight and then of each cell of the map."""
+    return np.zeros(GATES * 4 + MAP_CELLS, np.int64), np.zeros(GATES * 4 + MAP_CELLS, np.int64)
+
+
+def read_sums(rest: np.ndarray, width: int, texts: list[bytes], lexicon: _Lexicon, sums: tuple[np.ndarray, np.ndarray]) -> None:
+    """Adds to ``sums`` what weights and map are after reading each segment of training texts."""
     tokens = [_tokens(t) for t in texts]
     if not tokens:
-        return start
+        return
     sizes = np.array([len(w) for w in tokens])
     starts = np.cumsum(sizes) - sizes
     numbers = np.concatenate([lexicon.numbers(w) for w in tokens])
     bits, first, second = _contexts(lexicon.code[numbers], starts)
-    known = (bits, first, second, *expectations(bits, second, starts, sizes))
-    for _ in range(rounds):
-        learned: list = []
-        mixed_bits(model, start, known, *_segments(sizes)[1:], learned)
-        moved = [(after != before) for after, before in zip(learned, (start.weights, start.refined))]
-        means = [np.where(m.any(axis=0), (after * m).sum(axis=0) / np.maximum(m.sum(axis=0), 1), before) for after, m, before in zip(learned, moved, (start.weights, start.refined))]
-        start = Start(*(x.astype(np.float32) for x in means))
-    return start
+    hand, learned = Start(_hand_weights(), _hand_map()), []
+    _mixed(rest, width, hand, (bits, first, second, *expectations(bits, second, starts, sizes)), *_segments(sizes)[1:], learned)
+    at = 0
+    for after, before in zip(learned, (hand.weights, hand.refined)):
+        moved, size = after != before, before.size
+        sums[0][at : at + size] += np.where(moved, np.rint(after / np.float32(GRAIN)), 0).astype(np.int64).sum(axis=0).ravel()
+        sums[1][at : at + size] += moved.sum(axis=0).ravel()
+        at += size
+
+
+def mean_start(sums: tuple[np.ndarray, np.ndarray]) -> Start:
+    total, moved = sums
+    hand = np.concatenate([_hand_weights().ravel(), _hand_map()])
+    mean = np.where(moved > 0, total * GRAIN / np.maximum(moved, 1), hand).astype(np.float32)
+    return Start(mean[: GATES * 4].reshape(GATES, 4), mean[GATES * 4 :])
 
 
 def _score(shared):

@@ -499,6 +499,41 @@ def brute_scores(model, start, text):
     return total
 
 
+def test_lm_learns_from_every_training_document(spark):
+    """Tables, starting weights and letters, each against all training texts read at once."""
+    rng = random.Random(31)
+    made = [(i, " ".join(f"w{int(rng.paretovariate(0.8)) % 500}" for _ in range(rng.randrange(1, 300)))) for i in range(200)]
+    model, start, _ = lm.train(spark.createDataFrame(made, "doc_id long, text string").repartition(5), Scratch(spark, "t"))
+    texts = [t.encode() for i, t in made if not lm.is_held_out(i)]
+    table = np.zeros(2 * lm._slot_count(model.width), np.int64)
+    for t in texts:
+        codes = np.array([xxhash.xxh64_intdigest(w, 42) for w in lm._tokens(t)], np.uint64)
+        bits, first, second = lm._contexts(codes, np.array([0]))
+        for slots in lm._slots(bits, first, second, model.width):
+            np.add.at(table, (2 * slots + lm._answers(bits)).ravel(), 1)
+    assert (lm._predictor(table) == model.table).all()
+    sums = lm._no_sums()
+    for t in texts:
+        lm.read_sums(lm._without_one(table), model.width, [t], lm._Lexicon({}), sums)
+    want = lm.mean_start(sums)
+    assert np.allclose(start.weights, want.weights, atol=1e-5) and np.allclose(start.refined, want.refined, atol=1e-5) and not (start.weights == lm._hand_weights()).all()
+    words = sorted({w for t in texts for w in t.split()})
+    assert all((a == b).all() for a, b in zip(model.letters, lm.letter_tables(words)))
+
+
+def test_lm_reads_a_counted_text_as_if_it_had_not_been_counted():
+    counts = np.array([0, 1, 3, 0, 5, 2, 0, 0])
+    rest = lm._without_one(counts)
+    for slot, (n0, n1) in enumerate(counts.reshape(-1, 2)):
+        assert rest[2 * slot] == lm._predictor(np.array([max(n0 - 1, 0), n1]))[0] and rest[2 * slot + 1] == lm._predictor(np.array([n0, max(n1 - 1, 0)]))[0]
+
+
+def test_lm_letters_come_from_all_words(spark):
+    counts = spark.range(120_000).selectExpr("cast(concat('w', id * 7919) as binary) AS word", "1L AS n").repartition(4)
+    want = lm.letter_tables([f"w{i * 7919}".encode() for i in range(120_000)])
+    assert all((a == b).all() for a, b in zip(lm._learn_letters(counts), want))
+
+
 def test_lm_mixing_is_that_of_the_definition(spark):
     rng = random.Random(13)
     word = lambda: f"w{int(rng.paretovariate(0.8)) % 500}"
