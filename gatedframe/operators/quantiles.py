@@ -16,6 +16,8 @@ IN_MEMORY = 2_000_000
 ACCURACY = 10_000
 #: Marks of the second sketch.
 MARKS = 1000
+#: Rows from which a group counts as large.
+LARGE = 1_000_000
 
 
 def quantiles(df: DataFrame, keys: dict[str, Column], value: Column, fractions: list[float], out: str, rows: int) -> DataFrame:
@@ -41,9 +43,9 @@ def _bracketed(values: DataFrame, keys: list[str], fractions: list[float], out:
         )
         for i, f in enumerate(fractions)
     ]
-    brackets = sketched.select(*keys, F.array(*parts).alias("_parts"))
+    brackets = sketched.select(*keys, F.array(*parts).alias("_parts"), (F.col("_n") >= LARGE).alias("_large"))
     # rows below a bracket count together, those within it make the second sketch, those above are passed over
-    by = [*keys, F.col("p.i").alias("i"), F.col("p.at").alias("at")]
+    by = [*keys, "_large", F.col("p.i").alias("i"), F.col("p.at").alias("at")]
     ends = [F.min("p.lo").alias("lo"), F.max("p.hi").alias("hi")]
     met = _within(values, brackets, keys)
     inner = met.groupBy(*by).agg(*ends, F.count("_in").alias("m"), F.count_if(F.col("_in").isNull()).alias("below"), F.percentile_approx("_in", [k / MARKS for k in range(MARKS + 1)], ACCURACY).alias("marks"))
@@ -53,7 +55,7 @@ def _bracketed(values: DataFrame, keys: list[str], fractions: list[float], out:
     narrow = F.struct(
         "i", "at", F.when(many & (left > 0), F.get("marks", left)).otherwise(F.col("lo")).alias("lo"), F.when(many & (right < MARKS), F.get("marks", right)).otherwise(F.col("hi")).alias("hi")
     )
-    brackets = inner.groupBy(*keys).agg(F.collect_list(narrow).alias("_parts"))  # one for each fraction
+    brackets = inner.groupBy(*keys, "_large").agg(F.collect_list(narrow).alias("_parts"))  # one for each fraction
     counted = _within(values, brackets, keys).groupBy(*keys, F.col("p.i").alias("_i"), F.col("p.at").alias("_at"), F.col("_in").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
     through = F.sum("_n").over(Window.partitionBy(*keys, "_i").orderBy(F.col("_x").asc_nulls_first()))
     ranked = counted.withColumn("_through", through)
@@ -65,8 +67,18 @@ def _bracketed(values: DataFrame, keys: list[str], fractions: list[float], out:
 
 
 def _within(values: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, p, _in) for each value and bracket p of its group that it doesn't lie above; _in is null below the bracket."""
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    met = values.alias("l").join(brackets.alias("r"), same) if keys else values.alias("l").withColumn("_parts", brackets.scalar())
-    met = met.select(*(F.col(f"l.{k}").alias(k) for k in keys), "_x", F.explode("_parts").alias("p")).where("_x <= p.hi")
-    return met.select(*keys, "p", F.when(F.col("_x") >= F.col("p.lo"), F.col("_x")).alias("_in"))
+    """(keys, _large, p, _in) for each value and bracket p of its group that it doesn't lie above; _in is null below the bracket.
+
+    Brackets of large groups, at most one for each ``LARGE`` rows of the table, are sent to where the values lie. Only values of other groups are shuffled, so that no task has all rows of a
+    large one to sort.
+    """
+    if not keys:
+        met = values.withColumns({"_parts": brackets.select("_parts").scalar(), "_large": F.lit(True)})
+    else:
+        same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+        parts = [*(F.col(f"l.{k}").alias(k) for k in keys), "_x", "r._parts", "r._large"]
+        large, small = brackets.where("_large"), brackets.where("NOT _large")
+        rest = values.alias("l").join(F.broadcast(large.select(*keys)).alias("r"), same, "left_anti").alias("l")
+        met = values.alias("l").join(F.broadcast(large).alias("r"), same).select(*parts).union(rest.join(small.alias("r"), same).select(*parts))
+    met = met.select(*keys, "_large", "_x", F.explode("_parts").alias("p")).where("_x <= p.hi")
+    return met.select(*keys, "_large", "p", F.when(F.col("_x") >= F.col("p.lo"), F.col("_x")).alias("_in"))
