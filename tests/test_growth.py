@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gatedframe.functions import coerce
+from gatedframe.model import BOOLEAN, DATE, NUMBER
 from gatedframe.operators import quantiles
 
 
@@ -26,3 +28,17 @@ def test_rows_of_large_groups_are_not_shuffled_for_a_median(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
     assert plan.count("BroadcastHashJoin") >= 4  # of large groups, and of the others without them, twice
+
+
+def test_the_code_that_tells_types_is_one_for_all_columns(spark):
+    cells = ["", " null", "n/a", None, "yes", " No ", "true", "2020-01-31", "2020/02/31", " 2021-01-01T10:00:00.5+0530 ", "2020-13-01", "1999-1-1", "12", "-$1,200.5", "($ 3)", "(4)", ".5", "+7", "€ 8", "1e5", "1e999", "5%", "one", "()", "(x)", "0000-01-01", "- £9", "﻿7"]
+    df = spark.createDataFrame([(c, "x", "1") for c in cells], "a string, b string, c string")
+    seen = coerce.type_counts(df, ["a", "b", "c"]).first()
+    filled = [c for c in cells if c is not None and coerce.trim(c).lower() not in coerce.NULLISH]
+    reads = {BOOLEAN: [c for c in filled if coerce.filter_value(c, BOOLEAN)[0]], NUMBER: [c for c in filled if coerce.number_value(c) is not None]}
+    read = df.select(*(F.count_if(coerce.coerce(F.col("a"), kind).isNotNull()) for kind in (BOOLEAN, DATE, NUMBER))).first()
+    assert [seen["0_0"], seen["0_1"], seen["0_3"]] == [len(filled), len(reads[BOOLEAN]), len(reads[NUMBER])] and tuple(read) == tuple(seen[f"0_{j}"] for j in (1, 2, 3))
+    assert [seen[f"1_{j}"] for j in range(4)] == [len(cells), 0, 0, 0] and [seen[f"2_{j}"] for j in range(4)] == [len(cells), 0, 0, len(cells)]
+    patterns = lambda *columns: coerce.type_counts(df, list(columns))._jdf.queryExecution().optimizedPlan().toString().count("RLIKE")
+    assert patterns("a", "b", "c") == patterns("a")
+    assert [coerce.type_counts(df.limit(0), ["a"]).first()[f"0_{j}"] for j in range(4)] == [0] * 4
