@@ -27,6 +27,8 @@ from gatedframe.errors import QueryError
 MOST_SPLITS = 500_000
 #: Records that leave a task together.
 FLUSH = 4096
+#: Lines at the end of a batch that may belong to a record which ends in the next one, for the others to be cut at once.
+TAIL = 4
 MARKS = re.compile(rb'["\r\n]')
 PIECES = "key string, start long, idx long, kind int, fields array<string>, raw binary"
 #: Kinds of pieces: a record; the end of one that began in an earlier split, or all of a split within it; the beginning of one that ends later.
@@ -64,7 +66,7 @@ class Grammar:
         return self._built(r'(?:"((?:[^"]++|"")*+)(?:"([^S\r\n]*+)|\Z)|([^"S\r\n][^S\r\n]*+|))(S|\r\n|\r|\n|\Z)')
 
     def ends_inside(self, line: bytes, inside: bool) -> bool:
-        """Whether quotes are open behind a line."""
+        """Whether quotes are open behind a line, or behind several with what ends them in between."""
         if b'"' not in line:
             return inside
         found = (self.inside if inside else self.outside).match(line)
@@ -88,6 +90,17 @@ class Grammar:
                 record = []
 
 
+    def closed_records(self, text: bytes) -> Iterator[list[str]]:
+        """``records`` of a text that ends with a line end outside quotes."""
+        record, mark = [], self.separator.encode()
+        for quoted, rest, plain, stop in self.field.findall(text):
+            if stop or plain:
+                record.append((plain or quoted.replace(b'""', b'"') + rest).decode("utf-8", "replace"))
+            if record and stop != mark:
+                yield record
+                record = []
+
+
 @functools.lru_cache(256)
 def grammar(separator: str, unit: str) -> Grammar:
     return Grammar(separator, unit)
@@ -143,10 +156,11 @@ def _ends(grammars: dict[str, Grammar], whole: Grammar | None):
             now = seen.setdefault(at, [False, True, 0, int(lines.column(2)[0].as_py())])
             now[2] += (pc.sum(pc.binary_length(values)).as_py() or 0) + lines.num_rows
             quoted = values.filter(pc.match_substring(values, b'"'))
-            for line in quoted.to_pylist():
-                same = now[0] == now[1]
-                now[0] = g.ends_inside(line, now[0])
-                now[1] = now[0] if same else g.ends_inside(line, now[1])
+            if not len(quoted):
+                continue
+            text, same = g.unit.encode().join(quoted.to_pylist()), now[0] == now[1]  # lines without a quote change nothing
+            now[0] = g.ends_inside(text, now[0])
+            now[1] = now[0] if same else g.ends_inside(text, now[1])
         rows = [(key, start, *state) for (key, start), state in seen.items()]
         kinds = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["key", "start", "outside", "inside", "bytes", "size"])
@@ -215,11 +229,28 @@ class _Cutter:
                 yield self.flushed()
             yield fields
             return
-        for value in body.to_pylist():
+        values = body.to_pylist()
+        done = self._closed(values)
+        if len(self.out) >= FLUSH:
+            yield self.flushed()
+        for value in values[done:]:
             self.line(value, self.unit)
             if len(self.out) >= FLUSH:
                 yield self.flushed()
 
+    def _closed(self, values: list[bytes]) -> int:
+        """Cuts, all at once, as many lines as end outside quotes but for ``TAIL`` at most, and says how many; none where that many don't."""
+        if self.inside or self.open or self.unit != b"\n":
+            return 0
+        for n in range(len(values), max(0, len(values) - TAIL), -1):
+            text = b"\n".join(values[:n]) + b"\n"
+            if not self.g.ends_inside(text, False):
+                for fields in self.g.closed_records(text):
+                    self._emit(fields)
+                self.after_unit = True
+                return n
+        return 0
+
     def _plain(self, values: pa.Array) -> pa.RecordBatch | None:
         """Lines of UTF-8 without a quote or CR, which Arrow splits alone; None if they hold one."""
         if not len(values) or pc.any(pc.match_substring_regex(values, r'["\r]')).as_py():

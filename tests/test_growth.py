@@ -2,12 +2,14 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gatedframe.functions import coerce
 from gatedframe.model import BOOLEAN, DATE, NUMBER
 from gatedframe.operators import quantiles
+from gatedframe.sources import quoted
 
 
 def test_rows_of_large_groups_are_not_shuffled_for_a_median(spark, monkeypatch):
@@ -42,3 +44,47 @@ def test_the_code_that_tells_types_is_one_for_all_columns(spark):
     patterns = lambda *columns: coerce.type_counts(df, list(columns))._jdf.queryExecution().optimizedPlan().toString().count("RLIKE")
     assert patterns("a", "b", "c") == patterns("a")
     assert [coerce.type_counts(df.limit(0), ["a"]).first()[f"0_{j}"] for j in range(4)] == [0] * 4
+
+
+def made(rng):
+    cell = lambda: rng.choice(["", "a", "bc", '"a\n""b;"', '""', '"x"y', 'z"', '"\n\n"', "é", '"a;\r\nb"'])
+    return "".join(";".join(cell() for _ in range(rng.randrange(1, 4))) + rng.choice(["\n", "\n", "\r\n", "\r", "\n\n"]) for _ in range(rng.randrange(1, 40)))
+
+
+def cut(lines, sizes):
+    cutter, out = quoted._Cutter(quoted.grammar(";", "\n"), ("f", 0), False, True, True), []
+    at = 0
+    for n in sizes:
+        if part := lines[at : at + n]:
+            out += [r for b in cutter.lines(pa.array(part, pa.binary())) for r in b.to_pylist()]
+        at += n
+    return [(r["idx"], r["kind"], r["fields"]) for r in out + cutter.finished().to_pylist()]
+
+
+def test_lines_cut_at_once_are_cut_as_one_by_one(monkeypatch):
+    rng = random.Random(5)
+    for _ in range(300):
+        text = made(rng)
+        lines = (text if text.endswith("\n") else text + "\n").encode().split(b"\n")[:-1]
+        sizes = [rng.randrange(1, 12) for _ in lines]
+        got = cut(lines, sizes)
+        with monkeypatch.context() as m:
+            m.setattr(quoted._Cutter, "_closed", lambda self, values: 0)
+            assert got == cut(lines, sizes)
+
+
+def test_quotes_are_followed_through_a_batch_by_two_matches(monkeypatch):
+    rng = random.Random(6)
+    g = quoted.grammar(";", "\n")
+    for _ in range(200):
+        lines = made(rng).encode().split(b"\n")
+        want = [False, True]
+        for line in lines:
+            want = [g.ends_inside(line, w) for w in want]
+        calls = []
+        with monkeypatch.context() as m:
+            m.setattr(quoted.Grammar, "ends_inside", lambda self, line, inside, f=quoted.Grammar.ends_inside: calls.append(line) or f(self, line, inside))
+            n = len(lines)
+            batch = pa.RecordBatch.from_arrays([pa.array(["f"] * n), pa.array([0] * n, pa.int64()), pa.array([99] * n, pa.int64()), pa.array(lines, pa.binary())], ["key", "start", "size", "value"])
+            (found,) = quoted._ends({}, g)([batch])
+        assert [found.column("outside")[0].as_py(), found.column("inside")[0].as_py()] == want and len(calls) <= 2
