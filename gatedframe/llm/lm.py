@@ -52,12 +52,15 @@ SPELL_BITS = (16, 18, 20)
 GRAIN = 2.0**-20
 #: Words whose counts travel with the model, at most; the others' counts are joined.
 FREQUENT = 1 << 17
-#: Entries of a task's dictionaries before they are emptied.
-FLUSH = 250_000
+#: Words that a task counts before it hands them on.
+FLUSH = 500_000
 END = b""
 START = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _STEP = np.uint64(0xA0761D6478BD642F)
+#: Constants of xxh64, and the bytes that part words.
+_P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -89,28 +92,101 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(_loosened(data, 8 << CHUNK_BITS, "u1").reshape(4, -1).T).view("<u4").ravel()
 
 
-class _Lexicon(dict):
-    """Word to number; code[number] is its hash, known[number] its log10(count + 1) or NaN where the model doesn't carry it."""
+def _tokens(text: bytes) -> list[bytes]:
+    return [*text.translate(ASCII_LOWER).split(), END]
 
-    def __init__(self, logs: dict[bytes, float]):
-        self.logs = logs
-        self.code, self.known = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16)
 
-    def __missing__(self, word: bytes) -> int:
-        n = len(self)
-        if n == len(self.code):
-            self.code, self.known = np.concatenate([self.code, self.code]), np.concatenate([self.known, self.known])
-        self.code[n] = xxhash.xxh64_intdigest(word, 42)
-        self.known[n] = self.logs.get(word, math.nan)
-        self[word] = n
-        return n
+def _turned(h: np.ndarray, by: int) -> np.ndarray:
+    return (h << np.uint64(by)) | (h >> np.uint64(64 - by))
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
+def _hashes(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """xxh64 with seed 42 of words that lie in ``flat``, behind which are 8 bytes more; all words at once, those of 32 bytes and more by the library."""
+    eights = np.ndarray((len(flat) - 7,), "<u8", flat.data, strides=(1,))
+    h = lengths.astype(np.uint64) + np.uint64(42 + _P5 & 0xFFFFFFFFFFFFFFFF)
+    for k in range(3):
+        if not len(some := np.flatnonzero(lengths >= 8 * (k + 1))):
+            break
+        lane = eights[starts[some] + 8 * k] * np.uint64(_P2)
+        h[some] = _turned(h[some] ^ (_turned(lane, 31) * np.uint64(_P1)), 27) * np.uint64(_P1) + np.uint64(_P4)
+    rest = eights[starts + (lengths & ~7)]  # fewer than 8 bytes are left of each
+    some = np.flatnonzero(lengths & 4)
+    h[some] = _turned(h[some] ^ ((rest[some] & np.uint64(0xFFFFFFFF)) * np.uint64(_P1)), 23) * np.uint64(_P2) + np.uint64(_P3)
+    rest[some] >>= np.uint64(32)
+    for k in range(3):
+        some = np.flatnonzero((lengths & 3) > k)
+        h[some] = _turned(h[some] ^ (((rest[some] >> np.uint64(8 * k)) & np.uint64(255)) * np.uint64(_P5)), 11) * np.uint64(_P1)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(_P2)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(_P3)
+    h ^= h >> np.uint64(32)
+    for k in np.flatnonzero(lengths >= 32).tolist():
+        h[k] = xxhash.xxh64_intdigest(flat[starts[k] : starts[k] + lengths[k]].tobytes(), 42)
+    return h
 
-def _tokens(text: bytes) -> list[bytes]:
-    return [*text.translate(ASCII_LOWER).split(), END]
+
+@dataclass
+class _Cut:
+    """Where the tokens of texts that follow each other, as ``_tokens`` cuts them, lie in ``data``, and how many each text has. No word becomes a Python object."""
+
+    data: bytes
+    begins: np.ndarray
+    lengths: np.ndarray
+    sizes: np.ndarray
+
+    def codes(self) -> np.ndarray:
+        flat, codes = np.frombuffer(self.data, np.uint8), np.empty(len(self.begins), np.uint64)
+        for at in range(0, len(codes), PART):
+            codes[at : at + PART] = _hashes(flat, self.begins[at : at + PART], self.lengths[at : at + PART])
+        return codes
+
+
+def _cut(texts: list[bytes]) -> _Cut:
+    data = b" ".join([b"", *texts, bytes(8)]).translate(ASCII_LOWER)
+    gap = SPACES.take(np.frombuffer(data, np.uint8))
+    starts = np.flatnonzero(gap[:-1] & ~gap[1:])[:-1] + 1  # but for the bytes behind the texts
+    words = np.diff(np.searchsorted(starts, np.cumsum([1] + [len(t) + 1 for t in texts])))
+    place = np.arange(len(starts)) + np.repeat(np.arange(len(texts)), words)
+    begins, lengths = np.zeros((2, len(starts) + len(texts)), np.int64)  # a text's end has no bytes
+    begins[place], lengths[place] = starts, np.flatnonzero(~gap[:-1] & gap[1:]) + 1 - starts
+    return _Cut(data, begins, lengths, words + 1)
+
+
+class _Lexicon:
+    """log10(count + 1) of the words that the model carries, found by the hash and then by the bytes of a word."""
+
+    def __init__(self, logs: dict[bytes, float]):
+        self.data = b"".join([*logs, bytes(8)])
+        lengths = np.array([len(w) for w in logs], np.int64)
+        begins = np.cumsum(lengths) - lengths
+        codes = _hashes(np.frombuffer(self.data, np.uint8), begins, lengths)
+        order = np.argsort(codes)
+        self.codes, self.begins, self.lengths, self.logs = codes[order], begins[order], lengths[order], np.array([*logs.values()], np.float64)[order]
+        self.first = np.searchsorted(self.codes >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64))  # by the upper 20 bits
+
+    def _same(self, cut: _Cut, tokens: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Whether tokens are these words, eight bytes at a time."""
+        ours, theirs = (np.ndarray((len(d) - 7,), "<u8", d, strides=(1,)) for d in (self.data, cut.data))
+        same, left = self.lengths[words] == cut.lengths[tokens], np.arange(len(tokens))
+        for k in range(0, int(self.lengths[words].max(initial=0)), 8):
+            left = left[same[left] & (self.lengths[words[left]] > k)]
+            size = np.minimum(self.lengths[words[left]] - k, 8).astype(np.uint64)
+            differ = ours[self.begins[words[left]] + k] ^ theirs[cut.begins[tokens[left]] + k]
+            same[left] = (differ << ((np.uint64(8) - size) * np.uint64(8))) == 0
+        return same
+
+    def known(self, cut: _Cut, codes: np.ndarray) -> np.ndarray:
+        """Of each token; NaN where the model doesn't carry the word."""
+        found = np.full(len(codes), math.nan)
+        top = (codes >> np.uint64(44)).view(np.int64)
+        at, stop, left = self.first[top], self.first[top + 1], np.arange(len(codes))
+        while len(left := left[at[left] < stop[left]]):
+            hit = left[self.codes[at[left]] == codes[left]]
+            hit = hit[self._same(cut, hit, at[hit])]
+            found[hit] = self.logs[at[hit]]
+            at[left] += 1
+        return found
 
 
 def _contexts(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,6 +199,16 @@ def _contexts(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return (codes >> np.uint64(64 - BITS)).astype(np.int64), first, (first ^ (two >> np.uint64(7))) * _STEP + two
 
 
+def _within() -> tuple[np.ndarray, np.ndarray]:
+    """(answers, steps within a group) of the decisions of all bits, a row per decision."""
+    every, depth = np.arange(1 << BITS), np.arange(BITS)[:, None]
+    node = (1 << (depth & 3)) | ((every >> (BITS - depth)) & ((1 << (depth & 3)) - 1))
+    return ((every >> (BITS - 1 - depth)) & 1).astype(np.uint8), (node * 5 & 15).astype(np.uint8)
+
+
+ANSWERS, WITHIN = _within()
+
+
 def _slots(bits: np.ndarray, first: np.ndarray, second: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(slots of the bits alone, of one word, of two words), each with a row per decision; ``width``: log2 of the slots of a table.
 
@@ -132,19 +218,25 @@ def _slots(bits: np.ndarray, first: np.ndarray, second: np.ndarray, width: int)
     depth = np.arange(BITS)[:, None]
     node = (1 << depth) | (bits >> (BITS - depth))
     salt = node[::4].astype(np.uint64) * _STEP
-    within = ((1 << (depth & 3)) | (node & ((1 << (depth & 3)) - 1))) * 5
+    within = WITHIN.take(bits, axis=1).reshape(BITS // 4, 4, -1)
     down = np.uint64(64 - width + 4)
 
     def hashed(context: np.ndarray, base: int) -> np.ndarray:
-        h = (context ^ salt) * _MIX
-        group, turn = ((h >> down) << np.uint64(4)).view(np.int64) + base, ((h >> np.uint64(20)) & np.uint64(15)).view(np.int64)
-        return np.repeat(group, 4, axis=0) + ((np.repeat(turn, 4, axis=0) + within) & 15)
+        h = context ^ salt
+        h *= _MIX
+        turn = (h >> np.uint64(20)).astype(np.uint8)
+        h >>= down
+        h <<= np.uint64(4)
+        group = h.view(np.int64)
+        group += base
+        return (group[:, None] + ((turn[:, None] + within) & np.uint8(15))).reshape(BITS, -1)
 
-    return node + (2 << width), hashed(first, 0), hashed(second, 1 << width)
+    node += 2 << width
+    return node, hashed(first, 0), hashed(second, 1 << width)
 
 
 def _answers(bits: np.ndarray) -> np.ndarray:
-    return (bits >> (BITS - 1 - np.arange(BITS)[:, None])) & 1
+    return ANSWERS.take(bits, axis=1)
 
 
 def _gather(width: int):
@@ -153,16 +245,15 @@ def _gather(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["word", "n", "chunk", "data"], [pa.binary(), pa.int64(), pa.int32(), pa.binary()]
         rows = lambda *cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
-        lexicon, counts, table, alone = _Lexicon({}), Counter(), np.zeros(2 * _slot_count(width), np.uint32), np.zeros(1 << BITS, np.int64)
+        counts, table, alone = Counter(), np.zeros(2 * _slot_count(width), np.uint32), np.zeros(1 << BITS, np.int64)
         for batch in pieces(batches):
-            tokens = [_tokens(t) for i, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1))) if not is_held_out(i)]
-            if not tokens:
+            texts = [t for i, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1))) if not is_held_out(i)]
+            if not texts:
                 continue
-            for words in tokens:
-                counts.update(words)
-            numbers = np.concatenate([lexicon.numbers(words) for words in tokens])
-            starts = np.cumsum([0] + [len(w) for w in tokens[:-1]])
-            bits, first, second = _contexts(lexicon.code[numbers], starts)
+            for text in texts:
+                counts.update(_tokens(text))
+            cut = _cut(texts)
+            bits, first, second = _contexts(cut.codes(), np.cumsum(cut.sizes) - cut.sizes)
             alone += np.bincount(bits, minlength=1 << BITS)
             for at in range(0, len(bits), PART):
                 part = slice(at, at + PART)
@@ -172,8 +263,6 @@ def _gather(width: int):
             if len(counts) > FLUSH:
                 yield rows(list(counts), list(counts.values()), [None] * len(counts), [None] * len(counts))
                 counts.clear()
-            if len(lexicon) > FLUSH:
-                lexicon.clear()
         yield rows(list(counts), list(counts.values()), [None] * len(counts), [None] * len(counts))
         for depth in range(BITS):  # of the bits alone: nodes of a depth lie side by side, each with its two answers
             table[2 * ((2 << width) + (1 << depth)) :][: 2 << depth] = alone.reshape(2 << depth, -1).sum(axis=1)
@@ -351,11 +440,9 @@ def _learn_start(slim: DataFrame, rest: np.ndarray, width: int) -> Start:
     shared = slim.sparkSession.sparkContext.broadcast((rest, width))  # a table of bounded size
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, sums = _Lexicon({}), _no_sums()
+        sums = _no_sums()
         for batch in pieces(batches, LANES):
-            if len(lexicon) > FLUSH:
-                lexicon.clear()
-            read_sums(*shared.value, [t for i, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1))) if not is_held_out(i)], lexicon, sums)
+            read_sums(*shared.value, [t for i, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1))) if not is_held_out(i)], None, sums)
         places = np.flatnonzero(sums[1])
         yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(sums[0][places]), pa.array(sums[1][places])], ["place", "total", "moved"])
 
@@ -389,12 +476,25 @@ class Start:
     refined: np.ndarray
 
 
+def _stable_order(key: np.ndarray) -> np.ndarray:
+    """``argsort`` that keeps the order of equal keys: the upper bits of a key and its place are sorted as one number, unless different keys share these bits."""
+    place = np.uint64((1 << len(key).bit_length()) - 1)
+    both = (key & ~place) | np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    order = (both & place).view(np.int64)
+    both &= ~place
+    sorted_key = key.take(order)
+    if ((both[1:] == both[:-1]) & (sorted_key[1:] != sorted_key[:-1])).any():
+        return np.argsort(key, kind="stable")
+    return order
+
+
 def expectations(bits: np.ndarray, second: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(expected, met) of each token: the bits of the word that followed when its two words before were last met in the same document, and whether they were."""
     doc = np.repeat(np.arange(len(starts), dtype=np.uint64) * np.uint64(START), sizes)
     expected, met = np.zeros(len(bits), np.int64), np.zeros(len(bits), bool)
     key = (second ^ doc) * _MIX
-    order = np.argsort(key, kind="stable")
+    order = _stable_order(key)
     again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
     at = order[again + 1]
     expected[at], met[at] = bits[order[again]], True
@@ -415,8 +515,9 @@ def _mixed(
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
     lanes = len(starts)
-    weights = [np.tile(w, lanes) for w in start.weights.T]  # one array per predictor, with the gates of each lane
-    refined = np.tile(start.refined, lanes)
+    weights = np.repeat(start.weights, lanes, axis=0).ravel()  # of each gate the lanes, side by side, of each lane the predictors
+    gates = weights.view(np.complex128)  # four weights that are fetched and put back as one
+    refined = np.repeat(start.refined, lanes)
     rate, map_rate, share, one, limit, scale = map(np.float32, (RATE, MAP_RATE, MAP_SHARE, 1, LIMIT, MAP_CELLS / 28))
     bits, first, second, expected, known = tokens
     total = np.zeros(lanes)
@@ -425,46 +526,66 @@ def _mixed(
         while lengths[active - 1] <= t:
             active -= 1
         at = starts[:active] + t
-        b = bits[at]
-        answers, slots = _answers(b), _slots(b, first[at], second[at], width)
-        found = [table[s if learned is None else 2 * s + answers] for s in slots]  # of each predictor: decision, lane
-        logits = [(f >> 2).astype(np.float32) * np.float32(1 / 256) for f in found]
-        gate = np.arange(active) * GATES + ((found[1] & 3) * 4 + (found[2] & 3))
-        few = np.flatnonzero(known[at])  # few texts expect anything; a bit is expected as long as all before it were right
-        hoped = expected[at[few]]
-        agreed = ((b[few] ^ hoped) >> (BITS - np.arange(BITS)[:, None])) == 0
-        hope = ((2 * _answers(hoped) - 1) * EXPECTED).astype(np.float32)
-        gate[:, few] += 16 * agreed
+        b = bits.take(at)
+        answers = _answers(b)
+        inputs = np.zeros((BITS, active, 4), np.float32)  # what the predictors say
+        seen = np.zeros((BITS, active), np.int16)
+        for j, (s, shift) in enumerate(zip(_slots(b, first.take(at), second.take(at), width), (None, 2, 0))):
+            if learned is not None:
+                s <<= 1
+                s += answers
+            found = table.take(s)
+            if shift is not None:
+                seen += (found & 3) << shift
+            np.multiply((found >> 2).astype(np.float32), np.float32(1 / 256), out=inputs[:, :, j])
+        few = np.flatnonzero(known.take(at))  # few texts expect anything; a bit is expected as long as all before it were right
+        if len(few):
+            hoped = expected.take(at.take(few))
+            agreed = ((b.take(few) ^ hoped) >> (BITS - np.arange(BITS)[:, None])) == 0
+            inputs[:, few, 3] = np.where(agreed, (2.0 * _answers(hoped) - 1) * EXPECTED, 0)
+            seen[:, few] += 16 * agreed.astype(np.int16)
+        lane = np.arange(active)
+        gate = lane + seen.astype(np.int64) * lanes
         answer = answers.astype(np.float32)
-        lane = np.arange(active, dtype=np.int32) * MAP_CELLS
-        final = np.empty((BITS, active), np.float32)
+        mixed, mapped = np.empty((BITS, active), np.float32), np.empty((BITS, active), np.float32)
+        change = np.empty((active, 4), np.float32)
         for k in range(BITS):
-            g, y = gate[k], answer[k]
-            x = [f[k] for f in logits]
-            w = [v[g] for v in weights[:3]]
-            z = w[0] * x[0]
-            z += w[1] * x[1]
-            z += w[2] * x[2]
-            some = few[agreed[k]]
-            if len(some):
-                at_some, lean_some = g[some], hope[k][agreed[k]]
-                w_some = weights[3][at_some]
-                z[some] += w_some * lean_some
+            g, y, x, p, r = gate[k], answer[k], inputs[k], mixed[k], mapped[k]
+            w = gates.take(g).view(np.float32).reshape(active, 4)
+            np.multiply(w, x, out=change)
+            z = change[:, 0] + change[:, 1]
+            z += change[:, 2]
+            z += change[:, 3]
             np.minimum(np.maximum(z, -limit, out=z), limit, out=z)
-            p = one / (one + np.exp(-z))
-            step = rate * (y - p)
-            for v, now, lean in zip(weights, w, x):
-                v[g] = now + lean * step
-            if len(some):
-                weights[3][at_some] = w_some + lean_some * step[some]
-            cell = ((z + 14) * scale).astype(np.int32)
+            np.negative(z, out=p)
+            np.exp(p, out=p)
+            p += one
+            np.divide(one, p, out=p)
+            step = y - p
+            step *= rate
+            for j in range(4):
+                np.multiply(x[:, j], step, out=change[:, j])
+            w += change
+            gates[g] = w.view(np.complex128).ravel()
+            z += np.float32(14)
+            z *= scale
+            cell = z.astype(np.int64)
+            cell *= lanes
             cell += lane
-            r = refined[cell]
-            refined[cell] = r + map_rate * (y - r)
-            final[k] = p + share * (r - p)
-        total[:active] += np.log10(np.abs((1 - answer) - final).astype(np.float64).prod(axis=0))  # the answers' probabilities
+            refined.take(cell, out=r, mode="clip")
+            np.subtract(y, r, out=step)
+            step *= map_rate
+            step += r
+            refined[cell] = step
+        if learned is None:
+            mapped -= mixed
+            mapped *= share
+            mapped += mixed
+            np.subtract(1 - answer, mapped, out=mapped)
+            np.abs(mapped, out=mapped)
+            total[:active] += np.log10(np.multiply.reduce(mapped, axis=0, dtype=np.float64))  # the answers' probabilities
     if learned is not None:
-        learned += [np.stack(weights, axis=1).reshape(lanes, GATES, 4), refined.reshape(lanes, MAP_CELLS)]
+        learned += [weights.reshape(GATES, lanes, 4).transpose(1, 0, 2), refined.reshape(MAP_CELLS, lanes).T]
     out = np.zeros(lanes)
     out[order] = total
     return out
@@ -484,15 +605,14 @@ def _no_sums() -> tuple[np.ndarray, np.ndarray]:
     return np.zeros(GATES * 4 + MAP_CELLS, np.int64), np.zeros(GATES * 4 + MAP_CELLS, np.int64)
 
 
-def read_sums(rest: np.ndarray, width: int, texts: list[bytes], lexicon: _Lexicon, sums: tuple[np.ndarray, np.ndarray]) -> None:
+def read_sums(rest: np.ndarray, width: int, texts: list[bytes], _: _Lexicon | None, sums: tuple[np.ndarray, np.ndarray]) -> None:
     """Adds to ``sums`` what weights and map are after reading each segment of training texts."""
-    tokens = [_tokens(t) for t in texts]
-    if not tokens:
+    if not texts:
         return
-    sizes = np.array([len(w) for w in tokens])
+    cut = _cut(texts)
+    sizes = cut.sizes
     starts = np.cumsum(sizes) - sizes
-    numbers = np.concatenate([lexicon.numbers(w) for w in tokens])
-    bits, first, second = _contexts(lexicon.code[numbers], starts)
+    bits, first, second = _contexts(cut.codes(), starts)
     hand, learned = Start(_hand_weights(), _hand_map()), []
     _mixed(rest, width, hand, (bits, first, second, *expectations(bits, second, starts, sizes)), *_segments(sizes)[1:], learned)
     at = 0
@@ -515,24 +635,22 @@ def _score(shared):
         model, start = shared.value
         lexicon, nth = _Lexicon(model.frequent), TaskContext.get().partitionId() << 40
         for batch in pieces(batches, LANES):
-            if len(lexicon) > FLUSH:
-                lexicon.clear()
             ids, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
-            sizes, numbers, rare, rare_n = [], [], [], []
-            for text in texts:
-                words = _tokens(text)
-                found = lexicon.numbers(words)
-                odd = Counter([words[k] for k in np.flatnonzero(np.isnan(lexicon.known[found])).tolist()])
-                sizes.append(len(words))
-                numbers.append(found)
-                rare.append(list(odd))
-                rare_n.append(list(odd.values()))
-            if not sizes:
+            if not texts:
                 continue
-            flat, sizes = np.concatenate(numbers), np.array(sizes)
-            starts = np.cumsum(sizes) - sizes
-            logs = lexicon.known[flat]
-            bits, first, second = _contexts(lexicon.code[flat], starts)
+            cut = _cut(texts)
+            codes, sizes = cut.codes(), cut.sizes
+            starts, logs = np.cumsum(sizes) - sizes, lexicon.known(cut, codes)
+            odd = np.flatnonzero(np.isnan(logs))
+            words = [cut.data[a : a + n] for a, n in zip(cut.begins[odd].tolist(), cut.lengths[odd].tolist())]
+            bounds = np.searchsorted(odd, [*starts, len(logs)]).tolist()
+            rare, rare_n, ends = [], [], [0]
+            for a, b in zip(bounds, bounds[1:]):
+                counts = Counter(words[a:b])
+                rare += counts
+                rare_n += counts.values()
+                ends.append(len(rare))
+            bits, first, second = _contexts(codes, starts)
             doc, begins, lengths = _segments(sizes)
             scored = mixed_bits(model, start, (bits, first, second, *expectations(bits, second, starts, sizes)), begins, lengths)
             bucket = np.add.reduceat(model.bucket_log[bits], starts)
@@ -545,8 +663,8 @@ def _score(shared):
                 pa.array(np.add.reduceat((~np.isnan(logs)).astype(np.int64), starts)),
                 pa.array(np.add.reduceat(np.nan_to_num(logs), starts)),
                 pa.array(np.bincount(doc, scored, len(sizes)) - bucket),
-                pa.array(rare, pa.list_(pa.binary())),
-                pa.array(rare_n, pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare, pa.binary())),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare_n, pa.int64())),
             ]
             nth += len(ids)
             yield pa.RecordBatch.from_arrays(cols, ["nth", "doc_id", "n_bytes", "held_out", "n_tokens", "carried", "logs", "bits", "rare", "rare_n"])

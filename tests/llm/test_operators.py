@@ -528,6 +528,32 @@ def test_lm_reads_a_counted_text_as_if_it_had_not_been_counted():
         assert rest[2 * slot] == lm._predictor(np.array([max(n0 - 1, 0), n1]))[0] and rest[2 * slot + 1] == lm._predictor(np.array([n0, max(n1 - 1, 0)]))[0]
 
 
+
+def test_lm_cuts_hashes_and_knows_words_without_python_objects(monkeypatch):
+    rng = random.Random(5)
+    texts = [b"", b" ", b"  Ab\x0b\x0cC\t\n", bytes(9), b"\x85\xa0 \x1c", *(b"x" * n + b" " + b"Y" * n for n in range(70))]
+    texts += [bytes(rng.choice(b"aBc \n\x00\xff\t\x1f") for _ in range(rng.randrange(300))) for _ in range(200)]
+    words = [w for t in texts for w in lm._tokens(t)]
+    cut = lm._cut(texts)
+    assert cut.sizes.tolist() == [len(lm._tokens(t)) for t in texts]
+    assert cut.codes().tolist() == [xxhash.xxh64_intdigest(w, 42) for w in words]
+    logs = {w: float(n) for n, w in enumerate(sorted(set(words))) if n % 2}
+    want = np.array([logs.get(w, np.nan) for w in words])
+    assert np.array_equal(lm._Lexicon(logs).known(cut, cut.codes()), want, equal_nan=True)
+    hashes = lm._hashes
+    monkeypatch.setattr(lm, "_hashes", lambda *a: hashes(*a) & np.uint64(255 << 40))  # different words share hashes
+    few = dict([*logs.items()][::9])
+    want = np.array([few.get(w, np.nan) for w in words])
+    assert np.array_equal(lm._Lexicon(few).known(cut, cut.codes()), want, equal_nan=True)
+
+
+def test_lm_equal_keys_stay_in_order():
+    rng = np.random.default_rng(3)
+    for low in (1, 2, 1000):  # keys that differ only in the bits that places are put in, too
+        key = rng.integers(0, 40, 3000).astype(np.uint64) * np.uint64(1 << 58) + rng.integers(0, low, 3000).astype(np.uint64)
+        assert (lm._stable_order(key) == np.argsort(key, kind="stable")).all()
+
+
 def test_lm_letters_come_from_all_words(spark):
     counts = spark.range(120_000).selectExpr("cast(concat('w', id * 7919) as binary) AS word", "1L AS n").repartition(4)
     want = lm.letter_tables([f"w{i * 7919}".encode() for i in range(120_000)])
