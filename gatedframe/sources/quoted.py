@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,6 +30,8 @@ MOST_SPLITS = 500_000
 FLUSH = 4096
 #: Lines at the end of a batch that may belong to a record which ends in the next one, for the others to be cut at once.
 TAIL = 4
+#: Bytes from which on quotes are looked at all at once.
+LONG = 4096
 MARKS = re.compile(rb'["\r\n]')
 PIECES = "key string, start long, idx long, kind int, fields array<string>, raw binary"
 #: Kinds of pieces: a record; the end of one that began in an earlier split, or all of a split within it; the beginning of one that ends later.
@@ -69,9 +72,20 @@ class Grammar:
         """Whether quotes are open behind a line, or behind several with what ends them in between."""
         if b'"' not in line:
             return inside
+        if len(line) >= LONG:
+            text = np.frombuffer(line, np.uint8)
+            quotes = np.flatnonzero(text == 34)
+            if self.alternate(text, quotes, inside):
+                return bool(len(quotes) + inside & 1)
         found = (self.inside if inside else self.outside).match(line)
         return found is None or found.end() < len(line)
 
+    def alternate(self, text: np.ndarray, quotes: np.ndarray, inside: bool = False) -> bool:
+        """Whether each other quote of a text opens an empty field or is the second of a doubled one, so that all others close or are the first: open quotes are then told by counting."""
+        opening = quotes[int(inside) :: 2]
+        before = text[opening - (opening > 0)]
+        return bool(((opening == 0) | (before == ord(self.separator)) | (before == 10) | (before == 13) | ((before == 34) & (opening > 0))).all())
+
     def records(self, text: bytes) -> Iterator[list[str]]:
         """Records of a text that begins outside quotes. The last one needs no line end, and isn't one if it is an empty cell."""
         record, at, end, mark = [], 0, len(text), self.separator.encode()
@@ -136,6 +150,10 @@ def text_records(spark: SparkSession, key: str, text: bytes, separator: str, uni
     return pieces.select("key", "start", "idx", "fields"), [pieces]
 
 
+def _joined_lines(values: pa.Array, unit: str) -> bytes:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), unit.encode())[0].as_py()
+
+
 def _splits(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
     """Runs of lines of one split; a task may read several, one after the other."""
     for batch in batches:
@@ -158,7 +176,7 @@ def _ends(grammars: dict[str, Grammar], whole: Grammar | None):
             quoted = values.filter(pc.match_substring(values, b'"'))
             if not len(quoted):
                 continue
-            text, same = g.unit.encode().join(quoted.to_pylist()), now[0] == now[1]  # lines without a quote change nothing
+            text, same = _joined_lines(quoted, g.unit), now[0] == now[1]  # lines without a quote change nothing
             now[0] = g.ends_inside(text, now[0])
             now[1] = now[0] if same else g.ends_inside(text, now[1])
         rows = [(key, start, *state) for (key, start), state in seen.items()]
@@ -229,8 +247,17 @@ class _Cutter:
                 yield self.flushed()
             yield fields
             return
-        values = body.to_pylist()
-        done = self._closed(values)
+        if not self.inside and not self.open and self.unit == b"\n" and (found := self._alternating(body)) is not None:
+            done, fields = found
+            if self.out:
+                yield self.flushed()
+            yield fields
+            self.after_unit = True
+            values = body.slice(done).to_pylist()
+            done = 0
+        else:
+            values = body.to_pylist()
+            done = self._closed(values)
         if len(self.out) >= FLUSH:
             yield self.flushed()
         for value in values[done:]:
@@ -263,8 +290,43 @@ class _Cutter:
         if not self.at[1] and not self.idx:
             filled[0] = True  # the first record of a file
         text = text.filter(pa.array(filled))
-        n, same = len(text), lambda v, t: pa.array([v] * len(text), t)
-        fields = pc.split_pattern(text, self.g.separator).cast(pa.list_(pa.string()))
+        return self._batch(pc.split_pattern(text, self.g.separator).cast(pa.list_(pa.string())))
+
+    def _alternating(self, values: pa.Array) -> tuple[int, pa.RecordBatch] | None:
+        """How many lines end with the last record that ends in these, and the records; cut all at once by the places of separators, line ends and quotes. None if there is no such
+        record, or quotes don't alternate, or there is a CR, or text that isn't UTF-8."""
+        if not len(values):
+            return None
+        text = np.frombuffer(_joined_lines(values, "\n") + b"\n", np.uint8)
+        quote = text == 34
+        quotes = np.flatnonzero(quote)
+        if (text == 13).any() or not self.g.alternate(text, quotes):
+            return None
+        outside = (np.cumsum(quote, dtype=np.uint8) & 1) == 0
+        stops = np.flatnonzero(((text == ord(self.g.separator)) | (text == 10)) & outside)
+        ends = np.flatnonzero(text[stops] == 10)  # the stops that end records
+        if not len(ends):
+            return None
+        stops = stops[: ends[-1] + 1]
+        text, quotes = text[: stops[-1] + 1], quotes[quotes < stops[-1]]
+        keep = np.ones(len(text), bool)
+        keep[stops] = keep[quotes] = False
+        keep[quotes[2::2][quotes[2::2] == quotes[1:-1:2] + 1]] = True  # one of two that are doubled
+        data, bounds = text[keep], np.concatenate([[0], np.cumsum(keep)[stops]]).astype(np.int32)
+        cells = pa.Array.from_buffers(pa.binary(), len(stops), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        try:
+            cells = cells.cast(pa.string())
+        except pa.ArrowInvalid:
+            return None
+        first = np.concatenate([[0], ends[:-1] + 1])
+        blank = (first == ends) & (bounds[ends] == bounds[ends + 1])
+        if not self.at[1] and not self.idx:
+            blank[0] = False
+        fields = pa.ListArray.from_arrays(pa.array([0, *(ends + 1)], pa.int32()), cells)
+        return int((text == 10).sum()), self._batch(fields.filter(pa.array(~blank)) if blank.any() else fields)
+
+    def _batch(self, fields: pa.Array) -> pa.RecordBatch:
+        n, same = len(fields), lambda v, t: pa.array([v] * len(fields), t)
         self.idx += n
         columns = [same(self.at[0], pa.string()), same(self.at[1], pa.int64()), pa.array(range(self.idx - n, self.idx), pa.int64()), same(WHOLE, pa.int32()), fields, pa.nulls(n, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, schema=SCHEMA)

@@ -177,3 +177,27 @@ def test_detection_looks_at_quotes_over_lines_and_lone_cr_ends_none():
     assert detect_delimiter("a;b\r" * 30 + "|" * 100) == "|"
     assert detect_delimiter("a;b\n" * 20 + "|" * 100) == ";"
     assert detect_delimiter("a\tb;c") == "\t" and detect_delimiter("") == ","
+
+
+def test_quotes_that_alternate_are_cut_by_whole_batches():
+    import random
+
+    import pyarrow as pa
+
+    from gatedframe.sources import quoted
+
+    def cut(text, chunk, one_by_one=False):
+        lines = text.split(b"\n")
+        ended = lines[-1] == b""
+        cutter = quoted._Cutter(quoted.grammar(";", "\n"), ("k", 0), False, True, ended)
+        if one_by_one:
+            cutter._alternating = lambda values: None
+        lines = lines[:-1] if ended else lines
+        batches = [b for k in range(0, len(lines), chunk) for b in cutter.lines(pa.array(lines[k : k + chunk], pa.binary()))]
+        return [r for b in [*batches, cutter.finished()] for r in zip(b.column(2).to_pylist(), b.column(4).to_pylist())]
+
+    rng = random.Random(11)
+    whole = b'1;"a;""b""";"x\ny"\n\n"";c\n' * 50
+    assert quoted._Cutter(quoted.grammar(";", "\n"), ("k", 0), False, True, True)._alternating(pa.array(whole.split(b"\n")[:-1], pa.binary()))[0] == 200
+    for text in [whole, *(bytes(rng.choice(b'"";\n\na\xc3\xa9\r') for _ in range(rng.randrange(25))) for _ in range(400))]:
+        assert cut(text, 7) == cut(text, 7, True)
